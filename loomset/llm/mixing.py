@@ -54,7 +54,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...], budget: Fraction, max_ep
     out = []
     for r, t in zip(rows, share):
         whole = int(t // r["s"]) if r["s"] else 0
-        out.append((r["source"], r["s"], float(t), whole, round(t - whole * r["s"])))
+        out.append((r["source"], r["s"], float(t), whole, int((t - whole * r["s"] + Fraction(1, 2)) // 1)))
     return spark.createDataFrame(out, "source string, source_size long, target double, whole long, rest long")
 
 

@@ -11,13 +11,13 @@ src AS (
 capped AS (  -- in order of cap by weight, the first k sources that their caps stop
   SELECT *, SUM(s) OVER (ORDER BY s / w, source) - s AS s_before, SUM(w) OVER (ORDER BY s / w, source) - w AS w_before,
          SUM(s) OVER () AS s_all, SUM(w) OVER () AS w_all FROM src),
-level AS (
-  SELECT MIN((1.5 * s_all - 2 * s_before) / (w_all - w_before)) FILTER (WHERE 2 * s * (w_all - w_before) >= (1.5 * s_all - 2 * s_before) * w) AS water FROM capped),
+ranked AS (SELECT *, 1.5 * s_all - 2 * s_before AS left_, w_all - w_before AS w_left, row_number() OVER (ORDER BY s / w, source) AS k FROM capped),
+level AS (SELECT arg_min(left_, k) AS left_, arg_min(w_left, k) AS w_left, MIN(k) AS k FROM ranked WHERE 2 * s * w_left >= left_ * w),
 aim AS (
-  SELECT source, s, CASE WHEN 2 * s <= water * w THEN 2 * s ELSE water * w END::DOUBLE AS target FROM capped, level),
+  SELECT r.source, s, CASE WHEN l.k IS NULL OR r.k < l.k THEN (2 * s)::DOUBLE ELSE (l.left_ * w)::DOUBLE / l.w_left::DOUBLE END AS target FROM ranked r, level l),
 plan AS (
   SELECT source, s, target, CASE WHEN s = 0 THEN 0 ELSE FLOOR(target / s) END::BIGINT AS whole FROM aim),
-room AS (SELECT *, ROUND(target - whole * s)::BIGINT AS rest FROM plan),
+room AS (SELECT *, FLOOR(target - whole * s + 0.5)::BIGINT AS rest FROM plan),
 placed AS (
   SELECT d.doc_id, d.size, r.s AS source_size, r.target, r.whole,
          LEAST(d.size, GREATEST(0, r.rest - (SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size))) AS more
@@ -39,7 +39,7 @@ places AS (
   SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS p
   FROM (SELECT r, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc_words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
 found AS (SELECT r, item_id, i, places.n FROM places JOIN windows ON places.p = windows.p AND places.n = windows.n),
-hits AS (SELECT r, COUNT(DISTINCT at) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS at FROM found) GROUP BY r),
+hits AS (SELECT r, COUNT(DISTINCT place) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS place FROM found) GROUP BY r),
 items AS (SELECT r, COUNT(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS k FROM found) GROUP BY r)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items,
        sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(w) AS contaminated
