@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import pack_sorted, size_of, stored, unpack_sorted
 
 #: Bytes of text in a block, and keys in a range of keys.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 RANGE_KEYS = 3_000_000
 
 
