@@ -1,16 +1,16 @@
 """WARC revisit resolution: archives with one response for each payload and revisits that refer to it.
 
 Headers, not payloads, are shuffled by payload digest to find each group's response, the record with the largest
-page_id; headers are joined back to the pages by digest; records with fresh headers are written as WARC/1.1 files by
-Spark's own committed text writer (a record ends with CR LF CR LF, which is the line separator), so that a lost executor
-leaves no half file; then the files are read back and every record is taken apart by its Content-Length.
+page_id; headers are joined back to the pages by digest; records with fresh headers are written as gzipped WARC/1.1 files
+by Spark's own committed text writer (a record ends with CR LF CR LF, which is the line separator), so that a lost
+executor leaves no half file; then the files are read back and every record is taken apart by its Content-Length.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -69,8 +69,10 @@ def records(resolved: DataFrame) -> DataFrame:
     return resolved.select(F.concat(F.encode(head, "utf-8"), body).alias("value"))
 
 
-def write_archives(resolved: DataFrame, path: str) -> None:
-    records(resolved).select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").text(path)
+def write_archives(resolved: DataFrame, path: str, records_per_file: int = 1000) -> None:
+    """Pages lie as the join by digest has left them: they are not shuffled again to be written."""
+    own = records(resolved).select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n")
+    own.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 _FIELD = re.compile(rb"([\w-]+): ([^\r]*)\r\n")
@@ -102,7 +104,7 @@ def read_archives(spark, path: str, payload: bool = False) -> DataFrame:
         for f in frames:
             for content in f["content"]:
                 out = []
-                for h, block in parse(content):
+                for h, block in parse(gzip.decompress(content)):
                     said = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     if h["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != said:
                         raise ValueError(f"{h['WARC-Record-ID']}: the payload doesn't have the digest of its header")
@@ -124,6 +126,6 @@ def deduplicate(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     size = pages.agg(F.sum(F.octet_length("html")), F.count(F.lit(1))).first()
-    files = max(1, math.ceil(((size[0] or 0) + 400 * size[1]) / ARCHIVE_BYTES))
-    write_archives(resolve(pages).repartition(files, F.xxhash64("page_id")), path)
+    mean = ((size[0] or 0) + 400 * size[1]) // max(1, size[1]) + 1
+    write_archives(resolve(pages), path, max(1, ARCHIVE_BYTES // mean))
     return read_archives(spark, path).drop("payload")
