@@ -109,6 +109,8 @@ def read_archives(spark, path: str, payload: bool = False) -> DataFrame:
                     if h["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != said:
                         raise ValueError(f"{h['WARC-Record-ID']}: the payload doesn't have the digest of its header")
                     out.append((_page(h["WARC-Record-ID"]), int(h["X-Payload-Length"]), said, h["WARC-Type"], _page(h.get("WARC-Refers-To")), block if payload else None))
+                if not out:  # an archive of an empty partition
+                    continue
                 columns = [list(c) for c in zip(*out)]
                 whole = lambda k: pd.array(columns[k], "Int64")  # noqa: E731  a list with nulls would become floating-point numbers
                 yield pd.DataFrame({"page_id": whole(0), "payload_bytes": columns[1], "payload_digest": columns[2], "record_type": columns[3], "refers_to": whole(4), "payload": columns[5]})
