@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def area(b: Column) -> Column:
     """F8."""
     return F.greatest(F.lit(0), b[2] - b[0]) * F.greatest(F.lit(0), b[3] - b[1])
@@ -74,24 +79,27 @@ def suppress_nested(detections: Column, kind: str) -> Column:
 
 def significant(detections: Column, width: Column, height: Column) -> Column:
     """0.03 of the image and 0.2 of the largest."""
-    largest = F.array_max(F.transform(detections, lambda d: area(d["bbox"])))
-    return F.filter(detections, lambda d: (area(d["bbox"]) >= 0.03 * width * height) & (area(d["bbox"]) >= 0.2 * largest))
+    least = lambda ds: F.greatest(0.03 * width * height, 0.2 * F.array_max(F.transform(ds, lambda d: area(d["bbox"]))))
+    return let(detections, lambda ds: let(least(ds), lambda bound: F.filter(ds, lambda d: area(d["bbox"]) >= bound)))
 
 
 def single_head(people: Column, heads: Column) -> Column:
     """with one head, people who hold its centre become the largest of them, put last."""
     head = F.element_at(heads, 1)["bbox"]
     holds = lambda p: contains_centre(p["bbox"], head)
-    own = F.filter(people, holds)
-    best = F.element_at(_by_area_then_confidence(own), 1)
-    return F.when((F.size(heads) == 1) & (F.size(own) > 1), F.array_append(F.filter(people, lambda p: ~holds(p)), best)).otherwise(people)
+
+    def merged(ps: Column, own: Column) -> Column:
+        best = F.element_at(_by_area_then_confidence(own), 1)
+        return F.when(F.size(own) > 1, F.array_append(F.filter(ps, lambda p: ~holds(p)), best)).otherwise(ps)
+
+    return let(people, lambda ps: F.when(F.size(heads) == 1, let(F.filter(ps, holds), lambda own: merged(ps, own))).otherwise(ps))
 
 
 def is_group(people: Column, heads: Column) -> Column:
     """F12."""
     overlap = lambda a, b: intersection(a["bbox"], b["bbox"]) / F.greatest(F.lit(1), F.least(area(a["bbox"]), area(b["bbox"]))) >= 0.18
     indexed = F.transform(people, lambda p, k: F.struct(p.alias("p"), k.alias("k")))
-    pair = F.exists(indexed, lambda a: F.exists(indexed, lambda b: (a["k"] < b["k"]) & overlap(a["p"], b["p"])))
+    pair = let(indexed, lambda ps: F.exists(ps, lambda a: F.exists(ps, lambda b: (a["k"] < b["k"]) & overlap(a["p"], b["p"]))))
     return (F.size(people) >= 2) & (F.size(heads) >= 2) & pair
 
 
@@ -114,12 +122,15 @@ def reading_order(boxes: Column) -> Column:
 
 def composite_proposal(people: Column, heads: Column, width: Column, height: Column, kind: str) -> Column:
     """null, or (mode, boxes): a crop of the group, or one box a person in reading order."""
-    left = significant(suppress_nested(people, kind), width, height)
-    left = single_head(left, heads)
-    boxes = F.transform(left, lambda p: p["bbox"])
-    group = F.array(expand(union_box(boxes), 0.08, width, height))
-    proposal = F.when(is_group(left, heads), F.struct(F.lit("group_crop").alias("mode"), group.alias("boxes"))).otherwise(F.struct(F.lit("split_people").alias("mode"), reading_order(boxes).alias("boxes")))
-    return F.when((F.size(people) <= 8) & F.size(left).between(2, 6) & (F.size(heads) > 0), proposal)
+    split = lambda boxes: F.struct(F.lit("split_people").alias("mode"), reading_order(boxes).alias("boxes"))
+    group = lambda boxes: F.struct(F.lit("group_crop").alias("mode"), let(union_box(boxes), lambda u: F.array(expand(u, 0.08, width, height))).alias("boxes"))
+
+    def proposal(left: Column) -> Column:
+        mode = let(F.transform(left, lambda p: p["bbox"]), lambda boxes: F.when(is_group(left, heads), group(boxes)).otherwise(split(boxes)))
+        return F.when(F.size(left).between(2, 6), mode)
+
+    left = single_head(significant(suppress_nested(people, kind), width, height), heads)
+    return F.when((F.size(people) <= 8) & (F.size(heads) > 0), let(left, proposal))
 
 
 def crop_proposal(mask_box: Column, width: Column, height: Column, padding: int = 32, least_removed: float = 0.05) -> Column:

@@ -405,13 +405,13 @@ def composite_geometry(spark, sf_dir):
 def _plan(spark, sf_dir):
     i = F.col("ord")
     root = F.when(i % 7 == 0, F.concat(F.lit("/data/"), F.col("status"), F.lit("/"))).when(i % 11 == 0, F.lit("/data/Archive/")).otherwise(F.lit("/data/"))
-    stored = F.when(i % 5 == 0, F.concat(F.lit("kept/"), i, F.lit(".jpg")))
+    stored = F.when(i % 5 == 0, F.concat(F.lit("kept/"), i % 900, F.lit(".jpg")))
     rows = _rows(spark, sf_dir).select("sample_id", "status", F.concat(root, "relative_path").alias("path"), stored.alias("origin_relative_path"))
     return moves.move_plan(rows, "/data", ["archive"]), rows
 
 
 _PLAN = """paths AS (SELECT sample_id, status, ord, relative_path AS r, CASE WHEN ord % 7 = 0 THEN '/data/' || status || '/' WHEN ord % 11 = 0 THEN '/data/Archive/' ELSE '/data/' END || relative_path AS path FROM s),
-plan AS (SELECT sample_id, path, '/data/' || status || '/' || CASE WHEN ord % 5 = 0 THEN 'kept/' || ord || '.jpg' WHEN ord % 7 = 0 OR ord % 11 <> 0 THEN r ELSE 'Archive/' || r END AS destination, ord % 7 <> 0 AND ord % 11 = 0 AS skip FROM paths)"""
+plan AS (SELECT sample_id, path, '/data/' || status || '/' || CASE WHEN ord % 5 = 0 THEN 'kept/' || ord % 900 || '.jpg' WHEN ord % 7 = 0 OR ord % 11 <> 0 THEN r ELSE 'Archive/' || r END AS destination, ord % 7 <> 0 AND ord % 11 = 0 AS skip FROM paths)"""
 
 
 @query(_s("SELECT sample_id, path, destination, CASE WHEN skip THEN 'skipped' WHEN lower(path) = lower(destination) THEN 'unchanged' ELSE 'move' END AS outcome FROM plan", _PLAN))
@@ -420,11 +420,12 @@ def move_plan(spark, sf_dir):
 
 
 @query(_s("""SELECT 'duplicate' AS kind, lower(destination) AS destination_key FROM plan WHERE NOT skip AND lower(path) <> lower(destination) GROUP BY 2 HAVING count(*) > 1
-UNION ALL SELECT DISTINCT 'exists', lower(destination) FROM plan WHERE NOT skip AND lower(path) <> lower(destination) AND lower(destination) IN (SELECT lower(path) FROM plan)
+UNION ALL SELECT DISTINCT 'exists', lower(destination) FROM plan WHERE NOT skip AND lower(path) <> lower(destination) AND lower(destination) IN (SELECT lower(path) FROM plan UNION ALL SELECT lower('/data/推荐/kept/' || ord || '.jpg') FROM s WHERE ord % 3 = 0)
   AND lower(destination) NOT IN (SELECT lower(path) FROM plan WHERE NOT skip AND lower(path) <> lower(destination))""", _PLAN))
 def move_conflicts(spark, sf_dir):
     plan, rows = _plan(spark, sf_dir)
-    return moves.conflicts(plan, rows)
+    strays = samples(spark, sf_dir).where("ord % 3 = 0").select(F.concat(F.lit("/data/推荐/kept/"), "ord", F.lit(".jpg")).alias("path"))
+    return moves.conflicts(plan, rows.select("path").unionByName(strays))
 
 
 @query(_s("SELECT CASE WHEN v <> 2 THEN 'composite' ELSE 'auto_crop' END AS stage, sample_id, path FROM (SELECT sample_id, relative_path AS path, ord % 3 AS v, CASE ord % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'rejected' END AS d, ord % 5 AS c FROM s WHERE status <> '淘汰') WHERE v <> 2 OR (COALESCE(d, 'rejected') = 'rejected' AND c NOT IN (1, 2))"))
