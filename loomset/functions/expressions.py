@@ -178,12 +178,21 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hash_bits(values: Column) -> Column:
     """'1' for each value above the median, the first value first."""
-    ranked, n = F.array_sort(values), F.size(values)
-    low, high = F.element_at(ranked, (F.floor((n + 1) / 2)).cast("int")), F.element_at(ranked, (F.floor(n / 2) + 1).cast("int"))
-    median = (low.cast("double") + high.cast("double")) / 2
-    return F.array_join(F.transform(values, lambda v: F.when(v.cast("double") > median, "1").otherwise("0")), "")
+
+    def median(ranked: Column) -> Column:
+        n = F.size(ranked)
+        low, high = F.element_at(ranked, (F.floor((n + 1) / 2)).cast("int")), F.element_at(ranked, (F.floor(n / 2) + 1).cast("int"))
+        return (low.cast("double") + high.cast("double")) / 2
+
+    bits = lambda m: F.array_join(F.transform(values, lambda v: F.when(v.cast("double") > m, "1").otherwise("0")), "")
+    return let(let(F.array_sort(values), median), bits)
 
 
 def bits_to_long(bits: Column) -> Column:

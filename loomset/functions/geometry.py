@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once however often body names it."""
-    return F.transform(F.array(value), body)[0]
+from .expressions import let
 
 
 def area(b: Column) -> Column:

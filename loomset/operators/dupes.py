@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from ..functions.expressions import hamming, rank_order
 from ..schema import BACKUP, IGNORED_GROUP, PICKED, REJECTED
 
 BANDS_UP_TO = 12
+#: Edges, of 16 bytes, that one task settles.
+TAIL_EDGES = 1_000_000
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -74,23 +77,33 @@ def anchors_of(pairs: DataFrame, rounds: int = 200) -> DataFrame:
 
     In order of priority an anchor takes all that is close and still free. That is the lexicographically first maximal
     independent set: in each round a free node whose free neighbours all come later is an anchor, and its neighbours are
-    taken."""
+    taken. Rounds go on while more than TAIL_EDGES edges between free nodes are left; those few are then settled in
+    order by one task. A node that is never taken is an anchor."""
     edges = cut(pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb")).unionByName(pairs.select(F.col("b").alias("pa"), F.col("a").alias("pb"))).distinct(), "edges")
-    state = cut(edges.select(F.col("pa").alias("p")).distinct().withColumn("is", F.lit("free")), "state")
-    for _ in range(rounds):
-        free = state.where("is = 'free'").select("p")
-        if free.isEmpty():
-            break
-        live = edges.join(free.select(F.col("p").alias("pa")), "pa").join(free.select(F.col("p").alias("pb")), "pb")
-        later = live.where("pb < pa").select(F.col("pa").alias("p")).distinct()
-        heads = free.join(later, "p", "left_anti")
-        taken = live.join(heads.select(F.col("p").alias("pb")), "pb").select(F.col("pa").alias("p")).distinct()
-        now = state.join(heads.withColumn("x", F.lit("anchor")), "p", "left").join(taken.withColumn("y", F.lit("taken")), "p", "left")
-        state = cut(now.select("p", F.coalesce("x", "y", "is").alias("is")), "state")
-    else:
-        raise RuntimeError(f"groups did not settle in {rounds} rounds")
-    heads = state.where("is = 'anchor'").select(F.col("p").alias("pb"))
-    taken = state.where("is = 'taken'").select(F.col("p").alias("pa"))
+
+    def in_order(batches):
+        rest = pd.concat([pd.DataFrame({"pa": [], "pb": []}, dtype="int64"), *batches])
+        gone = set()
+        for p, later in rest[rest["pa"] < rest["pb"]].groupby("pa", sort=True)["pb"]:
+            if p not in gone:
+                gone.update(later.tolist())
+        yield pd.DataFrame({"p": pd.Series(list(gone), dtype="int64")})
+
+    live, parts = edges, []
+    while live.limit(TAIL_EDGES + 1).count() > TAIL_EDGES:
+        if len(parts) == rounds:
+            raise RuntimeError(f"groups did not settle in {rounds} rounds")
+        heads = live.groupBy("pa").agg(F.min("pb").alias("first")).where("pa < first").select(F.col("pa").alias("pb"))
+        gone = cut(live.join(heads, "pb").select(F.col("pa").alias("p")).distinct(), "gone")
+        parts.append(gone)
+        settled = gone.unionByName(heads.select(F.col("pb").alias("p")))
+        live = live.join(settled.select(F.col("p").alias("pa")), "pa", "left_anti").join(settled.select(F.col("p").alias("pb")), "pb", "left_anti")
+        live = cut(live.select("pa", "pb"), "edges")
+    taken = live.coalesce(1).mapInPandas(in_order, "p long")
+    for part in parts:
+        taken = taken.unionByName(part)
+    taken = cut(taken, "taken").select(F.col("p").alias("pa"))
+    heads = edges.select(F.col("pa").alias("pb")).distinct().join(taken.select(F.col("pa").alias("pb")), "pb", "left_anti")
     first = edges.join(heads, "pb").join(taken, "pa").groupBy("pa").agg(F.min("pb").alias("anchor"))
     return first.select(F.col("pa").alias("p"), "anchor").unionByName(heads.select(F.col("pb").alias("p"), F.col("pb").alias("anchor")))
 
@@ -100,6 +113,7 @@ def greedy_groups(nodes: DataFrame, threshold: int) -> DataFrame:
 
     Rows of equal hash share one fate, so that the best of each hash stands for all. Groups of two or more rows are
     numbered from 1 in order of their anchors; 0 is no group, as for rows without a hash."""
+    nodes = cut(nodes.select("id", "pri", "phash"), "nodes")  # hashes are costly, and read several times
     live = nodes.where("phash <> 0")
     best = live.groupBy("phash").agg(F.min("pri").alias("best"))
     found = anchors_of(hamming_pairs(best.select(F.col("best").alias("id"), "phash"), threshold))
