@@ -6,7 +6,9 @@ text. As embedding and classifier are linear, a trained model is one table of lo
 
 Training reads a bounded sample: at most SAMPLE texts of each label, none above SAMPLE_CHARS characters, those with the
 smallest hashes of their ids. A fifth of it is held back: a temperature is fitted on it so that scores are calibrated,
-and the rejection threshold is the score that all but REJECT of its texts reach, 0.5 at most.
+and two thresholds are set below what all but REJECT of its texts reach: one of the score, 0.5 at most, and one of the
+share of a text's features that training has seen. A text is rejected when it is below both: of an uncertain language and of
+unfamiliar letters (of two labels the better one always reaches 0.5). A text that mixes two learned languages is uncertain but familiar, and stays.
 """
 
 from __future__ import annotations
@@ -77,29 +79,34 @@ def _features(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    """labels, logits by bucket, bias, temperature and rejection threshold."""
+    """labels, a table by bucket (logits of the labels, then 1 for buckets seen in training), bias, temperature and the
+    rejection thresholds of score and familiarity."""
 
-    def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, heat: float, least: float):
-        self.labels, self.table, self.bias, self.heat, self.least = labels, table, bias, heat, least
+    def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, heat: float, least: float, familiar: float = 1.0):
+        self.labels, self.table, self.bias, self.heat, self.least, self.familiar = labels, table, bias, heat, least, familiar
 
     def _mean(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean logits of each text, and whether it has a letter. Long texts are taken in pieces, all of them."""
-        total, count, any_letter = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        """Mean of the table's rows over each text, and whether it has a letter. Long texts are taken in pieces, all of them."""
+        total, count, any_letter = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts)), np.zeros(len(texts), bool)
         for which, parts in _pieces(texts):
             bucket, of, has = features(parts)
-            for c in range(len(self.labels)):
+            for c in range(self.table.shape[1]):
                 np.add.at(total[:, c], which, np.bincount(of, self.table[bucket, c], len(parts)))
             np.add.at(count, which, np.bincount(of, minlength=len(parts)))
             np.logical_or.at(any_letter, which, has)
         return total / np.maximum(count, 1)[:, None], any_letter
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Label, score and whether it is rejected, of each text."""
         if not self.labels:
-            return [NONE] * len(texts), np.zeros(len(texts))
-        z, has = self._mean([t or "" for t in texts])
-        p = _softmax((z + self.bias) / self.heat)
-        best = p.argmax(1)
-        return [self.labels[k] if h else NONE for k, h in zip(best, has)], np.where(has, p[np.arange(len(best)), best], 0.0)
+            return [NONE] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        mean, has = self._mean([t or "" for t in texts])
+        p = _softmax((mean[:, :-1] + self.bias) / self.heat)
+        best, score = p.argmax(1), np.where(has, p.max(1), 0.0)
+        return [self.labels[k] if h else NONE for k, h in zip(best, has)], score, ~has | ((score < self.least) & (mean[:, -1] < self.familiar))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return self.judge(texts)[:2]
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
@@ -131,7 +138,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """rows: (text, label). No rows: a model without labels, which rejects everything."""
     labels = sorted({y for _, y in rows})
     if not labels:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.5)
+        return Model([], np.zeros((BUCKETS, 1)), np.zeros(0), 1.0, 0.5)
     rng, rows = np.random.default_rng(seed), sorted(rows)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     held = len(rows) // 5
@@ -154,18 +161,20 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             out -= rate * 0.1 * np.outer(x, p)
             bias -= rate * 0.01 * p
             embed[ids] -= rate * len(ids) * 0.05 * share[:, None] * grad[None]
-    model = Model(labels, embed @ out, bias, 1.0, 0.5)
+    seen = np.zeros(BUCKETS)
+    seen[np.concatenate([ids for ids, _, _ in learn])] = 1
+    model = Model(labels, np.column_stack([embed @ out, seen]), bias, 1.0, 0.5)
     check = rows[:held] or rows
-    z, _ = model._mean([t for t, _ in check])
-    z, y = z + bias, np.array([labels.index(y) for _, y in check])
+    mean, _ = model._mean([t for t, _ in check])
+    z, y = mean[:, :-1] + bias, np.array([labels.index(y) for _, y in check])
     loss = lambda heat: -np.log(_softmax(z / heat)[np.arange(len(y)), y] + 1e-12).mean()
     model.heat = float(min(np.geomspace(0.05, 5, 60), key=loss))
     top = np.sort(_softmax(z / model.heat).max(1))
-    model.least = float(min(0.5, top[int(REJECT * len(top))] * 0.9))
+    low = int(REJECT * len(top))
+    model.least, model.familiar = float(min(0.5, top[low] * 0.9)), float(np.sort(mean[:, -1])[low] * 0.9)
     return model
 
 
-
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """The bounded training sample; the share of each label to read comes from the label's count over all rows."""
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -191,9 +200,8 @@ def predictor(docs: DataFrame, model: Model | None = None):
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(text: pd.Series) -> pd.DataFrame:
-        model = held.value
-        lang, score = model.predict([None if t is None else t for t in text])
-        return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": [x == NONE or s < model.least for x, s in zip(lang, score)]})
+        lang, score, rejected = held.value.judge([None if t is None else t for t in text])
+        return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
 
     return predict
 

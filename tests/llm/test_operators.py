@@ -270,6 +270,18 @@ def test_language_edge_cases(docs, no_docs):
     assert rows_of(language_id.identify(no_docs)) == []
 
 
+def test_language_rejection():
+    rng = np.random.default_rng(5)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(2, 7)))
+    text = lambda letters: " ".join(word(letters) for _ in range(80))
+    kinds = {"a": "aeiltrs", "b": "uoknmdg", "c": "äöüßhpb", "d": "éèçñwvz"}  # of two labels the best always reaches 0.5
+    model = language_id.train([(text(v), k) for k, v in kinds.items() for _ in range(100)])
+    mixed = text(kinds["a"]) + " " + text(kinds["b"])
+    lang, score, rejected = model.judge([text(kinds["a"]), text(kinds["b"]), mixed, "これは日本語の文章です。今日は天気がいい。", "12 + 3", None])
+    assert lang[:2] == ["a", "b"] and lang[4:] == ["und", "und"]
+    assert rejected.tolist() == [False] * 3 + [True] * 3 and score[4] == score[5] == 0
+
+
 def test_language_pieces_cover_long_texts():
     text = "abc def " * 100_000 + "x" * 300_000
     assert "".join(p for _, parts in language_id._pieces([text]) for p in parts) == text
