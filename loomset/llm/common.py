@@ -34,6 +34,24 @@ def size_of(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return row["n"], row["b"] or 0
 
 
+#: A key is hot when it holds more than one row in HOT; so there are fewer than HOT of them.
+HOT = 1000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The hot keys of rows: below HOT of them, whatever the table's size; written, since they are read twice."""
+    total = rows.count()
+    return stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT > total).select(key), "hot")
+
+
+def join_hot(rows: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "left") -> DataFrame:
+    """rows joined to right, which has one row a key at most. Rows of hot keys stay where they are and meet a broadcast
+    of below HOT rows, so that no task gets all rows of one key; the others are shuffled. how: left or inner."""
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    near = rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
+    return near.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
+
+
 #: ASCII white space, and so bytes.split(), is exactly [\x20\x09-\x0D].
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

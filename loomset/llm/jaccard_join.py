@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blockcount import counted, dealt, ids, with_answers
-from .common import mix, stored, word_hashes
+from .common import hot_keys, join_hot, mix, stored, word_hashes
 
 WORDS = 4
 PERCENT = 85
@@ -219,7 +219,7 @@ def keepers(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_text")
     best = found.groupBy("root").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     mine = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_text") == F.col("best.row_text"))
-    told = found.join(best, "root").groupBy("doc_id", "row_text", "root").agg(F.first(mine).alias("mine"), F.count(F.lit(1)).alias("n"))
+    told = join_hot(found, stored(best, "best"), "root", hot_keys(found, "root"), "inner").groupBy("doc_id", "row_text", "root").agg(F.first(mine).alias("mine"), F.count(F.lit(1)).alias("n"))
     return told.where("not mine").select("doc_id", "row_text").distinct(), told.where("mine and n > 1").select("doc_id", "row_text")
 
 
@@ -251,7 +251,8 @@ def members(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_s
     ids = own.groupBy("key").agg(F.min("doc_id").alias("first")).where("key is not null")
     named = ids.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.join(smallest, "root").select("key", "root", "component_id")
-    out = own.select("doc_id", "row_text", F.col("n").alias("n_shingles"), "key").join(of, "key", "left")
+    of = stored(named.join(smallest, "root").select("key", "root", "component_id"), "classes")
+    out = own.select("doc_id", "row_text", F.col("n").alias("n_shingles"), "key")
+    out = join_hot(out, of, "key", hot_keys(own.where("key is not null"), "key"))
     alone = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row_text", "n_shingles", "root", alone.alias("component_id"))

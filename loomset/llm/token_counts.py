@@ -17,7 +17,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import hot_keys, join_hot, new_path
 
 LIMIT = 4096
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -112,5 +112,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
 
     misses.mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    out = own.select("doc_id", "digest", "n_bytes").join(counts, "digest", "left")
+    own = own.select("doc_id", "digest", "n_bytes")
+    out = join_hot(own, counts, "digest", hot_keys(own, "digest"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

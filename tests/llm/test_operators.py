@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from loomset.llm import decontamination, jaccard_join, language_id, lm_scoring, mixing, pii, sharding, telephony, token_counts, warc
+from loomset.llm import common, decontamination, jaccard_join, language_id, lm_scoring, mixing, pii, sharding, telephony, token_counts, warc
 from loomset.llm.common import pack_sorted, unpack_sorted, word_hashes
 
 from .conftest import TEXTS
@@ -524,3 +524,16 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(900, 901)], "u long, v long")
     got = {r.id: r.root for r in rows_of(jaccard_join.components(edges))}
     assert got == {**{k: 0 for k in range(201)}, 900: 900, 901: 900}
+
+
+def test_join_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 3)
+    keys = ["a"] * 40 + ["b"] * 41 + [f"k{i}" for i in range(17)] + [None] * 5 + ["lost"]
+    rows = spark.createDataFrame(list(enumerate(keys)), "i int, key string")
+    right = spark.createDataFrame([(k, len(k)) for k in sorted({k for k in keys if k} - {"lost"})], "key string, x int")
+    hot = common.hot_keys(rows, "key")
+    assert {r.key for r in hot.collect()} == {"a", "b"}
+    want = sorted((i, len(k) if k and k != "lost" else None) for i, k in enumerate(keys))
+    assert sorted((r.i, r.x) for r in common.join_hot(rows, right, "key", hot).collect()) == want
+    inner = common.join_hot(rows, right, "key", hot, "inner").collect()
+    assert sorted((r.i, r.x) for r in inner) == [w for w in want if w[1]]
