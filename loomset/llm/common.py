@@ -122,19 +122,25 @@ def word_hashes(texts: list[bytes | None], chunk: int = 1 << 20) -> tuple[np.nda
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys as differences, each in as few bytes as the largest needs."""
+    """Sorted distinct 64-bit keys: the first, then differences, each in as few bytes as the largest needs once the zero
+    bits that end all of them are dropped."""
     if not len(keys):
         return b""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    gaps = np.diff(keys)
+    every = int(np.bitwise_or.reduce(gaps)) if len(gaps) else 1
+    shift = (every & -every).bit_length() - 1
+    width = max(1, (every.bit_length() - shift + 7) // 8)
+    body = np.ascontiguousarray((gaps >> np.uint64(shift)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    return bytes([width, shift]) + int(keys[0]).to_bytes(8, "little") + body.tobytes()
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint64)
-    width = blob[0]
-    body = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(body), 8), np.uint8)
-    full[:, :width] = body
-    return np.cumsum(full.reshape(-1).view("<u8"), dtype=np.uint64)
+    width, shift = blob[0], blob[1]
+    body = np.frombuffer(blob, np.uint8, offset=10).reshape(-1, width)
+    full = np.zeros((len(body) + 1, 8), np.uint8)
+    full[1:, :width] = body
+    gaps = full.reshape(-1).view("<u8") << np.uint64(shift)
+    gaps[0] = int.from_bytes(blob[2:10], "little")
+    return np.cumsum(gaps, dtype=np.uint64)

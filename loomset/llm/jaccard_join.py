@@ -1,7 +1,8 @@
 """N-gram Jaccard join by signature trees, exact.
 
 1. Each text becomes its set of hashed word shingles. The corpus-wide number of texts that hold a shingle comes back to
-   each block of texts (see blockcount).
+   each block of texts (see blockcount). It is counted by the first bits of the hash, as many as tell nearly all shingles
+   apart: a number is never too small, and it is one for each hash, which is all that step 2 needs.
 2. Prefix filter: of a set of n shingles in order of (that number, hash), a linked partner shares at least one of the
    first n - ceil(t n) + 1. Shingles that only one text holds can't be shared, so nearly all of these fall away, and
    passages that many texts share come last in the order, so that they seldom bring two texts together.
@@ -29,6 +30,8 @@ from .common import hot_keys, join_hot, mix, stored, word_hashes
 WORDS = 4
 PERCENT = 85
 BLOCK_SHINGLES = 4_000_000
+#: Bits by which counted hashes are longer than the length in bits of the number of bytes of all texts.
+SPARE_BITS = 8
 BITS, LEAF, FAN = 2048, 16, 4
 PIECES = "kind int, doc_id long, row_text long, key binary, n long, token long, shingles binary"
 
@@ -172,14 +175,17 @@ def _pieces(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """PIECES, written: kind 0 a row of docs, with its set where that may have a partner; kind 1 a shingle of a prefix
     that other texts hold too."""
     blocks, size = dealt(docs)
+    low = np.uint64(64 - min(63, max(32, size.bit_length() + SPARE_BITS)))
+
+    def short(shingles: np.ndarray) -> np.ndarray:
+        return shingles >> low << low | np.uint64(1)
 
     def keys_of(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(shingle_sets(list(frame["text"]), words)[0] | np.uint64(1), return_counts=True)
+        return np.unique(short(shingle_sets(list(frame["text"]), words)[0]), return_counts=True)
 
     def use(frame: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
         every, sizes = shingle_sets(list(frame["text"]), words)
-        keys, which = np.unique(every | np.uint64(1), return_inverse=True)
-        held = counts[which]
+        held = counts[np.unique(short(every), return_inverse=True)[1]]
         rows, at, done = [], 0, set()
         for doc_id, row_text, n in zip(ids(frame), frame["row_text"].tolist(), sizes.tolist()):
             s, c = every[at : at + n], held[at : at + n]
