@@ -25,9 +25,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has Spark's cleaner delete the shuffle files that no plan can read any more. It does so whenever the driver's
+    garbage is collected, which a driver with little to do may put off for half an hour while disks fill up."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def size_of(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """(rows, UTF-8 bytes of the texts) over the whole table."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("b")).first()
