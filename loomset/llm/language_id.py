@@ -6,9 +6,9 @@ text. As embedding and classifier are linear, a trained model is one table of lo
 
 Training reads a bounded sample: at most SAMPLE texts of each label, none above SAMPLE_CHARS characters, those with the
 smallest hashes of their ids. A fifth of it is held back: a temperature is fitted on it so that scores are calibrated,
-and two thresholds are set below what all but REJECT of its texts reach: one of the score, 0.5 at most, and one of the
-share of a text's features that training has seen. A text is rejected when it is below both: of an uncertain language and of
-unfamiliar letters (of two labels the better one always reaches 0.5). A text that mixes two learned languages is uncertain but familiar, and stays.
+and a threshold is set below what all but REJECT of its texts reach of familiarity, the share of a text's features that
+training has seen. A text below it is rejected, whatever its score: the softmax is sure of many texts in languages that it
+has not learned. A text that mixes two learned languages is uncertain but familiar, and stays.
 """
 
 from __future__ import annotations
@@ -80,10 +80,10 @@ def _features(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 class Model:
     """labels, a table by bucket (logits of the labels, then 1 for buckets seen in training), bias, temperature and the
-    rejection thresholds of score and familiarity."""
+    familiarity below which a text is rejected."""
 
-    def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, heat: float, least: float, familiar: float = 1.0):
-        self.labels, self.table, self.bias, self.heat, self.least, self.familiar = labels, table, bias, heat, least, familiar
+    def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, heat: float, familiar: float = 1.0):
+        self.labels, self.table, self.bias, self.heat, self.familiar = labels, table, bias, heat, familiar
 
     def _mean(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean of the table's rows over each text, and whether it has a letter. Long texts are taken in pieces, all of them."""
@@ -103,7 +103,7 @@ class Model:
         mean, has = self._mean([t or "" for t in texts])
         p = _softmax((mean[:, :-1] + self.bias) / self.heat)
         best, score = p.argmax(1), np.where(has, p.max(1), 0.0)
-        return [self.labels[k] if h else NONE for k, h in zip(best, has)], score, ~has | ((score < self.least) & (mean[:, -1] < self.familiar))
+        return [self.labels[k] if h else NONE for k, h in zip(best, has)], score, ~has | (mean[:, -1] < self.familiar)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         return self.judge(texts)[:2]
@@ -138,7 +138,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """rows: (text, label). No rows: a model without labels, which rejects everything."""
     labels = sorted({y for _, y in rows})
     if not labels:
-        return Model([], np.zeros((BUCKETS, 1)), np.zeros(0), 1.0, 0.5)
+        return Model([], np.zeros((BUCKETS, 1)), np.zeros(0), 1.0)
     rng, rows = np.random.default_rng(seed), sorted(rows)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     held = len(rows) // 5
@@ -163,15 +163,13 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             embed[ids] -= rate * len(ids) * 0.05 * share[:, None] * grad[None]
     seen = np.zeros(BUCKETS)
     seen[np.concatenate([ids for ids, _, _ in learn])] = 1
-    model = Model(labels, np.column_stack([embed @ out, seen]), bias, 1.0, 0.5)
+    model = Model(labels, np.column_stack([embed @ out, seen]), bias, 1.0)
     check = rows[:held] or rows
     mean, _ = model._mean([t for t, _ in check])
     z, y = mean[:, :-1] + bias, np.array([labels.index(y) for _, y in check])
     loss = lambda heat: -np.log(_softmax(z / heat)[np.arange(len(y)), y] + 1e-12).mean()
     model.heat = float(min(np.geomspace(0.05, 5, 60), key=loss))
-    top = np.sort(_softmax(z / model.heat).max(1))
-    low = int(REJECT * len(top))
-    model.least, model.familiar = float(min(0.5, top[low] * 0.9)), float(np.sort(mean[:, -1])[low] * 0.9)
+    model.familiar = float(np.sort(mean[:, -1])[int(REJECT * len(mean))] * 0.9)
     return model
 
 

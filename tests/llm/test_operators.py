@@ -282,6 +282,32 @@ def test_language_rejection():
     assert rejected.tolist() == [False] * 3 + [True] * 3 and score[4] == score[5] == 0
 
 
+UNLEARNED = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván.",
+    "Všichni lidé se rodí svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím.",
+    "asdkjh qwoeiu zxmcnb lkjqwe poiuzx mnbvgf qwpoei zxlkjh asdqwe",
+    "xqzjk vbnmw qpwrt zzxcv jklfd gfhds wqert yuiop hjkgf",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+]
+LEARNED = [
+    "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience.",
+    "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt.",
+    "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience.",
+    "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia.",
+]
+
+
+def test_language_rejects_unlearned_on_real_labels(spark):
+    """Most of these have a score near 1; sentences of the learned languages stay, and so does a mix of two."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.train(language_id.sample(docs))
+    assert model.judge(UNLEARNED)[2].all()
+    lang, _, rejected = model.judge([*LEARNED, LEARNED[0] + " " + LEARNED[1]])
+    assert lang[:4] == ["en", "de", "fr", "es"] and not rejected.any()
+
+
 def test_language_pieces_cover_long_texts():
     text = "abc def " * 100_000 + "x" * 300_000
     assert "".join(p for _, parts in language_id._pieces([text]) for p in parts) == text
