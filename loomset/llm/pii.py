@@ -2,8 +2,8 @@
 
 The network is trained in numpy from labelled spans: texts of a bounded sample, whose spans the patterns label, and
 spans in other spellings (emails with "at" and "dot", phones without a plus) and look-alikes without a label, set into
-such texts. Whole texts are searched for places with a digit, an at sign or a spelled-out one; overlapping windows
-over them are decoded by Viterbi. A span that touches an edge inside the text is left to the next window; of spans that
+such texts. Whole texts are searched for places with a digit, an at sign or a spelled-out one, in any case and with or
+without brackets, one of which every span must hold; overlapping windows over them are decoded by Viterbi, and those with an at sign and capitals once more in lower case. A span that touches an edge inside the text is left to the next window; of spans that
 overlap after that, over the whole text, the one with the higher mean probability stays. A base span is never dropped,
 and a new one must not touch it and must have the digits or signs of its kind.
 """
@@ -37,7 +37,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_PLACE = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]| dot ")
+#: What any span that _fits accepts must hold: a digit, an at sign or a spelled-out one, in any case.
+_PLACE = re.compile(r"[0-9@]|[\s(\[]at[\s)\]]", re.IGNORECASE)
+_AT = re.compile(r"@|[\s(\[]at[\s)\]]", re.IGNORECASE)
+_CAPITAL = re.compile(r"[A-Z]")
+#: Where training looks for windows.
+_SEEN_PLACE = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]| dot ")
 
 
 def luhn(digits: str) -> bool:
@@ -88,11 +93,14 @@ for _k in range(26):
 _CLASS[48:58] = DIGIT
 for _k, _c in enumerate(_SIGNS):
     _CLASS[ord(_c)] = 31 + _k
+_FOLDED = _CLASS.copy()
+_FOLDED[65:91] = _CLASS[97:123]
 
 
-def classes(text: str) -> np.ndarray:
+def classes(text: str, fold: bool = False) -> np.ndarray:
+    """fold: A-Z are taken as a-z."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 128, _CLASS[np.minimum(points, 127)], FOREIGN)
+    return np.where(points < 128, (_FOLDED if fold else _CLASS)[np.minimum(points, 127)], FOREIGN)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -239,7 +247,7 @@ def train(texts: list[str], seed: int = 5) -> Tagger:
     ids, tags = np.zeros((TRAIN_WINDOWS, TRAIN_WIDTH), np.int64), np.zeros((TRAIN_WINDOWS, TRAIN_WIDTH), np.int64)
     for k in range(TRAIN_WINDOWS):
         text = texts[rng.integers(len(texts))]
-        places = [m.start() for m in _PLACE.finditer(text)]
+        places = [m.start() for m in _SEEN_PLACE.finditer(text)]
         at = int(places[rng.integers(len(places))]) - int(rng.integers(0, TRAIN_WIDTH)) if places and rng.random() < 0.4 else int(rng.integers(0, max(1, len(text))))
         part = text[max(0, at) : max(0, at) + TRAIN_WIDTH]
         spans = base_spans(part)
@@ -279,7 +287,7 @@ def _fits(kind: str, text: str) -> bool:
     n = sum(c in "0123456789" for c in text)
     if kind == "email":
         low = text.lower()
-        return ("@" in text or re.search(r"[\s(\[]at[\s)\]]", low) is not None) and ("." in text or "dot" in low) and len(text) >= 6
+        return len(_AT.findall(text)) == 1 and ("." in text or "dot" in low) and len(text) >= 6
     if kind == "card":
         return 13 <= n <= 19 and luhn(_NOT_DIGIT.sub("", text))
     if kind == "phone":
@@ -290,16 +298,17 @@ def _fits(kind: str, text: str) -> bool:
 def new_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
     """The network's spans of each text, reconciled over its windows and with its base spans."""
     jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in places(t)]
-    jobs = [j for j in jobs if not any(a <= j[1] and j[2] <= b for _, a, b in base[j[0]])]
+    jobs = [(*j, False) for j in jobs if not any(a <= j[1] and j[2] <= b for _, a, b in base[j[0]])]
+    jobs += [(i, a, b, True) for i, a, b, _ in jobs if _AT.search(part := texts[i][a:b]) and _CAPITAL.search(part)]
     found: list[list[tuple[float, Span]]] = [[] for _ in texts]
     for at in range(0, len(jobs), BATCH):
         part = jobs[at : at + BATCH]
         ids = np.zeros((len(part), WINDOW), np.int64)
-        for k, (i, a, b) in enumerate(part):
-            ids[k, : b - a] = classes(texts[i][a:b])
+        for k, (i, a, b, fold) in enumerate(part):
+            ids[k, : b - a] = classes(texts[i][a:b], fold)
         tags, sure = tagger.viterbi(ids)
         for k in np.flatnonzero((tags > 0).any(1)).tolist():
-            i, a, b = part[k]
+            i, a, b, _ = part[k]
             row = tags[k, : b - a]
             for start in np.flatnonzero(row % 2 == 1).tolist():
                 end = start + 1

@@ -221,6 +221,19 @@ def test_pii_network_learns(tagger):
     assert wrong <= 6
 
 
+def test_pii_every_spelling_has_a_window(tagger):
+    """Emails without a digit: each at sign with each dot, as made for training or accepted by _fits, and in capitals."""
+    for at in ("@", " at ", " (at) ", " [at] ", "(at)", "[at]"):
+        for dot in (".", " dot ", " [dot] ", " (dot) "):
+            made = "john" + at + "example" + dot + "com"
+            for email in (made, made.upper(), made.replace("at", "AT").replace("dot", "DOT")):
+                text = "we go on and on with all the rest of it " * 5 + email + " and then some more " * 5
+                assert pii._fits("email", email) and any(a <= 200 and 200 + len(email) <= b for a, b in pii.places(text)), email
+    for email in ("JOHN.SMITH (AT) EXAMPLE (DOT) COM", "JOHN@EXAMPLE.COM"):
+        text = "it was said that we were to " + email + " and then go on with all the rest"
+        assert pii.new_spans([text], [[]], tagger)[0] == [("email", 28, 28 + len(email))]
+
+
 def test_pii_gradient():
     t = pii.Tagger()
     rng = np.random.default_rng(1)
