@@ -3,8 +3,10 @@
 The network is trained in numpy from labelled spans: texts of a bounded sample, whose spans the patterns label, and
 spans in other spellings (emails with "at" and "dot", phones without a plus) and look-alikes without a label, set into
 such texts. Whole texts are searched for places with a digit, an at sign or a spelled-out one, in any case and with or
-without brackets, one of which every span must hold; overlapping windows over them are decoded by Viterbi, and those with an at sign and capitals once more in lower case. A span that touches an edge inside the text is left to the next window; of spans that
-overlap after that, over the whole text, the one with the higher mean probability stays. A base span is never dropped,
+without brackets, one of which every span must hold; overlapping windows over them are decoded by Viterbi, and those with an at sign and capitals once more in lower case. A span that touches an edge inside the text is left to the next window, or if that has
+none there, to one more of twice the width, centred on it: spans of up to WINDOW characters are decoded whole wherever they
+start, those of up to twice that in part of the places. A span inside another of its kind is a part of it and goes; of
+spans that overlap after that, over the whole text, the one with the higher mean probability stays. A base span is never dropped,
 and a new one must not touch it and must have the digits or signs of its kind.
 """
 
@@ -295,15 +297,13 @@ def _fits(kind: str, text: str) -> bool:
     return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", text) is not None
 
 
-def new_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
-    """The network's spans of each text, reconciled over its windows and with its base spans."""
-    jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in places(t)]
-    jobs = [(*j, False) for j in jobs if not any(a <= j[1] and j[2] <= b for _, a, b in base[j[0]])]
-    jobs += [(i, a, b, True) for i, a, b, _ in jobs if _AT.search(part := texts[i][a:b]) and _CAPITAL.search(part)]
-    found: list[list[tuple[float, Span]]] = [[] for _ in texts]
+def _decoded(texts: list[str], jobs: list[tuple[int, int, int, bool]], width: int, tagger: Tagger, found: list[list[tuple[float, Span]]]) -> list[tuple[tuple[int, int, int, bool], tuple[int, int]]]:
+    """Adds the sure spans in windows (text, start, end, in lower case) of at most width characters to found. Returns the
+    windows and spans in them that touch an edge inside the text."""
+    cut = []
     for at in range(0, len(jobs), BATCH):
         part = jobs[at : at + BATCH]
-        ids = np.zeros((len(part), WINDOW), np.int64)
+        ids = np.zeros((len(part), width), np.int64)
         for k, (i, a, b, fold) in enumerate(part):
             ids[k, : b - a] = classes(texts[i][a:b], fold)
         tags, sure = tagger.viterbi(ids)
@@ -315,15 +315,37 @@ def new_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[
                 while end < len(row) and row[end] == row[start] + 1:
                     end += 1
                 if (start == 0 and a > 0) or (end == len(row) and b < len(texts[i])):
+                    cut.append((part[k], (start, end)))
                     continue
                 p, kind = float(sure[k, start:end].mean()), KINDS[(row[start] - 1) // 2]
                 if p >= SURE and _fits(kind, texts[i][a + start : a + end]):
                     found[i].append((p, (kind, a + start, a + end)))
+    return cut
+
+
+def new_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
+    """The network's spans of each text, reconciled over its windows and with its base spans."""
+    jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in places(t)]
+    jobs = [(*j, False) for j in jobs if not any(a <= j[1] and j[2] <= b for _, a, b in base[j[0]])]
+    jobs += [(i, a, b, True) for i, a, b, _ in jobs if _AT.search(part := texts[i][a:b]) and _CAPITAL.search(part)]
+    found: list[list[tuple[float, Span]]] = [[] for _ in texts]
+    again = set()
+    for (i, a, b, fold), cut in _decoded(texts, jobs, WINDOW, tagger, found):
+        around = (a + cut[0] + a + cut[1]) // 2 - WINDOW
+        if not any(x < a + cut[1] and a + cut[0] < y for _, x, y in base[i]):
+            again.add((i, max(0, around), min(len(texts[i]), around + 2 * WINDOW), fold))
+    _decoded(texts, sorted(again), 2 * WINDOW, tagger, found)
     out = []
     for spans, own in zip(found, base):
         kept: list[Span] = []
+        free = [(p, s) for p, s in spans if not any(s[1] < o[2] and o[1] < s[2] for o in own)]
+        spans, reach = [], dict.fromkeys(KINDS, 0)
+        for p, s in sorted(free, key=lambda x: (x[1][1], -x[1][2], -x[0])):
+            if s[2] > reach[s[0]]:  # not part of another span of its kind
+                spans.append((p, s))
+                reach[s[0]] = s[2]
         for _, s in sorted(spans, key=lambda x: (-x[0], x[1][1], x[1])):
-            if not any(s[1] < o[2] and o[1] < s[2] for o in [*own, *kept]):
+            if not any(s[1] < o[2] and o[1] < s[2] for o in kept):
                 kept.append(s)
         out.append(kept)
     return out

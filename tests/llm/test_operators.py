@@ -234,6 +234,13 @@ def test_pii_every_spelling_has_a_window(tagger):
         assert pii.new_spans([text], [[]], tagger)[0] == [("email", 28, 28 + len(email))]
 
 
+def test_pii_long_spans_at_every_start(tagger):
+    made = "john.smith (at) engineering (dot) example (dot) com"
+    for start in range(96, 144):
+        text = ("we go on and on with all the rest of it " * 4)[: start - 1] + " " + made + " and then go on with all the rest of it and some more"
+        assert ("email", start, start + len(made)) in pii.new_spans([text], [[]], tagger)[0], start
+
+
 def test_pii_gradient():
     t = pii.Tagger()
     rng = np.random.default_rng(1)
