@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -514,6 +515,29 @@ def test_pcm_column(docs):
         assert (law, rate) == (1, 16000) and len(data) == 4 * len(telephony.read_wav(bytes(r.media))[2])
 
 
+def test_pcm_column_by_format(spark):
+    x = (8000 * np.sin(np.arange(505 * 3) / 9)).astype(np.int16)
+    blocks = telephony.encode_adpcm(x, 505)
+    fmt = struct.pack("<HHIIHHHH", 17, 1, 8000, 4055, 256, 4, 2, 505)
+    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, 1500) + b"data" + struct.pack("<I", blocks.size) + blocks.tobytes()
+    adpcm = b"RIFF" + struct.pack("<I", len(body)) + body
+    linear = telephony.wav(x.astype("<i2").tobytes(), 1, 8000, 16)
+    alaw = telephony.wav(telephony.encode(x.astype(np.int64), telephony.ALAW).tobytes() + b"\xd5", telephony.ALAW)
+    for media, want in ((adpcm, telephony.decode_adpcm(blocks).reshape(-1)[:1500]), (linear, x), (alaw, telephony.table(telephony.ALAW)[np.frombuffer(telephony.read_wav(alaw)[2], np.uint8)])):
+        row = telephony.pcm_column(spark.createDataFrame([(bytearray(media),)], "media binary")).first()
+        assert telephony.read_wav(bytes(row.pcm)) == (1, 16000, telephony.resample(want).astype("<i2").tobytes())
+    with pytest.raises(ValueError):
+        telephony.wav_pcm(telephony.wav(bytes(4), 85))
+
+
+def test_resampled_pcm_is_stored(docs):
+    media = telephony.media_table(docs)
+    files = telephony.pcm_table(media).inputFiles()
+    assert files and all("/pcm-" in f for f in files)
+    features = Counter(telephony.feature(telephony.wav_pcm(bytes(r.pcm))[1]) for r in telephony.pcm_table(media).collect())
+    assert features == Counter(r.feature for r in telephony.read_back(media).collect())
+
+
 # -- 10: Jaccard join
 
 
