@@ -16,7 +16,7 @@ from loomset.llm.common import stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier rejects go: null texts, texts without a letter, scores below its threshold."""
+    """Documents whose language the classifier rejects go: null texts, texts without a letter, texts whose familiarity is below its threshold."""
     predict = language_id.predictor(docs)
     return docs.where(~predict("text")["rejected"])
 
@@ -29,6 +29,9 @@ def _row(docs: DataFrame):
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join the row with the smallest id stays; texts without words all stay.
 
+    Near copies are op10's: word shingles and the share of them as in its contract, jaccard_join.WORDS (4) and PERCENT (85), so
+    that the stage and the query name the same components. Texts that are alike only by looser measures (five words, 0.8) both stay.
+
     Rows are matched by id and hash of the text. The list of rows to drop is broadcast up to BROADCAST_ROWS rows and
     else joined by a shuffle."""
     drop, repeated = jaccard_join.keepers(docs)
