@@ -1,105 +1,180 @@
 """Corpus-wide counts of 64-bit keys, brought back to the blocks of documents that ask for them.
 
-Documents are dealt into blocks by a hash of their id and length. Each block sends every distinct key it holds, with
-its own count, as one packed blob to each range of keys; a range adds the counts of all blocks; the sums go back to
-the block in the order in which the keys were sent, so that no key travels twice. No step holds more than a block or a
+Documents are packed into blocks as they are scanned, each block one compressed row of a written table; no key decides
+which block a document goes to, so none can be hot. Each block sends every distinct key it holds, with its own count, as
+one packed blob to each range of keys; a range adds the counts of all blocks; what the others hold goes back to the
+block in the order in which the keys were sent, so that no key travels twice. No step holds more than a block or a
 range, whatever the corpus holds, and a key that is in every document is one entry of each block (pre-aggregated).
+
+Keys are of two kinds, each with its own number of bits and its own ranges.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack_sorted, size_of, stored, unpack_sorted
+from .common import pack_counts, pack_sorted, stored, trim, unpack_counts, unpack_sorted
 
 #: Bytes of text in a block, and keys in a range of keys.
-BLOCK_BYTES = 6 << 20
-RANGE_KEYS = 3_000_000
+BLOCK_BYTES = 5 << 20
+RANGE_KEYS = 1_200_000
+#: Bits of a key as the kinds have them, and keys that all blocks together may send, by kind.
+Kinds = list[tuple[int, int]]
+Keys = list[tuple[np.ndarray, np.ndarray]]
 
 
 def dealt(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text, row_text, block) dealt by block, and the UTF-8 bytes of all texts. row_text is a hash of the text.
-
-    The id is written as text: beside nulls pandas would turn it into a floating-point number."""
-    rows, size = size_of(docs)
-    blocks = max(1, math.ceil((size + 64 * rows) / block_bytes))
+    """(block, load, data), written, and the UTF-8 bytes of all texts. data is an Arrow stream of (doc_id, text, row_text),
+    read by frame_of; row_text is a hash of the text. A block is full at block_bytes: it holds one text more at most."""
     own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.encode("text", "utf-8").alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_text"))
-    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-    return own.repartition(max(blocks, 1), "block"), size
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done, held, load = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def block() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([first + done]), pa.array([load]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "load", "data"])
+
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                stop = min(batch.num_rows, int(np.searchsorted(ends, before + block_bytes - load)) + 1)
+                held.append(batch.slice(at, stop - at))
+                load += int(ends[stop - 1]) - before
+                at = stop
+                if load >= block_bytes:
+                    yield block()
+                    done, held, load = done + 1, [], 0
+        if held:
+            yield block()
+        trim()
+
+    blocks = stored(own.mapInArrow(pack, "block long, load long, data binary"), "blocks")
+    return blocks, blocks.agg(F.sum("load")).first()[0] or 0
+
+
+def frame_of(data: bytes) -> tuple[list[int | None], list[bytes | None], np.ndarray]:
+    """Ids, texts and hashes of the texts of a block."""
+    with pa.ipc.open_stream(data) as stream:
+        rows = stream.read_all()
+    return [None if x is None else int(x) for x in rows["doc_id"].to_pylist()], rows["text"].to_pylist(), rows["row_text"].to_numpy()
+
+
+def _asks(block: int, keys: Keys, kinds: Kinds) -> pd.DataFrame:
+    """The rows (block, part, keys, own) that a block sends."""
+    out, base = [], 0
+    for (own_keys, counts), (bits, expected) in zip(keys, kinds):
+        ranges = ranges_of(expected)
+        cuts = np.searchsorted(own_keys, np.array([(k << bits) // ranges for k in range(1, ranges)], np.uint64)).tolist()
+        for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(own_keys)])):
+            if b > a:
+                out.append((block, base + k, pack_sorted(own_keys[a:b]), pack_counts(counts[a:b])))
+        base += ranges
+    return pd.DataFrame(out, columns=["block", "part", "keys", "own"])
 
-def counted(blocks: DataFrame, keys_of: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], size: int, name: str) -> DataFrame:
-    """(block, part, counts): the corpus-wide counts of the keys that each block asks for.
 
-    keys_of gives the sorted distinct keys of a block and the block's own counts. counts holds compressed int64 in key
-    order, and part orders the ranges. Rows of block -1 hold for each range the number of its even keys that are counted
-    at all and the sum of their counts."""
-    ranges = max(1, math.ceil(size / 6 / RANGE_KEYS))
+def ranges_of(expected: int) -> int:
+    return max(1, math.ceil(expected / RANGE_KEYS))
+
+
+def _add(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of a range, for each block and each of its keys in order: four times the count that the other blocks have, plus 2
+    where another block asks for the key, plus 1 where this block is the first of all that have any. The row of block -1
+    holds how many keys have a count, and their sum."""
+    asked = [unpack_sorted(x) for x in frame["keys"]]
+    own = np.concatenate([unpack_counts(x) for x in frame["own"]])
+    every = np.concatenate(asked)
+    order = np.argsort(every, kind="stable")
+    ranked, counts = every[order], own[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    lengths = np.diff(np.append(first, len(every)))
+    sums = np.add.reduceat(counts, first)
+    some = np.cumsum(counts > 0)
+    before = np.repeat(some[first] - (counts[first] > 0), lengths)
+    answer = np.empty(len(every), np.int64)
+    answer[order] = 4 * (np.repeat(sums, lengths) - counts) + 2 * np.repeat(lengths > 1, lengths) + ((counts > 0) & (some - before == 1))
+    back, at, part = [], 0, int(frame["part"].iloc[0])
+    for block, keys in zip(frame["block"], asked):
+        back.append((int(block), part, pack_counts(answer[at : at + len(keys)])))
+        at += len(keys)
+    back.append((-1, part, np.array([(sums > 0).sum(), sums.sum()], "<i8").tobytes()))
+    del asked, own, every, order, ranked, counts, answer, some, before
+    trim()
+    return pd.DataFrame(back, columns=["block", "part", "counts"])
+
+
+def counted(asks: DataFrame, name: str) -> DataFrame:
+    """(block, part, counts), written, from rows of _asks: see _add."""
+    return stored(asks.groupBy("part").applyInPandas(_add, "block long, part int, counts binary"), name)
+
+
+ASKS = "block long, part int, keys binary, own binary"
+
+
+def ask(blocks: DataFrame, keys_of: Callable[[list, list], Keys], kinds: Kinds) -> DataFrame:
+    """What each block asks for: keys_of(ids, texts) gives of each kind the sorted distinct keys and the block's own counts."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for block, data in zip(f["block"], f["data"]):
+                yield _asks(int(block), keys_of(*frame_of(data)[:2]), kinds)
+                trim()
+
+    return blocks.select("block", "data").mapInPandas(rows, ASKS)
+
+
+def totals(answers: DataFrame, kinds: Kinds) -> tuple[int, int]:
+    """Of the first kind: keys that are counted at all, and the sum of their counts."""
 
-    def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = keys_of(frame)
-        at = np.searchsorted(keys, np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64))
-        edges = [0, *at.tolist(), len(keys)]
-        out = []
-        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            if b > a:
-                out.append((int(frame["block"].iloc[0]), k, pack_sorted(keys[a:b]), zlib.compress(counts[a:b].astype("<u4").tobytes(), 1)))
-        return pd.DataFrame(out, columns=["block", "part", "keys", "own"])
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        asked = [unpack_sorted(x) for x in frame["keys"]]
-        own = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for x in frame["own"]])
-        every = np.concatenate(asked)
-        order = np.argsort(every, kind="stable")
-        ranked = every[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        sums = np.add.reduceat(own[order].astype(np.int64), first)
-        which = np.empty(len(every), np.int64)
-        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(every))))
-        back, at, part = [], 0, int(frame["part"].iloc[0])
-        for block, keys in zip(frame["block"], asked):
-            back.append((int(block), part, zlib.compress(sums[which[at : at + len(keys)]].astype("<i8").tobytes(), 1)))
-            at += len(keys)
-        even = sums[ranked[first] & np.uint64(1) == 0]
-        back.append((-1, part, np.array([(even > 0).sum(), even.sum()], "<i8").tobytes()))
-        return pd.DataFrame(back, columns=["block", "part", "counts"])
-
-    asks = blocks.groupBy("block").applyInPandas(ask, "block int, part int, keys binary, own binary")
-    return stored(asks.groupBy("part").applyInPandas(add, "block int, part int, counts binary"), name)
-
-
-def ids(frame: pd.DataFrame) -> list[int | None]:
-    return [None if x is None else int(x) for x in frame["doc_id"]]
-
-
-def totals(answers: DataFrame) -> tuple[int, int]:
-    """(even keys that are counted at all, sum of their counts)."""
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             pairs = [np.frombuffer(x, "<i8") for x in f["counts"]]
             yield pd.DataFrame({"v": [int(sum(p[0] for p in pairs))], "n": [int(sum(p[1] for p in pairs))]})
 
-    row = answers.where("block = -1").select("counts").mapInPandas(read, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
+    own = answers.where((F.col("block") == -1) & (F.col("part") < ranges_of(kinds[0][1])))
+    row = own.select("counts").mapInPandas(read, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
     return row[0] or 0, row[1] or 0
 
 
-def answer_array(frame: pd.DataFrame) -> np.ndarray:
-    """The counts of a block's keys, in key order."""
-    rows = sorted(zip(frame["part"], frame["counts"]))
-    return np.concatenate([np.frombuffer(zlib.decompress(x), "<i8") for _, x in rows]) if rows else np.zeros(0, np.int64)
+def _answer(parts: list[tuple[int, bytes]], kinds: Kinds) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each kind: what the other blocks count, whether one of them asks, and whether this block is the first that has the key."""
+    out, base = [], 0
+    for _, expected in kinds:
+        mine = sorted((p, c) for p, c in parts if base <= p < base + ranges_of(expected))
+        both = np.concatenate([unpack_counts(c) for _, c in mine]) if mine else np.zeros(0, np.int64)
+        out.append((both >> 2, both & 2 > 0, both & 1 > 0))
+        base += ranges_of(expected)
+    return out
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """use(documents of a block, counts of its keys in key order), block by block."""
+def with_answers(blocks: DataFrame, answers: list[tuple[DataFrame, Kinds]], use: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """use(block, ids, texts, hashes of texts, answer of each round ...), block by block; see _answer."""
+    every = None
+    for k, (table, _) in enumerate(answers):
+        own = table.where("block >= 0").select("block", F.lit(k).alias("round"), "part", "counts")
+        every = own if every is None else every.unionByName(own)
+    shapes = [kinds for _, kinds in answers]
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return use(left, answer_array(right))
+        out = []
+        for block, data in zip(left["block"], left["data"]):
+            told = [_answer([(p, c) for r, p, c in zip(right["round"], right["part"], right["counts"]) if r == k], kinds) for k, kinds in enumerate(shapes)]
+            out.append(use(int(block), *frame_of(data), *told))
+        trim()
+        return out[0] if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
 
-    return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(both, schema)
+    return blocks.select("block", "data").groupBy("block").cogroup(every.groupBy("block")).applyInPandas(both, schema)

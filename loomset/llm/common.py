@@ -2,37 +2,90 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, a local one."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local session, whose driver
+    and executors are one process, has one of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "file:///tmp/checkpoints").rstrip("/")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _local_dir()
+    return found.rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="loomset-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Has Spark delete the shuffle files of a job when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Jobs in here leave no shuffle files: what they write is a table, which ends their lineage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empties tables of stored() that nothing reads any more: their files go, by an overwrite with no rows."""
+    for t in tables:
+        t.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(t._stored_at)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Has Spark's cleaner delete the shuffle files that no plan can read any more. It does so whenever the driver's
-    garbage is collected, which a driver with little to do may put off for half an hour while disks fill up."""
-    spark.sparkContext._jvm.System.gc()
+def trim() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system: a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:  # another C library: memory stays with the worker
+        return None
 
 
 def size_of(docs: DataFrame, text: str = "text") -> tuple[int, int]:
@@ -89,7 +142,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max(1 << 18, 1 << (n - 1).bit_length())
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             table = np.full(size, np.uint64(base))
             table[0] = 1
@@ -108,7 +161,7 @@ def _hash_chunk(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def word_hashes(texts: list[bytes | None], chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes | None], chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of each text, A-Z lower-cased, and the number of words of each text.
 
     All texts of a chunk are hashed at once: a word's hash is a difference of prefix sums of a polynomial over its bytes."""
@@ -129,25 +182,41 @@ def word_hashes(texts: list[bytes | None], chunk: int = 1 << 20) -> tuple[np.nda
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys: the first, then differences, each in as few bytes as the largest needs once the zero
-    bits that end all of them are dropped."""
+    """Sorted distinct 64-bit keys, by Elias and Fano: of each key's distance from the first the low bits as they are, as
+    many as leave some two bits a key, and the others, which ascend, as a bitmap of key number plus value."""
     if not len(keys):
         return b""
-    gaps = np.diff(keys)
-    every = int(np.bitwise_or.reduce(gaps)) if len(gaps) else 1
-    shift = (every & -every).bit_length() - 1
-    width = max(1, (every.bit_length() - shift + 7) // 8)
-    body = np.ascontiguousarray((gaps >> np.uint64(shift)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-    return bytes([width, shift]) + int(keys[0]).to_bytes(8, "little") + body.tobytes()
+    x = keys - keys[0]
+    n = len(x)
+    low = max(0, (int(x[-1]) // n).bit_length() - 1)
+    head = n.to_bytes(8, "little") + bytes([low]) + int(keys[0]).to_bytes(8, "little")
+    bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, count=low, bitorder="little") if low else np.zeros((n, 0), np.uint8)
+    high = (x >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    marks = np.zeros(int(high[-1]) + 1, np.uint8)
+    marks[high] = 1
+    return head + np.packbits(bits).tobytes() + np.packbits(marks).tobytes()
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint64)
-    width, shift = blob[0], blob[1]
-    body = np.frombuffer(blob, np.uint8, offset=10).reshape(-1, width)
-    full = np.zeros((len(body) + 1, 8), np.uint8)
-    full[1:, :width] = body
-    gaps = full.reshape(-1).view("<u8") << np.uint64(shift)
-    gaps[0] = int.from_bytes(blob[2:10], "little")
-    return np.cumsum(gaps, dtype=np.uint64)
+    n, low = int.from_bytes(blob[:8], "little"), blob[8]
+    mid = 17 + (n * low + 7) // 8
+    x = (np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=mid)))[:n] - np.arange(n)).astype(np.uint64) << np.uint64(low)
+    if low:
+        bits = np.unpackbits(np.frombuffer(blob, np.uint8, mid - 17, 17), count=n * low).reshape(n, low)
+        full = np.zeros((n, 8), np.uint8)
+        full[:, : (low + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
+        x |= full.reshape(-1).view("<u8")
+    return x + np.uint64(int.from_bytes(blob[9:17], "little"))
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts, nearly all of which are small, in as few bytes as the largest needs, compressed."""
+    most = int(counts.max()) if len(counts) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w - 1 or w == 8)
+    return bytes([width]) + zlib.compress(counts.astype(f"<i{width}").tobytes(), 1)
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob[1:]), f"<i{blob[0]}").astype(np.int64)

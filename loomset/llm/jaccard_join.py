@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blockcount import counted, dealt, ids, with_answers
-from .common import hot_keys, join_hot, mix, stored, word_hashes
+from .blockcount import Kinds, ask, counted, dealt, with_answers
+from .common import discard, hot_keys, join_hot, mix, stored, word_hashes
 
 WORDS = 4
 PERCENT = 85
@@ -164,7 +164,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
     mark = spread(now)
     for _ in range(rounds):
-        now = stored(star(star(now, True), False), "edges")
+        old, now = now, stored(star(star(now, True), False), "edges")
+        discard(old)
         mark, last = spread(now), mark
         if mark == last:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
@@ -175,37 +176,45 @@ def _pieces(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """PIECES, written: kind 0 a row of docs, with its set where that may have a partner; kind 1 a shingle of a prefix
     that other texts hold too."""
     blocks, size = dealt(docs)
-    low = np.uint64(64 - min(63, max(32, size.bit_length() + SPARE_BITS)))
-
-    def short(shingles: np.ndarray) -> np.ndarray:
-        return shingles >> low << low | np.uint64(1)
-
-    def keys_of(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(short(shingle_sets(list(frame["text"]), words)[0]), return_counts=True)
-
-    def use(frame: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
-        every, sizes = shingle_sets(list(frame["text"]), words)
-        held = counts[np.unique(short(every), return_inverse=True)[1]]
-        rows, at, done = [], 0, set()
-        for doc_id, row_text, n in zip(ids(frame), frame["row_text"].tolist(), sizes.tolist()):
-            s, c = every[at : at + n], held[at : at + n]
-            at += n
-            key, keep = set_key(s), None
-            if n:
+    bits = min(64, max(32, size.bit_length() + SPARE_BITS))
+    kinds: Kinds = [(64, 1), (bits, size // 6 + 1)]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def keys_of(ids: list, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [none, np.unique(shingle_sets(texts, words)[0] >> np.uint64(64 - bits), return_counts=True)]
+
+    def use(block: int, ids: list, texts: list, hashes: np.ndarray, answer: list) -> pd.DataFrame:
+        every, sizes = shingle_sets(texts, words)
+        _, which, own = np.unique(every >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+        held = (own + answer[1][0])[which]
+        ends = np.cumsum(sizes)
+        keys, keep, tokens, of = [], [], [], []
+        done = set()
+        for i, n in enumerate(sizes.tolist()):
+            s, c = every[ends[i] - n : ends[i]], held[ends[i] - n : ends[i]]
+            key = set_key(s) if n else None
+            keys.append(key)
+            keep.append(None)
+            if n and key not in done:
+                done.add(key)
                 first = n - (percent * n + 99) // 100 + 1
-                if key not in done:
-                    near = np.lexsort((s | np.uint64(1), c))[:first] if first < n else np.arange(n)
-                    shared = s[near[c[near] > 1]]
-                    if len(shared):
-                        keep = s.tobytes()
-                        rows += [(1, None, None, key, n, t, None) for t in (shared | np.uint64(1)).view(np.int64).tolist()]
-                    done.add(key)
-            rows.append((0, doc_id, row_text, key if n else None, n, None, keep))
-        columns = [list(c) for c in zip(*rows)]
-        whole = lambda k: pd.array(columns[k], "Int64")  # noqa: E731  a list with nulls would become floating-point numbers
-        return pd.DataFrame({"kind": columns[0], "doc_id": whole(1), "row_text": whole(2), "key": columns[3], "n": columns[4], "token": whole(5), "shingles": columns[6]})
-
-    return stored(with_answers(blocks, counted(blocks, keys_of, size, "shingles"), use, PIECES), "pieces")
+                near = np.lexsort((s, c))[:first] if first < n else np.arange(n)
+                shared = s[near[c[near] > 1]]
+                if len(shared):
+                    keep[-1] = s.tobytes()
+                    tokens.append(shared.view(np.int64))
+                    of.append(np.full(len(shared), i))
+        of, tokens = np.concatenate(of or [np.zeros(0, np.int64)]), np.concatenate(tokens or [np.zeros(0, np.int64)])
+        rows = pd.DataFrame({"kind": 0, "doc_id": pd.array(ids, "Int64"), "row_text": pd.array(hashes, "Int64"), "key": keys, "n": sizes, "token": pd.array([None] * len(ids), "Int64"), "shingles": keep})
+        if not len(of):
+            return rows
+        blank = pd.array([None] * len(of), "Int64")
+        return pd.concat([rows, pd.DataFrame({"kind": 1, "doc_id": blank, "row_text": blank, "key": np.array(keys, object)[of], "n": sizes[of], "token": pd.array(tokens, "Int64"), "shingles": None})])
+
+    counts = counted(ask(blocks, keys_of, kinds), "shingles")
+    pieces = stored(with_answers(blocks, [(counts, kinds)], use, PIECES), "pieces")
+    discard(blocks, counts)
+    return pieces
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:

@@ -11,8 +11,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from loomset.llm import common, decontamination, jaccard_join, language_id, lm_scoring, mixing, pii, sharding, telephony, token_counts, warc
-from loomset.llm.common import pack_sorted, unpack_sorted, word_hashes
+from loomset.llm import blockcount, common, decontamination, jaccard_join, language_id, lm_scoring, mixing, pii, sharding, telephony, token_counts, warc
+from loomset.llm.common import pack_counts, pack_sorted, unpack_counts, unpack_sorted, word_hashes
 
 from .conftest import TEXTS
 
@@ -41,36 +41,49 @@ def test_word_hashes_tell_words_apart():
 
 
 def test_pack_sorted_round_trip():
-    for keys in ([], [0], [5, 6, 2**64 - 1], list(range(1000))):
+    wide = sorted({int(x) for x in np.random.default_rng(1).integers(0, 2**63, 999)})
+    for keys in ([], [0], [5, 6, 2**64 - 1], list(range(1000)), wide, [x >> 40 << 3 for x in wide[::50]]):
         assert unpack_sorted(pack_sorted(np.array(keys, np.uint64))).tolist() == keys
+    for counts in ([], [0, 1], [127], [128, 0], [2**15], [2**40, 3]):
+        assert unpack_counts(pack_counts(np.array(counts, np.int64))).tolist() == counts
 
 
 # -- 1: LM scoring
 
 
-def lm_brute(rows):
+def lm_model(rows, order):
+    """Counts of n-grams and followers of histories, as they are written down; begin marks are histories only."""
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
-    one, two, texts = Counter(), Counter(), 0
+    count, after = Counter(), defaultdict(set)
     for i, t in rows:
         if not held(i):
-            w = [*tokens(t), None]
-            one.update(w)
-            two.update(zip(["<", *w], w))
-            texts += 1
-    n, v = sum(one.values()), len(one)
+            w = ["<", *tokens(t), None]
+            for k in range(1, order + 1):
+                for a in range(len(w) - k + 1):
+                    count[tuple(w[a : a + k])] += 1
+                    after[tuple(w[a : a + k - 1])].add(w[a + k - 1])
+    single = {g: c for g, c in count.items() if len(g) == 1 and g != ("<",)}
+    n, v = sum(single.values()), len(single)
+
+    def p(history, word):
+        if not history:
+            return (count[word,] + 0.1) / (n + 0.1 * (v + 1))
+        if history not in after:
+            return p(history[1:], word)
+        t = len(after[history])
+        return (count[(*history, word)] + t * p(history[1:], word)) / (count[history] + t)
+
+    return held, count, n, p
+
+
+def lm_brute(rows, order=3):
+    held, count, n, p = lm_model(rows, order)
     out = []
     for i, t in rows:
-        base = full = 0.0
-        w = [*tokens(t), None]
-        for h, x in zip(["<", *w], w):
-            p = (one[x] + 0.1) / (n + 0.1 * (v + 1))
-            base += math.log10(p)
-            c = texts if h == "<" else one[h]
-            if c:
-                b = 1 / (1 + c**0.1)
-                p = (1 - b) * two[h, x] / c + b * p
-            full += math.log10(p)
-        out.append((i, held(i), len(w), sum(one[x] > 0 for x in w), n, base, full))
+        w = ["<", *tokens(t), None]
+        base = sum(math.log10(p((), x)) for x in w[1:])
+        full = sum(math.log10(p(tuple(w[max(0, a - order + 1) : a]), w[a])) for a in range(1, len(w)))
+        out.append((i, held(i), len(w) - 1, sum(count[x,] > 0 for x in w[1:]), n, base, full, full / (len(w) - 1)))
     return out
 
 
@@ -83,11 +96,16 @@ def same_scores(got, want):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
-def test_lm_edge_cases(docs):
-    same_scores(rows_of(lm_scoring.score(docs)), lm_brute([(i, t) for i, t, _, _ in TEXTS]))
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_edge_cases(docs, order):
+    same_scores(rows_of(lm_scoring.score(docs, order)), lm_brute([(i, t) for i, t, _, _ in TEXTS], order))
 
 
-def test_lm_corpus(corpus):
+@pytest.mark.parametrize("block", [blockcount.BLOCK_BYTES, 20_000])
+def test_lm_corpus(corpus, monkeypatch, block):
+    """In one block and in many, of which each knows only a part of the followers."""
+    monkeypatch.setattr(blockcount.dealt, "__defaults__", (block,))
+    monkeypatch.setattr(blockcount, "RANGE_KEYS", block)
     rows = [(r.doc_id, r.text) for r in corpus.collect()]
     got = rows_of(lm_scoring.score(corpus))
     same_scores(got, lm_brute(rows))
@@ -95,16 +113,34 @@ def test_lm_corpus(corpus):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_arcs_of_a_state_sum_to_one():
-    one = Counter({b"a": 5, b"b": 3, None: 2})
-    n, v, c, b = 10, 3, 5, 1 / (1 + 5**0.1)
-    follow = {b"a": 2, b"b": 2, None: 1}
-    p = lambda w: (one.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))
-    assert sum((1 - b) * follow.get(w, 0) / c + b * p(w) for w in (*one, "unknown")) == pytest.approx(1)
-
-
-def test_lm_order_three_runs(docs):
-    assert lm_scoring.score(docs, order=3).count() == len(TEXTS)
+def automaton(rows, order):
+    learn = np.array([not lm_scoring.held_out(i) for i, _ in rows])
+    grams = lm_scoring.Grams([t.encode() if t is not None else None for _, t in rows], learn, order)
+    counts = grams.own
+    single = np.delete(counts[0], grams.begin)
+    return grams, lm_scoring.Automaton(grams, counts, grams.followers([c > 0 for c in counts]), int(single.sum()), int((single > 0).sum()))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_automaton(order):
+    """Of each state of the built automaton: the arcs over all known tokens and all unknown ones as one sum to 1; a walk
+    in stretches of any length is a walk token by token."""
+    rows = [(i, t and " ".join(t.split()[:30])) for i, t, _, _ in TEXTS] + [(k, f"a b{k % 3} c a b{k % 2} d") for k in range(20, 40)]
+    grams, model = automaton(rows, order)
+    known = np.flatnonzero(grams.own[0] > 0)
+    known = known[known != grams.begin]
+    for state in {0, *model.to.tolist(), model.start}:
+        _, cost = model.step(np.full(len(known) + 1, state), np.append(known, np.flatnonzero(grams.own[0] == 0)[0]))
+        assert (10.0**cost).sum() == pytest.approx(1), state
+    whole = model.walk(grams.tokens, grams.starts, grams.lengths, order)
+    for stretch in (1, 3, 7):
+        assert model.walk(grams.tokens, grams.starts, grams.lengths, order, stretch) == pytest.approx(whole)
+    for k, (start, n) in enumerate(zip(grams.starts, grams.lengths)):
+        state, total = np.array([model.start]), 0.0
+        for token in grams.tokens[start + 1 : start + 1 + n]:
+            state, cost = model.step(state, np.array([token]))
+            total += cost[0]
+        assert total == pytest.approx(whole[k])
 
 
 def test_lm_empty(no_docs):
