@@ -544,11 +544,79 @@ def test_audio(docs, corpus, no_docs):
     assert rows_of(telephony.store_and_read(no_docs)) == []
 
 
-def test_pcm_column(docs):
-    got = rows_of(telephony.pcm_column(telephony.media_table(docs)))
-    for r in got:
+def test_pcm_column(docs, corpus):
+    laws = Counter()
+    for r in rows_of(telephony.pcm_column(telephony.media_table(corpus))):
         law, rate, data = telephony.read_wav(bytes(r.pcm))
-        assert (law, rate) == (1, 16000) and len(data) == 4 * len(telephony.read_wav(bytes(r.media))[2])
+        kind, _, codes = telephony.read_wav(bytes(r.media))
+        laws[kind] += 1
+        assert (law, rate) == (1, 16000) and len(data) == 4 * len(codes) * (121 / 64 if kind == telephony.ADPCM else 1)
+    assert set(laws) == {telephony.MULAW, telephony.ALAW, telephony.ADPCM}
+
+
+def adpcm_brute(data, align):
+    """Block by block, sample by sample, from the format's description."""
+    out = []
+    for at in range(0, len(data), align):
+        block = data[at : at + align]
+        value, index = struct.unpack_from("<hB", block)
+        index = min(index, 88)
+        out.append(value)
+        for byte in block[4:]:
+            for code in (byte & 15, byte >> 4):
+                step = int(telephony.STEP_SIZES[index])
+                change = step >> 3
+                for bit, part in ((4, step), (2, step >> 1), (1, step >> 2)):
+                    change += part if code & bit else 0
+                value = max(-32768, min(32767, value - change if code & 8 else value + change))
+                index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                out.append(value)
+    return out
+
+
+def law_brute(code, law):
+    if law == telephony.MULAW:
+        c = 255 - code
+        size = ((2 * (c % 16) + 33) << (c // 16 % 8)) - 33 << 2
+        return -size if c >= 128 else size
+    c = code ^ 0x55
+    power, low = c // 16 % 8, c % 16
+    size = (2 * low + 1 if not power else (2 * low + 33) << (power - 1)) << 3
+    return size if c >= 128 else -size
+
+
+def test_audio_feature_by_brute_force(docs, corpus):
+    """media_sha256 and the feature, from the text alone."""
+    for table in (docs, corpus.limit(60)):
+        want = Counter()
+        for r in table.select("text").collect():
+            b = (r.text or "").encode()
+            p = b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))
+            k = zlib.crc32(p) % 16
+            law = telephony.ADPCM if not k else telephony.MULAW if k % 2 else telephony.ALAW
+            x = adpcm_brute(p, 64) if law == telephony.ADPCM else [law_brute(c, law) for c in p]
+            y = [v for a, after in zip(x, [*x[1:], x[-1]]) for v in (a, (a + after) >> 1)]
+            turns = sum((a < 0) != (c < 0) for a, c in zip(y, y[1:]))
+            want[hashlib.sha256(telephony.wav(p, law, align=64)).hexdigest(), f"{sum(y)}:{sum(v * v for v in y)}:{turns}:{max(map(abs, y))}"] += 1
+        assert Counter((r.media_sha256, r.feature) for r in rows_of(telephony.store_and_read(table))) == want
+
+
+def test_packed_pcm_round_trip():
+    rng = np.random.default_rng(4)
+    few, wide = rng.choice(telephony.table(telephony.MULAW), 999), rng.integers(-32768, 32768, 5000).astype(np.int16)
+    for x in (np.zeros(0, np.int16), few[:1], few, wide, telephony.resample(few), telephony.resample(wide), telephony.resample(few)[:-1]):
+        rate, got = telephony.unpack_pcm(telephony.pack_pcm(x, 16000))
+        assert rate == 16000 and got.dtype == np.int16 and (got == x).all() and len(got) == len(x)
+    assert len(telephony.pack_pcm(telephony.resample(few), 16000)) < 999 + 2 * 256 + 20
+
+
+def test_resample_to_a_lower_rate():
+    """A tone that the lower rate can hold stays, one that it can't hold goes."""
+    t = np.arange(8000)
+    for hertz, least, most in ((300, 0.9, 1.1), (3600, 0.0, 0.1)):
+        x = (10000 * np.sin(2 * np.pi * hertz * t / 8000)).astype(np.int16)
+        y = telephony.resample(x, 8000, 4000)
+        assert len(y) == 4000 and least <= np.abs(y[200:-200].astype(float)).max() / 10000 <= most
 
 
 def test_pcm_column_by_format(spark):
@@ -570,7 +638,7 @@ def test_resampled_pcm_is_stored(docs):
     media = telephony.media_table(docs)
     files = telephony.pcm_table(media).inputFiles()
     assert files and all("/pcm-" in f for f in files)
-    features = Counter(telephony.feature(telephony.wav_pcm(bytes(r.pcm))[1]) for r in telephony.pcm_table(media).collect())
+    features = Counter(telephony.feature(telephony.unpack_pcm(bytes(r.pcm))[1]) for r in telephony.pcm_table(media).collect())
     assert features == Counter(r.feature for r in telephony.read_back(media).collect())
 
 
