@@ -505,11 +505,37 @@ def test_warc(spark, sf):
 def test_warc_payloads_come_back(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     path = f"file://{tmp_path}/w"
-    warc.write_archives(warc.resolve(pages), path)
+    warc.write_archives(pages, path)
     got = {r.page_id: bytes(r.payload) for r in rows_of(warc.read_archives(spark, path, payload=True)) if r.record_type == "response"}
     assert got == {2: PAGES[1][2].encode(), 4: b"", 5: PAGES[4][2].encode(), 6: b"\r\n\r\n", None: b"alone", 2**60 + 3: b"x"}
 
 
+@pytest.mark.parametrize("most", [warc.BROADCAST_ROWS, 3])
+def test_warc_of_one_payload_in_half_of_all_pages(spark, monkeypatch, most):
+    """Long pages are in files of their own; with few and with many revisits the result is the same."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+    rows = [(k, "u", "same page" if k % 2 else f"page {k}" * (30_000 if k % 50 == 0 else 1)) for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in rows_of(warc.deduplicate(pages))}
+    assert len(got) == 400
+    for k, _, h in rows:
+        again = k % 2 == 1 and k != 399
+        assert (got[k].record_type, got[k].refers_to) == (("revisit", 399) if again else ("response", None))
+        assert (got[k].payload_bytes, got[k].payload_digest) == (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode())
+
+
+def test_warc_parses_members_and_pieces():
+    import gzip
+
+    record = lambda k, n: b"WARC/1.1\r\nWARC-Record-ID: %d\r\nContent-Length: %d\r\n\r\n" % (k, n) + b"x" * n + b"\r\n\r\n"
+    sizes = [0, 5, 3 << 20, 7, 1 << 20, 0]
+    whole = b"".join(record(k, n) for k, n in enumerate(sizes))
+    for content in (gzip.compress(whole), b"".join(gzip.compress(record(k, n)) for k, n in enumerate(sizes))):
+        assert [(h["WARC-Record-ID"], len(b)) for h, b in warc.parse(content)] == [(str(k), n) for k, n in enumerate(sizes)]
+    with pytest.raises(ValueError):
+        list(warc.parse(gzip.compress(whole[:-3])))
+
+
 # -- 9: telephony
 
 
