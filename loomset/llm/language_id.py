@@ -4,11 +4,14 @@ A text's letters are lower-cased and all else is a word border. Features are the
 word with its borders, hashed into BUCKETS rows of an embedding; a text is the mean over all its features, of the whole
 text. As embedding and classifier are linear, a trained model is one table of logits by bucket.
 
-Training reads a bounded sample: at most SAMPLE texts of each label, none above SAMPLE_CHARS characters, those with the
-smallest hashes of their ids. A fifth of it is held back: a temperature is fitted on it so that scores are calibrated,
-and a threshold is set below what all but REJECT of its texts reach of familiarity, the share of a text's features that
-training has seen. A text below it is rejected, whatever its score: the softmax is sure of many texts in languages that it
-has not learned. A text that mixes two learned languages is uncertain but familiar, and stays.
+Training reads a bounded sample: at most SAMPLE texts of each label and SAMPLE_ROWS in all, those with the smallest hashes,
+of up to SAMPLE_CHARS characters; only a label with too few of these learns from LONG of its shortest longer texts too.
+A fifth of the sample is held back. On it, whole, in short pieces and in pieces of two labels, a temperature is fitted, so
+that scores are calibrated. A text is rejected by its likeness: the mean log-likelihood of its features under the label
+that they fit best. The threshold is calibrated on labels left out: OTHER of the held-back texts, judged as if their own
+label had not been learned, lie below it; but never more than REJECT of them (and of their pieces) judged with it. The
+score plays no part: the softmax is sure of many texts in languages that it has not learned, and unsure of a text that
+mixes two learned ones, which stays.
 """
 
 from __future__ import annotations
@@ -23,10 +26,13 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 15
 DIM = 12
 GRAMS = (1, 2, 3, 4)
-SAMPLE, SAMPLE_CHARS = 500, 20_000
+SAMPLE, SAMPLE_ROWS, SAMPLE_CHARS, LONG = 500, 20_000, 20_000, 20
 EPOCHS, RATE = 5, 2.0
-REJECT = 0.001
-MAX_LABELS = 1000
+REJECT, OTHER = 0.001, 0.6
+#: Added to counts of features for likelihoods; characters of the pieces that calibration judges.
+ADD, PIECE = 0.01, (20, 60, 200)
+#: Labels that are learned; where there are more, the most frequent ones.
+MAX_LABELS = 200
 NONE = "und"
 _CHUNK = 1 << 18
 
@@ -79,11 +85,11 @@ def _features(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    """labels, a table by bucket (logits of the labels, then 1 for buckets seen in training), bias, temperature and the
-    familiarity below which a text is rejected."""
+    """labels, a table by bucket (logits of the labels, then log-likelihoods under them), bias, temperature and the
+    likeness below which a text is rejected."""
 
-    def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, heat: float, familiar: float = 1.0):
-        self.labels, self.table, self.bias, self.heat, self.familiar = labels, table, bias, heat, familiar
+    def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, heat: float, least: float = 0.0):
+        self.labels, self.table, self.bias, self.heat, self.least = labels, table, bias, heat, least
 
     def _mean(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean of the table's rows over each text, and whether it has a letter. Long texts are taken in pieces, all of them."""
@@ -101,9 +107,10 @@ class Model:
         if not self.labels:
             return [NONE] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         mean, has = self._mean([t or "" for t in texts])
-        p = _softmax((mean[:, :-1] + self.bias) / self.heat)
+        k = len(self.labels)
+        p = _softmax((mean[:, :k] + self.bias) / self.heat)
         best, score = p.argmax(1), np.where(has, p.max(1), 0.0)
-        return [self.labels[k] if h else NONE for k, h in zip(best, has)], score, ~has | (mean[:, -1] < self.familiar)
+        return [self.labels[k] if h else NONE for k, h in zip(best, has)], score, ~has | (mean[:, k:].max(1) < self.least)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         return self.judge(texts)[:2]
@@ -138,7 +145,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """rows: (text, label). No rows: a model without labels, which rejects everything."""
     labels = sorted({y for _, y in rows})
     if not labels:
-        return Model([], np.zeros((BUCKETS, 1)), np.zeros(0), 1.0)
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     rng, rows = np.random.default_rng(seed), sorted(rows)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     held = len(rows) // 5
@@ -161,33 +168,65 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             out -= rate * 0.1 * np.outer(x, p)
             bias -= rate * 0.01 * p
             embed[ids] -= rate * len(ids) * 0.05 * share[:, None] * grad[None]
-    seen = np.zeros(BUCKETS)
-    seen[np.concatenate([ids for ids, _, _ in learn])] = 1
-    model = Model(labels, np.column_stack([embed @ out, seen]), bias, 1.0)
-    check = rows[:held] or rows
-    mean, _ = model._mean([t for t, _ in check])
-    z, y = mean[:, :-1] + bias, np.array([labels.index(y) for _, y in check])
-    loss = lambda heat: -np.log(_softmax(z / heat)[np.arange(len(y)), y] + 1e-12).mean()
-    model.heat = float(min(np.geomspace(0.05, 5, 60), key=loss))
-    model.familiar = float(np.sort(mean[:, -1])[int(REJECT * len(mean))] * 0.9)
+    counts = np.zeros((BUCKETS, len(labels)))
+    for text, y in rows[held:]:
+        bucket = features([text])[0]
+        counts[:, labels.index(y)] += np.bincount(bucket, minlength=BUCKETS)
+    model = Model(labels, np.column_stack([embed @ out, np.log((counts + ADD) / (counts.sum(0) + ADD * BUCKETS))]), bias, 1.0)
+    _calibrate(model, rows[:held] or rows, rng)
     return model
 
 
+def _calibrate(model: Model, check: list[tuple[str, str]], rng: np.random.Generator) -> None:
+    """Sets the temperature and the threshold of rejection from texts that were held back."""
+    k, number = len(model.labels), {y: i for i, y in enumerate(model.labels)}
+
+    def piece(text: str, size: int) -> str:
+        at = int(rng.integers(0, max(1, len(text) - size + 1)))
+        return text[at : at + size]
+
+    short = [(piece(t, n), y) for t, y in check for n in PIECE]
+    mixed = [(piece(t, 120) + " " + piece(u, 60), y) for (t, y), (u, _) in zip(check, check[1:])]
+
+    def means(texts: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+        mean, has = model._mean([t for t, _ in texts])
+        return mean[has], np.array([number[y] for _, y in texts], int)[has]
+
+    mean, y = means([*check, *short, *mixed])
+    if not len(y):
+        return
+    z = mean[:, :k] + model.bias
+    loss = lambda heat: -np.log(_softmax(z / heat)[np.arange(len(y)), y] + 1e-12).mean()
+    model.heat = float(min(np.geomspace(0.01, 20, 100), key=loss))
+    like = np.sort(means([*check, *short[2::3]])[0][:, k:].max(1))
+    model.least = float(like[int(REJECT * len(like))])
+    whole, y = means(check)
+    if k > 1 and len(y):
+        other = whole[:, k:].copy()
+        other[np.arange(len(y)), y] = -np.inf
+        model.least = min(model.least, float(np.quantile(other.max(1), OTHER)))
+
+
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """The bounded training sample; the share of each label to read comes from the label's count over all rows."""
+    """The bounded training sample; the share of each label to read comes from the label's count over all rows. Rows that
+    are there many times are one."""
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (key % 4 != 2)).where(F.length("text") <= SAMPLE_CHARS)
-    counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().limit(MAX_LABELS + 1).collect()}
-    if len(counts) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
+    fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (key % 4 != 2))
+    fit = fit.select("lang", "text", F.length("text").alias("n"), F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)).alias("d"))
+    short = F.col("n") <= SAMPLE_CHARS
+    labels = fit.groupBy("lang").agg(F.count(F.when(short, 1)).alias("few"), F.count(F.lit(1)).alias("all")).orderBy(F.desc("all"), "lang").limit(MAX_LABELS).collect()
+    each = min(SAMPLE, SAMPLE_ROWS // max(1, len(labels)))
     pick = F.lit(False)
-    for label, n in counts.items():
-        pick = pick | ((F.col("lang") == label) & (draw < int(min(1.0, 1.3 * SAMPLE / n) * (1 << 30))))
-    rows = fit.where(pick).select("lang", "text", draw.alias("d"), "doc_id").collect() if counts else []
+    for r in labels:
+        if r["few"]:
+            pick = pick | ((F.col("lang") == r["lang"]) & (F.col("d") < int(min(1.0, 1.3 * each / r["few"]) * (1 << 30))))
+    rows = fit.where(short & pick).distinct().orderBy("d", "lang", "text").limit(2 * each * max(1, len(labels))).collect() if labels else []
+    scarce = [r["lang"] for r in labels if r["few"] < min(each, r["all"])]
+    if scarce:
+        rows += fit.where(~short & F.col("lang").isin(scarce)).distinct().orderBy("n", "d", "text").limit(LONG).collect()
     taken: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["d"], r["doc_id"], r["text"])):
-        if len(mine := taken.setdefault(r["lang"], [])) < SAMPLE:
+    for r in rows:
+        if len(mine := taken.setdefault(r["lang"], [])) < each:
             mine.append((r["text"], r["lang"]))
     return [x for mine in taken.values() for x in mine]
 
@@ -207,8 +246,9 @@ def predictor(docs: DataFrame, model: Model | None = None):
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for each row.
 
-    A null text, a text without a letter, and any text where nothing is labelled: `und`, score 0, rejected. Other columns
-    than doc_id, text and lang are not read; lang is read only for the sample. Repeated rows are predicted alike."""
+    A null text, a text without a letter, and any text where nothing is labelled: `und`, score 0, rejected. Very long texts
+    are taken in pieces, all of them. Repeated rows are predicted alike. An empty table gives an empty result. Other
+    columns than doc_id, text and lang are not read; lang is read only for the sample."""
     predict = predictor(docs)
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     held = F.coalesce(key % 4 == 2, F.lit(True))

@@ -365,6 +365,81 @@ def test_language_rejects_unlearned_on_real_labels(spark):
     assert lang[:4] == ["en", "de", "fr", "es"] and not rejected.any()
 
 
+ELSEWHERE = UNLEARNED + [
+    "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten.",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+    "Alla människor är födda fria och lika i värde och rättigheter. De är utrustade med förnuft och samvete.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "Semua orang dilahirkan merdeka dan mempunyai martabat dan hak-hak yang sama. Mereka dikaruniai akal dan hati nurani.",
+    "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri.",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+]
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_language_calibration(spark, scale):
+    """Of the texts that it hasn't learned from at most 1 % are rejected, of unlearned languages in four scripts at least
+    90 %; scores are shares of right answers."""
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    model = language_id.train(language_id.sample(docs))
+    held = [r for r in docs.select("doc_id", "text", "lang").collect() if r.text and r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    lang, score, rejected = model.judge([r.text for r in held])
+    assert rejected.mean() <= 0.01
+    assert model.judge(ELSEWHERE)[2].mean() >= 0.9
+    short = [r.text[30:60] for r in held if len(r.text) > 90]
+    for texts, truth in (([r.text for r in held], [r.lang for r in held]), (short, [r.lang for r in held if len(r.text) > 90])):
+        lang, score, _ = model.judge(texts)
+        right = np.array([a == b for a, b in zip(lang, truth)])
+        place = np.minimum((score * 10).astype(int), 9)
+        assert sum(abs(right[place == k].mean() - score[place == k].mean()) * (place == k).mean() for k in set(place.tolist())) < 0.05
+
+
+def predict_brute(model, text):
+    """Mean of the table over the n-grams of each word with its borders, one by one."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    low, grams = text.lower(), []
+    code = [ord(c) if c.isalpha() else 32 for c in low] + [32]
+    for a in range(len(code)):
+        for n in language_id.GRAMS:
+            g = code[a : a + n]
+            if len(g) < n or 32 in g[1:-1] or (n == 1 and g == [32]) or (n > 1 and g[0] == 32 and g[-1] == 32):
+                continue
+            h = 0
+            for c in g:
+                h = (h * 0x01000193 + (c + 1) * 0x9E3779B1) % 2**32
+            h ^= h >> 15
+            grams.append((h * 0x85EBCA6B % 2**32 >> 17) % language_id.BUCKETS)
+    mean = sum(model.table[b] for b in grams) / len(grams)
+    k = len(model.labels)
+    z = (mean[:k] + model.bias) / model.heat
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.labels[int(p.argmax())], float(p.max()), bool(mean[k:].max() < model.least)
+
+
+def test_language_by_brute_force(corpus):
+    model = language_id.train(language_id.sample(corpus))
+    texts = [None, "", "1 2", "a", "É b", " a  b ", "x-y z's", "日本 ab", *ELSEWHERE, *(t for _, t, _, _ in TEXTS if t and len(t) < 500), *(r.text[:900] for r in corpus.limit(30).collect() if r.text)]
+    lang, score, rejected = model.judge(texts)
+    for k, t in enumerate(texts):
+        want = predict_brute(model, t)
+        assert (lang[k], rejected[k]) == (want[0], want[2]), t
+        assert score[k] == pytest.approx(want[1], rel=1e-9), t
+
+
+def test_language_sample_bounds(spark, monkeypatch):
+    """A repeated row is one, a label of long texts alone is learned, and the most frequent labels are."""
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 50)
+    rows = [(1, "same text", "a")] * 500 + [(k, f"other text {k}", "a") for k in range(8)] + [(k, "long text " * (6 + k), "b") for k in range(8)] + [(7, "one", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(y for _, y in language_id.sample(docs))
+    fit = [k for k in range(8) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert got["a"] == len(fit) + (1 in fit) and got["b"] == len(fit)
+    monkeypatch.setattr(language_id, "MAX_LABELS", 2)
+    assert set(y for _, y in language_id.sample(docs)) == {"a", "b"}
+
+
 def test_language_pieces_cover_long_texts():
     text = "abc def " * 100_000 + "x" * 300_000
     assert "".join(p for _, parts in language_id._pieces([text]) for p in parts) == text
