@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack_counts, pack_sorted, stored, trim, unpack_counts, unpack_sorted
+from .common import pack_counts, pack_sorted, ranked, stored, trim, unpack_counts, unpack_sorted
 
 #: Bytes of text in a block, and keys in a range of keys.
 BLOCK_BYTES = 5 << 20
@@ -98,9 +98,9 @@ def _add(frame: pd.DataFrame) -> pd.DataFrame:
     asked = [unpack_sorted(x) for x in frame["keys"]]
     own = np.concatenate([unpack_counts(x) for x in frame["own"]])
     every = np.concatenate(asked)
-    order = np.argsort(every, kind="stable")
-    ranked, counts = every[order], own[order]
-    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    order = ranked(every)
+    found, counts = every[order], own[order]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
     lengths = np.diff(np.append(first, len(every)))
     sums = np.add.reduceat(counts, first)
     some = np.cumsum(counts > 0)
@@ -112,7 +112,7 @@ def _add(frame: pd.DataFrame) -> pd.DataFrame:
         back.append((int(block), part, pack_counts(answer[at : at + len(keys)])))
         at += len(keys)
     back.append((-1, part, np.array([(sums > 0).sum(), sums.sum()], "<i8").tobytes()))
-    del asked, own, every, order, ranked, counts, answer, some, before
+    del asked, own, every, order, found, counts, answer, some, before
     trim()
     return pd.DataFrame(back, columns=["block", "part", "counts"])
 

@@ -181,6 +181,32 @@ def word_hashes(texts: list[bytes | None], chunk: int = 1 << 18) -> tuple[np.nda
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
 
 
+def ranked(keys: np.ndarray) -> np.ndarray:
+    """The stable order of keys that are not negative: numpy sorts plain numbers much faster than it finds their order, so
+    the first bits of each key are sorted with its place, which nearly always is the order of the whole keys."""
+    n = len(keys)
+    room = max(1, n.bit_length())
+    wide = keys.astype(np.uint64, copy=False)
+    cut = max(0, (int(wide.max()).bit_length() if n else 0) + room - 64)
+    order = (np.sort((wide >> np.uint64(cut)) << np.uint64(room) | np.arange(n, dtype=np.uint64)) & np.uint64((1 << room) - 1)).astype(np.int64)
+    if cut:
+        found = wide[order]
+        if (found[1:] < found[:-1]).any():
+            return np.argsort(wide, kind="stable")
+    return order
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and of each key its place among them."""
+    order = ranked(keys)
+    found = keys[order]
+    first = np.ones(len(keys), bool)
+    np.not_equal(found[1:], found[:-1], out=first[1:])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return found[first], place
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Sorted distinct 64-bit keys, by Elias and Fano: of each key's distance from the first the low bits as they are, as
     many as leave some two bits a key, and the others, which ascend, as a bitmap of key number plus value."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blockcount import Kinds, ask, counted, dealt, with_answers
-from .common import discard, hot_keys, join_hot, mix, stored, word_hashes
+from .common import discard, distinct, hot_keys, join_hot, mix, stored, word_hashes
 
 WORDS = 4
 PERCENT = 85
@@ -185,8 +185,8 @@ def _pieces(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def use(block: int, ids: list, texts: list, hashes: np.ndarray, answer: list) -> pd.DataFrame:
         every, sizes = shingle_sets(texts, words)
-        _, which, own = np.unique(every >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-        held = (own + answer[1][0])[which]
+        _, which = distinct(every >> np.uint64(64 - bits))
+        held = (np.bincount(which, minlength=len(answer[1][0])) + answer[1][0])[which]
         ends = np.cumsum(sizes)
         keys, keep, tokens, of = [], [], [], []
         done = set()

@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .blockcount import ASKS, Kinds, _asks, ask, counted, dealt, totals, with_answers
-from .common import mix, word_hashes
+from .common import distinct, mix, word_hashes
 
 ADD = 0.1
 ORDER = 3
 #: Tokens of a stretch of text; all stretches of a block are walked in step.
-STRETCH = 256
+STRETCH = 64
 #: Bits by which keys of n-grams are longer than the length in bits of the number of bytes of all texts; at least LEAST_BITS.
 SPARE_BITS, LEAST_BITS = 18, 48
 BEGIN, END = np.uint64(0x51ED270B7F3A9C10), np.uint64(0x2545F4914F6CDD1C)
@@ -56,7 +56,7 @@ class Grams:
         special = np.zeros(total, bool)
         ends = starts + n + 1
         special[starts], special[ends] = True, True
-        keys, codes = np.unique(words, return_inverse=True)
+        keys, codes = distinct(words)
         self.begin, self.end = len(keys) + 1, len(keys)
         self.base = len(keys) + 2
         tokens = np.empty(total, np.int64)
@@ -72,7 +72,7 @@ class Grams:
         upper = tokens
         for k in range(2, order + 1):
             at = np.flatnonzero(place >= k - 1)
-            pairs, which = np.unique(upper[at - 1] * self.base + tokens[at], return_inverse=True)
+            pairs, which = distinct(upper[at - 1] * self.base + tokens[at])
             here = np.full(total, -1, np.int64)
             here[at] = which
             suffix = np.empty(len(pairs), np.int64)
@@ -90,10 +90,10 @@ class Grams:
         of single tokens are whole, so that their counts are exact; the others have so many bits."""
         if not wanted:
             return [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2, []
-        single, at_single = np.unique(self.keys[0][wanted[0]], return_inverse=True)
+        single, at_single = distinct(self.keys[0][wanted[0]])
         first = np.bincount(at_single, values[0][wanted[0]], len(single)).astype(np.int64)
         longer = [k[w] >> np.uint64(64 - bits) for k, w in zip(self.keys[1:], wanted[1:])]
-        keys, at = np.unique(np.concatenate(longer or [np.zeros(0, np.uint64)]), return_inverse=True)
+        keys, at = distinct(np.concatenate(longer or [np.zeros(0, np.uint64)]))
         more = np.concatenate([v[w] for v, w in zip(values[1:], wanted[1:])] or [np.zeros(0, np.int64)])
         ends = np.cumsum([len(x) for x in longer])[:-1] if longer else []
         return [(single, first), (keys, np.bincount(at, more, len(keys)).astype(np.int64))], [at_single, *(np.split(at, ends) if longer else [])]
@@ -131,8 +131,8 @@ class Grams:
 
 class Automaton:
     """States and arcs as arrays. State 0 is the root. The arc of token w from the root is arc w; other arcs are sorted by
-    state * base + token in `goto`. Of each arc: `weight` and the state it leads to, `to`. Of each state: `back`, the
-    weight of its failure arc, and `fail`, the state that leads to."""
+    state * base + token in `goto`, those of a state from `first` on, `number` of them. Of each arc: `weight` and the state
+    it leads to, `to`. Of each state: `back`, the weight of its failure arc, and `fail`, the state that leads to."""
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], followers: list[np.ndarray], n_tokens: int, n_types: int):
         order = len(counts)
@@ -163,9 +163,11 @@ class Automaton:
             to.append(first[k] + np.flatnonzero(arc) if k < order - 1 else first[k - 1] + suffix[arc])
         to[0] = np.arange(1, self.base + 1) if order > 1 else to[0]
         self.goto = np.concatenate(goto or [np.zeros(0, np.int64)])
+        self.number = np.bincount(self.goto // self.base, minlength=states)
+        self.first = np.cumsum(self.number) - self.number
         self.weight, self.to = np.concatenate(weight), np.concatenate(to)
-        for _ in range(order):  # what is no state, such as a history that ends a text, is left for its suffix
-            self.to = np.where(is_state[self.to], self.to, self._suffix_state(grams, first, self.to))
+        while len(lost := np.flatnonzero(~is_state[self.to])):  # such as a history that ends a text: left for its suffix
+            self.to[lost] = self._suffix_state(grams, first, self.to[lost])
         self.start = 1 + self.begin if order > 1 and is_state[1 + self.begin] else 0
         self.unigram = np.log10(p[0])
 
@@ -182,10 +184,10 @@ class Automaton:
         cost, arc = np.zeros(len(state)), token.copy()
         left, now = np.flatnonzero(state > 0), state[state > 0]
         while len(left):
-            want = now * self.base + token[left]
-            at = np.searchsorted(self.goto, want)
+            want, at, many = now * self.base + token[left], self.first[now], np.flatnonzero(self.number[now] > 1)
+            at[many] = np.searchsorted(self.goto, want[many])  # a state with one arc needs no search
             at[at == len(self.goto)] = 0
-            hit = self.goto[at] == want if len(self.goto) else np.zeros(len(want), bool)
+            hit = self.goto[at] == want
             arc[left[hit]] = self.base + at[hit]
             left, now = left[~hit], now[~hit]
             cost[left] += self.back[now]
