@@ -7,7 +7,7 @@
    first n - ceil(t n) + 1. Shingles that only one text holds can't be shared, so nearly all of these fall away, and
    passages that many texts share come last in the order, so that they seldom bring two texts together.
 3. Sets that share such a shingle are joined to the smallest of them, and components of these edges are blocks: links
-   lie inside blocks. A block beyond BLOCK_SHINGLES is dealt into parts, and every two parts are a block.
+   lie inside blocks. A large block is dealt into parts, and every two parts are a block of their own.
 4. In a block a signature tree is traversed against itself. Nodes hold OR-combined bitmaps of their sets, ranges of
    sizes and the most shingles that share bits of a bitmap; a pair of nodes is dropped when its maximum possible overlap
    is below what its sizes need, or when it is one component already. What is left is compared exactly.
@@ -29,7 +29,10 @@ from .common import discard, distinct, hot_keys, join_hot, mix, stored, word_has
 
 WORDS = 4
 PERCENT = 85
-BLOCK_SHINGLES = 4_000_000
+#: A block of more sets than PART_SETS is dealt into up to PARTS parts, and one of more shingles into as many as it takes.
+BLOCK_SHINGLES, PART_SETS, PARTS = 4_000_000, 128, 12
+#: Blocks of several parts whose numbers are broadcast.
+BROADCAST_BLOCKS = 200_000
 #: Bits by which counted hashes are longer than the length in bits of the number of bytes of all texts.
 SPARE_BITS = 8
 BITS, LEAF, FAN = 2048, 16, 4
@@ -111,7 +114,7 @@ def forest(sets: list[np.ndarray], percent: int, only_across: np.ndarray | None
         return []
     tree = SignatureTree(sets)
     side = only_across[tree.order] if only_across is not None else None
-    label = np.arange(len(sets))
+    label, of = np.arange(len(sets)), {k: [k] for k in range(len(sets))}
     links = []
     top = len(tree.levels) - 1
     stack = [(top, 0, 0)]
@@ -141,7 +144,9 @@ def forest(sets: list[np.ndarray], percent: int, only_across: np.ndarray | None
             for j in js[(100 + percent) * overlap >= percent * (tree.sizes[i] + tree.sizes[js])].tolist():
                 if label[i] != label[j] and linked(tree.sets[i], tree.sets[j], percent):
                     links.append((int(tree.order[i]), int(tree.order[j])))
-                    label[label == label[j]] = label[i]
+                    more, less = sorted((int(label[i]), int(label[j])), key=lambda k: -len(of[k]))
+                    label[of[less]] = more
+                    of[more] += of.pop(less)
     return links
 
 
@@ -248,9 +253,12 @@ def members(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_s
     near = components(near).select(F.col("id").alias("key"), F.col("root").alias("near"))
     sets = own.where("shingles is not null").select("key", "n", "shingles").dropDuplicates(["key"]).join(near, "key")
     sets = stored(sets, "sets")
-    loads = sets.groupBy("near").agg(F.sum("n").alias("load"))
-    parts = F.ceil(F.col("load") / F.lit(block_shingles)).cast("int")
-    sets = sets.join(loads.select("near", parts.alias("parts")), "near")
+    loads = sets.groupBy("near").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("sets"))
+    by_number = F.least(F.ceil(F.col("sets") / F.lit(PART_SETS)), F.lit(PARTS))
+    loads = loads.select("near", F.greatest(by_number, F.ceil(F.col("load") / F.lit(block_shingles))).cast("int").alias("parts"))
+    large = stored(loads.where("parts > 1"), "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_BLOCKS else large
+    sets = sets.join(large, "near", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("a"), F.greatest(k, part).alias("b")))
     dealt_sets = sets.select("near", "key", "shingles", part.alias("part"), F.explode(pairs).alias("p")).select("near", "p.a", "p.b", "part", "key", "shingles")

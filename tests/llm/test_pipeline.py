@@ -85,9 +85,9 @@ def test_run(spark, sf):
     assert rows and max(slots.values()) == 1
 
 
-def test_decontamination_in_parts(spark, corpus, sf, monkeypatch):
-    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    whole = sorted(map(tuple, decontamination.decontaminate(corpus, bench).collect()))
-    monkeypatch.setattr(decontamination, "ITEM_BYTES", 3000)
-    assert len(decontamination.load_items(bench)) > 2
-    assert sorted(map(tuple, decontamination.decontaminate(corpus, bench).collect())) == whole
+def test_decontamination_in_passes(spark, corpus, docs, sf, monkeypatch):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.createDataFrame([(901, "the DOG that"), (902, "looked at the dog that was there"), (903, "the dog that")], "item_id long, text string"))
+    whole = [sorted(map(tuple, decontamination.decontaminate(t, bench).collect()), key=repr) for t in (corpus, docs)]
+    monkeypatch.setattr(decontamination, "ITEM_BYTES", 5000)
+    assert decontamination.passes_of(bench) > 2
+    assert [sorted(map(tuple, decontamination.decontaminate(t, bench).collect()), key=repr) for t in (corpus, docs)] == whole
