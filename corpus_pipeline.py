@@ -16,7 +16,10 @@ from loomset.llm.common import stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier rejects go: null texts, texts without a letter, texts whose familiarity is below its threshold."""
+    """Documents whose language the classifier rejects go: null texts, texts without a letter, texts that are like no label.
+
+    Very long texts are judged whole and repeated rows alike; without rows none come out. Other columns, whatever their
+    names, are passed on as they are."""
     predict = language_id.predictor(docs)
     return docs.where(~predict("text")["rejected"])
 
@@ -50,14 +53,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule finds contaminated go."""
-    scan = decontamination.scanner(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.where(~scan(F.encode("text", "utf-8"))["contaminated"])
+    """Documents that the contamination rule finds contaminated go; null and empty texts are clean and stay.
+
+    Very long texts are scanned whole and repeated rows judged alike; without rows none come out. Other columns, whatever
+    their names, are passed on as they are."""
+    rows = docs.select(_row(docs), F.encode("text", "utf-8").alias("data"))
+    judged = decontamination.judged(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return judged.where("not judged.contaminated").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated, or left out, as the mixture takes them, whole: the document at a source's border is taken
-    once more if the mixture takes at least half of it."""
+    once more if the mixture takes at least half of it.
+
+    A null source is a source; a null text or one without words has size 0 and stays as often as its source's documents
+    are taken whole. Repeated rows are documents of their own; without rows none come out. Other columns, whatever their
+    names, are passed on as they are."""
     sized = docs.select("doc_id", "source", mixing.size_column().alias("size"), _row(docs))
     taken = mixing.mix(sized, carry=("row",))
     copies = F.col("whole") + F.when(2 * F.col("more") >= F.greatest(F.col("size"), F.lit(1)), 1).otherwise(0)
@@ -65,7 +76,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its shard and its slot there."""
+    """Every document gets its shard and its slot there: the columns of op6. Nulls, repeated rows and empty tables are as
+    there (see sharding.shard); a very long text is only measured; other columns are not read."""
     return sharding.shard(docs)
 
 
