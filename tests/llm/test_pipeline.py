@@ -88,6 +88,6 @@ def test_run(spark, sf):
 def test_decontamination_in_passes(spark, corpus, docs, sf, monkeypatch):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.createDataFrame([(901, "the DOG that"), (902, "looked at the dog that was there"), (903, "the dog that")], "item_id long, text string"))
     whole = [sorted(map(tuple, decontamination.decontaminate(t, bench).collect()), key=repr) for t in (corpus, docs)]
-    monkeypatch.setattr(decontamination, "ITEM_BYTES", 5000)
+    monkeypatch.setattr(decontamination, "ITEM_BYTES", 2000)
     assert decontamination.passes_of(bench) > 2
     assert [sorted(map(tuple, decontamination.decontaminate(t, bench).collect()), key=repr) for t in (corpus, docs)] == whole
