@@ -38,21 +38,27 @@ def keep_greedily(items: Column, clashes, kind: str) -> Column:
     return F.aggregate(items, F.array().cast(f"array<{kind}>"), lambda kept, x: F.when(F.exists(kept, lambda k: clashes(k, x)), kept).otherwise(F.array_append(kept, x)))
 
 
+def stably(items: Column, *keys) -> Column:
+    """items sorted by the keys of each, equals in the order they came in."""
+    ranked = F.transform(items, lambda x, k: F.struct(*[key(x).cast("double").alias(f"k{n}") for n, key in enumerate(keys)], k.alias("at"), x.alias("x")))
+    return F.transform(F.array_sort(ranked), lambda r: r["x"])
+
+
 def _by_area_then_confidence(detections: Column) -> Column:
-    ranked = F.transform(detections, lambda d: F.struct((-area(d["bbox"])).cast("double").alias("a"), (-d["confidence"]).alias("c"), d.alias("d")))
-    return F.transform(F.array_sort(ranked), lambda r: r["d"])
+    return stably(detections, lambda d: -area(d["bbox"]), lambda d: -d["confidence"])
 
 
 def dedupe_faces(faces: Column) -> Column:
-    """largest first; a face goes if its IoU with a kept one is 0.45 or more, or 0.82 of the smaller is shared."""
-    size = lambda f: f[2] * f[3]
+    """largest first; a face goes if its IoU with a kept one is 0.45 or more, or 0.82 of the smaller is shared. Areas
+    count as 1 at least."""
+    one = F.lit(1.0)
+    size = lambda f: F.greatest(one, f[2] * f[3])
 
     def clash(a: Column, b: Column) -> Column:
         shared = intersection(to_corners(a), to_corners(b)).cast("double")
-        return (shared / F.greatest(F.lit(1e-9), size(a) + size(b) - shared) >= 0.45) | (shared / F.greatest(F.lit(1e-9), F.least(size(a), size(b))) >= 0.82)
+        return (shared / F.greatest(one, size(a) + size(b) - shared) >= 0.45) | (shared / F.greatest(one, F.least(size(a), size(b))) >= 0.82)
 
-    ordered = F.transform(F.array_sort(F.transform(faces, lambda f: F.struct((-size(f)).alias("a"), f.alias("f")))), lambda x: x["f"])
-    return keep_greedily(ordered, clash, "array<double>")
+    return F.when(F.size(faces) < 2, faces).otherwise(keep_greedily(stably(faces, lambda f: -(f[2] * f[3])), clash, "array<double>"))
 
 
 def faces_in_roi(faces: Column, roi: Column) -> Column:
@@ -164,7 +170,7 @@ def order_points(points: Column) -> Column:
 
 
 def nms(detections: Column, threshold: float, kind: str) -> Column:
-    """by score, areas counted in whole pixels, IoU above the threshold goes."""
+    """by score, of equal ones the last first, areas counted in whole pixels, IoU above the threshold goes."""
     side = lambda b, k: b[k + 2] - b[k] + 1
     size = lambda b: side(b, 0) * side(b, 1)
 
@@ -174,5 +180,4 @@ def nms(detections: Column, threshold: float, kind: str) -> Column:
         h = F.greatest(F.lit(0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]) + 1)
         return w * h / (size(a) + size(b) - w * h) > threshold
 
-    ordered = F.transform(F.array_sort(F.transform(detections, lambda d: F.struct((-d["confidence"]).alias("s"), d.alias("d")))), lambda s: s["d"])
-    return keep_greedily(ordered, clash, kind)
+    return keep_greedily(stably(F.reverse(detections), lambda d: -d["confidence"]), clash, kind)

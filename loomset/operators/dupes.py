@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import hamming, rank_order
 from ..schema import BACKUP, IGNORED_GROUP, PICKED, REJECTED
+from ..storage import cut
 
 BANDS_UP_TO = 12
-#: Edges, of 16 bytes, that one task settles.
+#: Rows and edges, of some 20 bytes, that one task settles.
 TAIL_EDGES = 1_000_000
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, so that rounds don't pile up lineage."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df with `number`, from 1 in order: rows are numbered inside ranges, and ranges by their counts."""
     ranges = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
@@ -62,62 +52,95 @@ def hamming_pairs(rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def adjacent_pairs(rows: DataFrame, threshold: int, degrees: float = 25.0) -> DataFrame:
-    """J9's second way to be close: same source and scale, hashes, yaw and pitch near."""
+    """J9's second way to be close: same source and scale, hashes, yaw and pitch near. Rows are joined on cells of yaw and
+    pitch with their neighbours, so that a source and scale, however large, is not joined with itself whole."""
     own = rows.where("phash <> 0").select("id", "phash", "source", "person_scale", "yaw", "pitch")
-    side = lambda s: own.select(*[F.col(c).alias(c + s) for c in own.columns])
-    a, b = side("_a"), side("_b")
-    on = (F.col("source_a") == F.col("source_b")) & (F.col("person_scale_a") == F.col("person_scale_b")) & (F.col("id_a") < F.col("id_b"))
+    own = own.withColumns({"cell_yaw": F.floor(F.col("yaw") / degrees), "cell_pitch": F.floor(F.col("pitch") / degrees)})
+    around = lambda c: F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)]))
+    probe = own.withColumn("cell_yaw", around("cell_yaw")).withColumn("cell_pitch", around("cell_pitch"))
+    side = lambda t, s: t.select(*[F.col(c).alias(c + s) for c in own.columns])
+    a, b = side(own, "_a"), side(probe, "_b")
+    on = [F.col(c + "_a").eqNullSafe(F.col(c + "_b")) for c in ("source", "person_scale", "cell_yaw", "cell_pitch")]
     near = (F.abs(F.col("yaw_a") - F.col("yaw_b")) <= degrees) & (F.abs(F.col("pitch_a") - F.col("pitch_b")) <= degrees)
     distance = hamming(F.col("phash_a"), F.col("phash_b")).cast("int")
-    return a.join(b, on).where(near & (distance <= threshold)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), distance.alias("distance"))
+    return a.join(b, [*on, F.col("id_a") < F.col("id_b")]).where(near & (distance <= threshold)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), distance.alias("distance"))
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _settle(batches):
+    """Heads of the free rows in order: kind 0 is a row (priority, hash), 1 two hashes that are near, 2 two rows that are."""
+    every = pd.concat([pd.DataFrame({"kind": [], "a": [], "b": []}, dtype="int64"), *batches])
+    part = lambda k: every[every["kind"] == k]
+    near, adjacent, of_hash = ({k: list(v) for k, v in part(kind).groupby(key)[value]} for kind, key, value in ((1, "a", "b"), (2, "a", "b"), (0, "b", "a")))
+    gone, heads, rows = set(), [], part(0).sort_values("a")
+    for p, h in zip(rows["a"].tolist(), rows["b"].tolist()):
+        if p not in gone:
+            heads.append(p)
+            for x in (h, *near.get(h, ())):
+                gone.update(of_hash.pop(x, ()))
+            gone.update(adjacent.get(p, ()))
+    yield pd.DataFrame({"p": pd.Series(heads, dtype="int64")})
+
 
+def anchors_of(rows: DataFrame, near: DataFrame, adjacent: DataFrame, rounds: int = 200) -> DataFrame:
+    """(p, anchor) of rows (p, phash): anchors with their own, the others with the first anchor that they are close to.
 
-def anchors_of(pairs: DataFrame, rounds: int = 200) -> DataFrame:
-    """(p, anchor) over pairs (a, b) of priorities: anchors with their own, the others with the first anchor they are close to.
+    near holds pairs (a, b) of hashes and adjacent pairs of rows, both ways round; rows of equal hash are close too.
 
     In order of priority an anchor takes all that is close and still free. That is the lexicographically first maximal
-    independent set: in each round a free node whose free neighbours all come later is an anchor, and its neighbours are
-    taken. Rounds go on while more than TAIL_EDGES edges between free nodes are left; those few are then settled in
-    order by one task. A node that is never taken is an anchor."""
-    edges = cut(pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb")).unionByName(pairs.select(F.col("b").alias("pa"), F.col("a").alias("pb"))).distinct(), "edges")
-
-    def in_order(batches):
-        rest = pd.concat([pd.DataFrame({"pa": [], "pb": []}, dtype="int64"), *batches])
-        gone = set()
-        for p, later in rest[rest["pa"] < rest["pb"]].groupby("pa", sort=True)["pb"]:
-            if p not in gone:
-                gone.update(later.tolist())
-        yield pd.DataFrame({"p": pd.Series(list(gone), dtype="int64")})
-
-    live, parts = edges, []
-    while live.limit(TAIL_EDGES + 1).count() > TAIL_EDGES:
-        if len(parts) == rounds:
+    independent set: in each round a free row whose free neighbours all come later is an anchor, and its neighbours are
+    taken. What is between hashes is done on hashes, so that many rows of one hash are no clique of edges. Rounds go on
+    while more than TAIL_EDGES rows and edges are left; those few are settled in order by one task."""
+    free, heads = rows, None
+    for k in range(rounds + 1):
+        left = near.join(free.select(F.col("phash").alias("a")).distinct(), "a", "left_semi")
+        edges = adjacent.join(free.select(F.col("p").alias("a")), "a", "left_semi").join(free.select(F.col("p").alias("b")), "b", "left_semi")
+        tagged = free.select(F.lit(0).alias("kind"), F.col("p").alias("a"), F.col("phash").alias("b"))
+        tagged = tagged.unionByName(left.select(F.lit(1).alias("kind"), "a", "b")).unionByName(edges.select(F.lit(2).alias("kind"), "a", "b"))
+        if tagged.limit(TAIL_EDGES + 1).count() <= TAIL_EDGES:
+            last = cut(tagged.coalesce(1).mapInPandas(_settle, "p long"), "heads")
+            heads = last if heads is None else heads.unionByName(last)
+            break
+        if k == rounds:
             raise RuntimeError(f"groups did not settle in {rounds} rounds")
-        heads = live.groupBy("pa").agg(F.min("pb").alias("first")).where("pa < first").select(F.col("pa").alias("pb"))
-        gone = cut(live.join(heads, "pb").select(F.col("pa").alias("p")).distinct(), "gone")
-        parts.append(gone)
-        settled = gone.unionByName(heads.select(F.col("pb").alias("p")))
-        live = live.join(settled.select(F.col("p").alias("pa")), "pa", "left_anti").join(settled.select(F.col("p").alias("pb")), "pb", "left_anti")
-        live = cut(live.select("pa", "pb"), "edges")
-    taken = live.coalesce(1).mapInPandas(in_order, "p long")
-    for part in parts:
-        taken = taken.unionByName(part)
-    taken = cut(taken, "taken").select(F.col("p").alias("pa"))
-    heads = edges.select(F.col("pa").alias("pb")).distinct().join(taken.select(F.col("pa").alias("pb")), "pb", "left_anti")
-    first = edges.join(heads, "pb").join(taken, "pa").groupBy("pa").agg(F.min("pb").alias("anchor"))
-    return first.select(F.col("pa").alias("p"), "anchor").unionByName(heads.select(F.col("pb").alias("p"), F.col("pb").alias("anchor")))
-
-
-def greedy_groups(nodes: DataFrame, threshold: int) -> DataFrame:
-    """W5 over nodes (id, pri, phash), Hamming branch: (id, duplicate_group). pri is unique, the best is the smallest.
-
-    Rows of equal hash share one fate, so that the best of each hash stands for all. Groups of two or more rows are
-    numbered from 1 in order of their anchors; 0 is no group, as for rows without a hash."""
-    nodes = cut(nodes.select("id", "pri", "phash"), "nodes")  # hashes are costly, and read several times
-    live = nodes.where("phash <> 0")
-    best = live.groupBy("phash").agg(F.min("pri").alias("best"))
-    found = anchors_of(hamming_pairs(best.select(F.col("best").alias("id"), "phash"), threshold))
-    rows = live.join(best, "phash").join(found, F.col("best") == F.col("p"), "left").select("id", F.coalesce("anchor", "best").alias("anchor"))
+        least = free.groupBy("phash").agg(F.min("p").alias("p"))
+        around = near.join(least.select(F.col("phash").alias("b"), F.col("p").alias("q")), "b").groupBy(F.col("a").alias("phash")).agg(F.min("q").alias("q"))
+        first = edges.groupBy(F.col("a").alias("p")).agg(F.min("b").alias("r"))
+        found = least.join(around, "phash", "left").join(first, "p", "left").where("(q is null or p < q) and (r is null or p < r)")
+        found = cut(found.select("p", "phash"), "heads")
+        hashes = found.select("phash").unionByName(near.join(found.select(F.col("phash").alias("a")), "a").select(F.col("b").alias("phash"))).distinct()
+        taken = edges.join(found.select(F.col("p").alias("b")), "b").select(F.col("a").alias("p")).distinct()
+        free = cut(free.join(hashes, "phash", "left_anti").join(taken, "p", "left_anti"), "free")
+        heads = found.select("p") if heads is None else heads.unionByName(found.select("p"))
+    heads = cut(rows.join(heads, "p"), "anchors")
+    least = heads.groupBy("phash").agg(F.min("p").alias("q"))
+    reach = least.unionByName(near.join(least.withColumnRenamed("phash", "b"), "b").select(F.col("a").alias("phash"), "q")).groupBy("phash").agg(F.min("q").alias("q"))
+    beside = adjacent.join(heads.select(F.col("p").alias("b")), "b").groupBy(F.col("a").alias("p")).agg(F.min("b").alias("r"))
+    mine = heads.select("p", F.lit(True).alias("own"))
+    out = rows.join(reach, "phash", "left").join(beside, "p", "left").join(mine, "p", "left")
+    return out.select("p", F.when(F.col("own"), F.col("p")).otherwise(F.least("q", "r")).alias("anchor"))
+
+
+def greedy_groups(nodes: DataFrame, threshold: int, adjacent: int | None = None) -> DataFrame:
+    """W5 over nodes (id, pri, phash): (id, duplicate_group). pri is unique, the best is the smallest.
+
+    Two rows are close by their hashes alone, or, if adjacent is given, as adjacent_pairs has it; nodes then have source,
+    person_scale, yaw and pitch too. Rows without a hash and rows with `duplicate_ignore`, where nodes have it, take no
+    part. Groups of two or more rows are numbered from 1 in order of their anchors; 0 is no group."""
+    more = ["source", "person_scale", "yaw", "pitch"] if adjacent is not None else []
+    ignored = F.coalesce("duplicate_ignore", F.lit(False)) if "duplicate_ignore" in nodes.columns else F.lit(False)
+    nodes = cut(nodes.select("id", "pri", "phash", ignored.alias("ignored"), *more), "nodes")  # hashes are costly, and read several times
+    live = nodes.where("phash <> 0 and not ignored")
+    rows = live.select(F.col("pri").alias("p"), "phash")
+    hashes = live.select(F.col("phash").alias("id"), "phash").distinct()
+    near = cut(_both(hamming_pairs(hashes, threshold)), "near")
+    none = near.limit(0)
+    beside = cut(_both(adjacent_pairs(live.drop("id").withColumnRenamed("pri", "id"), adjacent)), "adjacent") if adjacent is not None else none
+    found = anchors_of(rows, near, beside)
+    rows = live.select("id", F.col("pri").alias("p")).join(found, "p").select("id", "anchor")
     groups = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     placed = rows.join(numbered(groups, "anchor"), "anchor").select("id", "number")
     return nodes.select("id").join(placed, "id", "left").select("id", F.coalesce("number", F.lit(0)).cast("int").alias("duplicate_group"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import path_key, source_label
 from ..schema import STATUSES
-from .dupes import cut
+from ..storage import cut
 
 
 def under_excluded(relative: Column, excluded: Iterable[str]) -> Column:

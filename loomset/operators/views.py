@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import position, rank_order
-from ..schema import ALIASES, ELIGIBILITIES, PICKED, PITCHES, SCALES, STATUSES, YAWS
+from ..schema import ELIGIBILITIES, PICKED, PITCHES, SCALES, STATUSES, YAWS
 from .dupes import with_group_rank
 
 ALL = "全部"
@@ -16,11 +16,22 @@ FORWARD, BACKWARD = "优先顺序", "反向"
 FILTERS = ("status", "person_scale", "angle_class", "pitch_class", "eligibility")
 BEST_FIRST = ("质量排序", "Face Quality", "Sharpness", "Face Pixels")
 PAGE = 120
-# Sort modes of the first format, as (field, direction).
+# Sort modes of the first format, as (field, direction), and fields that it sorted downwards.
 OLD_SORTS = {
-    "默认顺序": ("默认顺序", FORWARD), "质量排序": ("质量排序", FORWARD), "Face Quality 高 → 低": ("Face Quality", FORWARD), "BRISQUE 低 → 高": ("BRISQUE", FORWARD), "Sharpness 高 → 低": ("Sharpness", FORWARD), "Face Pixels 高 → 低": ("Face Pixels", FORWARD),
-    "状态": ("状态", FORWARD), "Duplicate Group": ("Duplicate Group", FORWARD), "来源目录 / 源视频": ("来源目录 / 源视频", FORWARD), "景别": ("景别", FORWARD), "Yaw": ("Yaw", FORWARD), "Pitch": ("Pitch", FORWARD),
-}
+    "Face Quality 高 → 低": ("Face Quality", "优先顺序"),
+    "Face Quality 低 → 高": ("Face Quality", "反向"),
+    "BRISQUE 低 → 高": ("BRISQUE", "优先顺序"),
+    "BRISQUE 高 → 低": ("BRISQUE", "反向"),
+    "Sharpness 高 → 低": ("Sharpness", "优先顺序"),
+    "Sharpness 低 → 高": ("Sharpness", "反向"),
+    "状态": ("状态", "优先顺序"),
+    "Duplicate Group": ("Duplicate Group", "优先顺序"),
+    "来源目录 / 源视频": ("来源目录 / 源视频", "优先顺序"),
+    "景别": ("景别", "优先顺序"),
+    "Yaw": ("Yaw", "优先顺序"),
+    "Pitch": ("Pitch", "优先顺序"),
+}
+OLD_DOWN = ("Face Quality", "Sharpness", "Face Pixels")
 
 
 @dataclass(frozen=True)
@@ -31,19 +42,22 @@ class ViewSpec:
     sort_direction: str = FORWARD
     best_only: bool = False
     quick_mode: str = ""
-    limit_n: int = 60
+    limit_n: int = 10
     ranking_basis: str = "综合质量"
 
 
 def decode(data: dict) -> ViewSpec:
-    """A stored view of either format; ascending and descending become natural and reversed order."""
-    name, direction = data.get("sort_field"), data.get("sort_direction", FORWARD)
-    if name is None:
-        name, direction = OLD_SORTS.get(data.get("sort_mode", ""), ("默认顺序", FORWARD))
+    """A stored view of either format; ascending and descending become natural and reversed order, any other
+    direction the natural one. What is no object is the default view."""
+    if not isinstance(data, dict):
+        return ViewSpec()
+    name, direction = str(data.get("sort_field", "默认顺序")), str(data.get("sort_direction", FORWARD))
+    if data.get("sort_mode") and "sort_field" not in data:
+        name, direction = OLD_SORTS.get(str(data["sort_mode"]), ("默认顺序", FORWARD))
     if direction in ("降序", "升序"):
-        direction = FORWARD if (direction == "降序") == (name in BEST_FIRST) else BACKWARD
-    mode = data.get("quick_mode", "")
-    return ViewSpec(str(data.get("name", "")), dict(data.get("filters") or {}), name, direction, bool(data.get("best_only", False)), mode if mode in ("", "view_top", "view_bottom") else "", max(1, int(data.get("limit_n", 60))), data.get("ranking_basis", "综合质量"))
+        direction = FORWARD if (direction == "降序") == (name in OLD_DOWN) else BACKWARD
+    text = lambda key, other: str(data.get(key, other))
+    return ViewSpec(text("name", ""), dict(data.get("filters", {})), name, direction if direction == BACKWARD else FORWARD, bool(data.get("best_only", False)), text("quick_mode", ""), max(1, int(data.get("limit_n", 10))), text("ranking_basis", "综合质量"))
 
 
 def upsert(views: list[ViewSpec], view: ViewSpec) -> list[ViewSpec]:
@@ -55,16 +69,16 @@ def delete(views: list[ViewSpec], name: str) -> list[ViewSpec]:
     return [v for v in views if v.name != name]
 
 
-def accessor(name: str) -> Column:
-    """P3."""
-    return F.col(ALIASES.get(name, name))
+def accessor(rows: DataFrame, name: str) -> Column:
+    """A column, or null where rows have none of that name."""
+    return F.col(f"`{name}`") if name in rows.columns else F.lit(None)
 
 
 def matching(rows: DataFrame, filters: dict[str, str]) -> DataFrame:
     """P5, P6."""
     for name, value in filters.items():
         if value != ALL:
-            rows = rows.where(accessor(name).eqNullSafe(F.lit(value)))
+            rows = rows.where(accessor(rows, name).eqNullSafe(F.lit(value)))
     return rows
 
 
@@ -123,9 +137,17 @@ def page_of(rows: DataFrame, order: list[Column], page: int, size: int = PAGE) -
 
 
 def chunks(rows: DataFrame, size: int, by: str | None = None) -> DataFrame:
-    """Rows with `page` and `slot` in file order, inside each value of `by`."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy("ord")) - 1
-    return rows.withColumn("page", F.floor(place / size).cast("int")).withColumn("slot", (place % size).cast("int"))
+    """Rows with `page` and `slot` in file order, inside each value of `by`. Rows are numbered in ranges of
+    (by, file order), and a value's first number is taken off, so that no value is one task."""
+    from .dupes import numbered
+
+    keys = [by, "ord"] if by else ["ord"]
+    placed = numbered(rows, *keys)
+    if by:
+        first = placed.groupBy(by).agg(F.min("number").alias("_least")).withColumnRenamed(by, "_by")
+        placed = placed.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn("number", F.col("number") - F.col("_least") + 1).drop("_by", "_least")
+    place = F.col("number") - 1
+    return placed.withColumn("page", F.floor(place / size).cast("int")).withColumn("slot", (place % size).cast("int")).drop("number")
 
 
 def even_sample(rows: DataFrame, limit: int) -> DataFrame:
@@ -149,12 +171,20 @@ def dataset_summary(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.countDistinct(F.when(F.col("duplicate_group") != 0, F.col("duplicate_group"))).alias("groups"),
         F.count_if(F.col("duplicate_group") != 0).alias("group_members"),
-        F.count_if(F.col("faces") > 1).alias("secondary_faces"),
+        F.count_if(F.col("duplicate_ignore")).alias("ignored"),
+        F.count_if(F.exists("review_flags", lambda f: f["code"] == "secondary_faces_detected")).alias("secondary_faces"),
         F.count_if(F.col("faces") == 0).alias("no_face"),
-        F.count_if(F.col("eligibility") == "REJECT").alias("hard_rejects"),
+        F.count_if(F.size("hard_rejects") > 0).alias("hard_rejects"),
     )
 
 
+def picked_histograms(rows: DataFrame) -> DataFrame:
+    """A3's counts: of the status over all rows, of scale, yaw and pitch over the recommended ones; one pass."""
+    pair = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
+    pairs = F.when(F.col("status") == PICKED, F.array(*[pair(f) for f in FILTERS[:4]])).otherwise(F.array(pair("status")))
+    return rows.select(F.explode(pairs).alias("x")).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def stats(rows: DataFrame) -> DataFrame:
     """A3: one row of counts; rows have `qualified`."""
     ranked = with_group_rank(rows, qualified=True)

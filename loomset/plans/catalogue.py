@@ -153,16 +153,27 @@ def hamming_pairs(spark, sf_dir):
 SELECT a.id AS a, b.id AS b, hamming(a.bits, b.bits)::BIGINT AS distance FROM m a JOIN m b ON a.source = b.source AND a.person_scale = b.person_scale AND a.id < b.id
 WHERE abs(a.yaw - b.yaw) <= 25 AND abs(a.pitch - b.pitch) <= 25 AND hamming(a.bits, b.bits) <= 28""")
 def adjacent_pairs(spark, sf_dir):
-    i = F.col("id")
-    rows = _hashes(spark, sf_dir).withColumns({"source": i % 40, "person_scale": i % 4, "yaw": (i * 37) % 181 - 90, "pitch": (i * 53) % 91 - 45})
-    return dupes.adjacent_pairs(rows, 28).select("a", "b", *_long("distance"))
+    return dupes.adjacent_pairs(_metrics(_hashes(spark, sf_dir)), 28).select("a", "b", *_long("distance"))
 
 
-@query()
+def _metrics(rows: DataFrame) -> DataFrame:
+    i = F.col("id")
+    return rows.withColumns({"source": i % 40, "person_scale": i % 4, "yaw": (i * 37) % 181 - 90, "pitch": (i * 53) % 91 - 45})
+
+
+@query("WITH RECURSIVE " + _BITS + """, m AS (SELECT vec_id AS id, bits, (1000 - vec_id * 7919 % 1000) * 10000000000 + vec_id AS pri, vec_id % 40 AS source, vec_id % 4 AS person_scale,
+  (vec_id * 37) % 181 - 90 AS yaw, (vec_id * 53) % 91 - 45 AS pitch FROM bits WHERE contains(bits, '1') AND vec_id % 17 <> 0),
+close AS (SELECT a.pri AS a, list(b.pri) AS nbs FROM m a JOIN m b ON a.id <> b.id AND (hamming(a.bits, b.bits) <= 20 OR (a.source = b.source AND a.person_scale = b.person_scale
+  AND abs(a.yaw - b.yaw) <= 25 AND abs(a.pitch - b.pitch) <= 25 AND hamming(a.bits, b.bits) <= 28)) GROUP BY 1),
+walk(anchor, members, rem) AS (SELECT NULL::BIGINT, []::BIGINT[], (SELECT list(pri ORDER BY pri) FROM m)
+  UNION ALL SELECT rem[1], list_intersect(rem[2:], COALESCE(nbs, [])), list_filter(rem[2:], lambda x: NOT list_contains(COALESCE(nbs, []), x)) FROM walk LEFT JOIN close ON close.a = rem[1] WHERE len(rem) > 0),
+groups AS (SELECT row_number() OVER (ORDER BY anchor) AS g, list_append(members, anchor) AS pris FROM walk WHERE len(members) > 0),
+placed AS (SELECT g, unnest(pris) AS pri FROM groups)
+SELECT bits.vec_id AS id, COALESCE(g, 0)::BIGINT AS duplicate_group FROM bits LEFT JOIN m ON m.id = bits.vec_id LEFT JOIN placed USING (pri)""")
 def dup_groups(spark, sf_dir):
     score = (F.col("id") * 7919) % 1000
-    nodes = _hashes(spark, sf_dir).select("id", "phash", ((1000 - score) * 10_000_000_000 + F.col("id")).alias("pri"))
-    return dupes.greedy_groups(nodes, 20)
+    nodes = _hashes(spark, sf_dir).select("id", "phash", ((1000 - score) * 10_000_000_000 + F.col("id")).alias("pri"), (F.col("id") % 17 == 0).alias("duplicate_ignore"))
+    return dupes.greedy_groups(_metrics(nodes), 20, 28).select("id", *_long("duplicate_group"))
 
 
 @query(_s("SELECT ord, duplicate_group::BIGINT AS duplicate_group FROM s"))
@@ -259,17 +270,26 @@ def dataset_histograms(spark, sf_dir):
     return views.histograms(_rows(spark, sf_dir))
 
 
-@query(_s("SELECT count(*) AS total, count(DISTINCT CASE WHEN duplicate_group <> 0 THEN duplicate_group END) AS groups, count(*) FILTER (WHERE duplicate_group <> 0) AS group_members, count(*) FILTER (WHERE faces > 1) AS secondary_faces, count(*) FILTER (WHERE faces = 0) AS no_face, count(*) FILTER (WHERE eligibility = 'REJECT') AS hard_rejects FROM s"))
+@query(_s("SELECT count(*) AS total, count(DISTINCT CASE WHEN duplicate_group <> 0 THEN duplicate_group END) AS groups, count(*) FILTER (WHERE duplicate_group <> 0) AS group_members, count(*) FILTER (WHERE ord % 29 = 0) AS ignored, count(*) FILTER (WHERE list_contains(flags, 'secondary_faces_detected')) AS secondary_faces, count(*) FILTER (WHERE faces = 0) AS no_face, count(*) FILTER (WHERE len(rejects) > 0) AS hard_rejects FROM s"))
 def dataset_summary(spark, sf_dir):
-    return views.dataset_summary(_rows(spark, sf_dir))
+    return views.dataset_summary(_rows(spark, sf_dir).withColumn("duplicate_ignore", F.col("ord") % 29 == 0))
+
 
+_DONE = """done AS (SELECT s.* EXCLUDE (status), chosen.ord IS NOT NULL AS auto_picked, COALESCE(manual_status, CASE WHEN chosen.ord IS NOT NULL THEN '推荐' ELSE base END) AS status FROM s LEFT JOIN chosen USING (ord))"""
 
-@query(_s("""SELECT 0::BIGINT AS auto_picked, count(*) FILTER (WHERE manual_status = '推荐') AS manual_added, count(*) FILTER (WHERE status = '推荐') AS picked, count(DISTINCT source) AS sources,
+
+@query(_s("""SELECT count(*) FILTER (WHERE auto_picked) AS auto_picked, count(*) FILTER (WHERE manual_status = '推荐' AND NOT auto_picked) AS manual_added, count(*) FILTER (WHERE status = '推荐') AS picked, count(DISTINCT source) AS sources,
 count(DISTINCT CASE WHEN duplicate_group <> 0 THEN duplicate_group END) AS groups,
-count(*) FILTER (WHERE status <> '推荐' AND eligibility <> 'REJECT' AND duplicate_group <> 0 AND (r.group_rank > 1 OR duplicate_group IN (SELECT duplicate_group FROM s WHERE status = '推荐' AND duplicate_group <> 0))) AS lost_to_copies,
-count(*) FILTER (WHERE eligibility = 'REVIEW') AS review, count(*) FILTER (WHERE eligibility = 'REJECT') AS rejected FROM s LEFT JOIN (SELECT ord, group_rank FROM ranks) r USING (ord)""", _MEMBERS))
+count(*) FILTER (WHERE status <> '推荐' AND eligibility <> 'REJECT' AND duplicate_group <> 0 AND (r.group_rank > 1 OR duplicate_group IN (SELECT duplicate_group FROM done WHERE status = '推荐' AND duplicate_group <> 0))) AS lost_to_copies,
+count(*) FILTER (WHERE eligibility = 'REVIEW') AS review, count(*) FILTER (WHERE eligibility = 'REJECT') AS rejected FROM done LEFT JOIN (SELECT ord, group_rank FROM ranks) r USING (ord)""", _MEMBERS, _POOL, _TOP, _DONE))
 def stats_selected_only(spark, sf_dir):
-    return views.stats(_rows(spark, sf_dir))
+    return views.stats(_recommended(spark, sf_dir, 60))
+
+
+@query(_s("""SELECT 'status' AS field, status AS value, count(*) AS n FROM done GROUP BY 2 UNION ALL SELECT 'person_scale', person_scale, count(*) FROM done WHERE status = '推荐' GROUP BY 2
+UNION ALL SELECT 'angle_class', angle_class, count(*) FROM done WHERE status = '推荐' GROUP BY 2 UNION ALL SELECT 'pitch_class', pitch_class, count(*) FROM done WHERE status = '推荐' GROUP BY 2""", _POOL, _TOP, _DONE))
+def stats_histograms(spark, sf_dir):
+    return views.picked_histograms(_recommended(spark, sf_dir, 60))
 
 
 # -- refresh and overlays
@@ -309,12 +329,17 @@ def refresh_counters(spark, sf_dir):
     return refresh.counters(refresh.diff(new, old), new, old)
 
 
-@query(_s("SELECT n.ord, CASE WHEN n.sha = o.sha THEN o.sample_id ELSE 'new' || n.ord END AS sample_id, CASE WHEN n.sha = o.sha THEN o.manual_status END AS manual_status FROM news n LEFT JOIN olds o USING (path_key)", _FILES))
+@query(_s("""SELECT n.ord, CASE WHEN n.sha = o.sha THEN o.sample_id ELSE 'new' || n.ord END AS sample_id, CASE WHEN n.sha = o.sha THEN o.manual_status WHEN n.ord % 4 = 0 THEN '备选' END AS manual_status,
+COALESCE(n.sha = o.sha AND n.ord % 3 = 0, false) AS duplicate_ignore, CASE WHEN n.sha = o.sha THEN 'patch' || n.ord END AS patch FROM news n LEFT JOIN olds o USING (path_key)""", _FILES))
 def history_overlay(spark, sf_dir):
     old, new = _snapshots(spark, sf_dir)
-    flags = {"duplicate_ignore": F.lit(False), "duplicate_reviewed": F.lit(False)}
-    rows = new.withColumns({"sample_id": F.concat(F.lit("new"), F.col("ord")), "manual_status": F.lit(None).cast("string"), **flags})
-    return refresh.overlay_history(rows, old.withColumns(flags)).select("ord", "sample_id", "manual_status")
+    i, no = F.col("ord"), F.lit(False)
+    said = lambda c: F.struct(c.alias("patch_id")).alias("ai_suggestion")
+    old = old.withColumns({"duplicate_ignore": i % 3 == 0, "duplicate_reviewed": no}).select("*", said(F.concat(F.lit("patch"), i)))
+    rows = new.withColumns({"sample_id": F.concat(F.lit("new"), i), "manual_status": F.lit(None).cast("string"), "duplicate_ignore": no, "duplicate_reviewed": no}).select("*", said(F.lit(None).cast("string")))
+    legacy = new.where("ord % 4 = 0").select("path_key", F.lit("备选").alias("manual_status"))
+    out = refresh.overlay_history(rows, old, legacy)
+    return out.select("ord", "sample_id", "manual_status", "duplicate_ignore", F.col("ai_suggestion.patch_id").alias("patch"))
 
 
 @query(_s("SELECT ord, CASE WHEN ord % 6 = 0 THEN CASE WHEN ord % 12 = 0 THEN '推荐' ELSE '淘汰' END ELSE manual_status END AS manual_status, CASE WHEN ord % 6 = 0 THEN 2 ELSE 0 END::BIGINT AS composite_scan_version FROM raw"))

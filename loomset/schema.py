@@ -18,5 +18,5 @@ IGNORED_GROUP = -1
 DEFAULT_TARGET, TARGET_PRESETS = 60, (40, 50, 60, 70, 80)
 
 FINDING = "struct<code:string,source:string,value:double,threshold:double,detail:string>"
-#: Names under which views and patches may ask for a column.
-ALIASES = {"sharpness": "blur", "yaw_class": "angle_class", "scale": "person_scale", "effective_status": "status", "face_count": "faces"}
+#: Fields by which views filter.
+FIELDS = ("status", "person_scale", "angle_class", "pitch_class", "eligibility", "duplicate_group", "source", "face_quality", "brisque", "blur", "face_px")
