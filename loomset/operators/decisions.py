@@ -55,11 +55,12 @@ def crop_badge() -> Column:
 
 
 def decode_crop(p: Column, width: Column, height: Column) -> Column:
-    """A stored crop proposal, read from either version; null where its box is none."""
-    decision = F.when(p["decision"].isin("pending", "accepted", "keep_original"), p["decision"]).otherwise("pending")
+    """A stored crop proposal, read from either version; null where its box is none or its decision unknown."""
+    decision = F.coalesce(p["decision"], F.lit("pending"))
     auto = F.when(p["version"] >= CROP_VERSION, F.coalesce(p["auto_box"], p["box"])).otherwise(p["box"])
     valid = (F.size(p["box"]) == 4) & (p["box"][2] > p["box"][0]) & (p["box"][3] > p["box"][1])
-    return F.when(valid & p["version"].isin(*CROP_READABLE), F.struct(F.lit(CROP_VERSION).alias("version"), auto.alias("auto_box"), p["box"].alias("box"), decision.alias("decision"), (auto != p["box"]).alias("manually_adjusted")))
+    known = decision.isin("pending", "accepted", "keep_original")
+    return F.when(valid & known & p["version"].isin(*CROP_READABLE), F.struct(F.lit(CROP_VERSION).alias("version"), auto.alias("auto_box"), p["box"].alias("box"), decision.alias("decision"), (auto != p["box"]).alias("manually_adjusted")))
 
 
 def edit_crop(p: Column, box: Column, width: Column, height: Column) -> Column:

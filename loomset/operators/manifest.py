@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import basename, codes
+from ..functions.expressions import basename, codes, export_source_label
+from .views import chunks, dataset_summary, histograms
 
 # Columns of the flat manifest, in order.
 FLAT = ("sample_id", "filename", "relative_path", "width", "height", "effective_status", "manual_status", "eligibility", "face_count", "face_ratio", "face_px", "face_quality", "brisque", "sharpness", "brightness", "yaw", "pitch", "roll", "angle_class", "pitch_class", "person_scale", "duplicate_group", "review_flag_codes", "hard_reject_codes", "recommendation_reasons")
@@ -27,12 +30,34 @@ def flat(rows: DataFrame) -> DataFrame:
     return rows.select(*[made.get(c, F.col(c)).alias(c) for c in FLAT])
 
 
-def nested(rows: DataFrame) -> DataFrame:
-    """One struct a sample, with its findings whole."""
-    return rows.select(F.struct("sample_id", "relative_path", F.struct("status", "manual_status", "auto_status").alias("state"), "eligibility", F.struct("width", "height", "faces", "face_px", "face_ratio", "face_quality", "brisque", "blur", "brightness", "yaw", "pitch").alias("metrics"), "duplicate_group", "review_flags", "hard_rejects", "recommendation_reasons").alias("sample"))
+# Fields of the parts of a nested entry; renamed ones as (name, column).
+ANALYSIS = (("face_count", "faces"), "primary_face_id", "face_ratio", "face_px", "face_quality", "brisque", ("sharpness", "blur"), "brightness", "yaw", "pitch", "roll", "angle_class", "pitch_class", "person_scale", "duplicate_group", "duplicate_ignore")
+SELECTION = ("auto_status", "manual_status", ("effective_status", "status"), "eligibility")
+
+
+def nested(rows: DataFrame, root_name: str = "") -> DataFrame:
+    """One struct a sample, with its findings whole; what rows have no column for is null."""
+    def part(fields) -> Column:
+        named = [f if isinstance(f, tuple) else (f, f) for f in fields]
+        return F.struct(*[(F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(n) for n, c in named])
+
+    relative = F.col("relative_path")
+    own = [F.col("sample_id"), F.col("content_sha256"), relative, basename(relative).alias("filename"), export_source_label(relative, F.lit(root_name)).alias("source"), F.col("width"), F.col("height"), part(SELECTION).alias("selection"), part(ANALYSIS).alias("analysis")]
+    rest = ("face_detections", "review_flags", "hard_rejects", "recommendation_reasons", "ai_suggestion")
+    return rows.select(F.struct(*own, *[(F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in rest]).alias("sample"))
 
 
-def write_bundle(rows: DataFrame, path: str) -> None:
-    """K9: both manifests, as JSON lines and CSV."""
+def write_bundle(rows: DataFrame, path: str, bundle_id: str, views: list[dict] | None = None, description: str = "") -> None:
+    """K9: bundle, nested and flat manifest, summary, views and pages of the contact sheets, each in its folder. Images
+    and the rendering of sheets are left to whoever has them; so is packing into one file."""
+    spark = rows.sparkSession
+    text = lambda name, value: spark.createDataFrame([(json.dumps(value, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+    text("bundle", {"schema_version": 1, "bundle_id": bundle_id, "view_description": description})
+    text("views", views or [])
     nested(rows).select("sample.*").write.mode("overwrite").json(f"{path}/manifest_json")
     flat(rows).write.mode("overwrite").option("header", True).csv(f"{path}/manifest_csv")
+    counts = histograms(rows).select(F.lit("histogram").alias("part"), "field", F.col("value").cast("string").alias("value"), "n")
+    whole = dataset_summary(rows)
+    totals = whole.select(F.inline(F.array(*[F.struct(F.lit("total").alias("part"), F.lit(c).alias("field"), F.lit(None).cast("string").alias("value"), F.col(c).cast("long").alias("n")) for c in whole.columns])))
+    counts.unionByName(totals).write.mode("overwrite").json(f"{path}/summary")
+    chunks(rows.select("ord", "sample_id", "relative_path"), 16).write.mode("overwrite").json(f"{path}/sheets")

@@ -53,7 +53,7 @@ def move_counts(plan: DataFrame) -> DataFrame:
 
 def conflicts(plan: DataFrame, existing: DataFrame) -> DataFrame:
     """(kind, destination_key): two moves to one place, or a place taken by a file that doesn't move away."""
-    moves = plan.where("outcome = 'move'").select(path_key(F.col("path")).alias("source_key"), path_key(F.col("destination")).alias("destination_key"))
+    moves = plan.select("outcome", "path", "destination").where("outcome = 'move'").select(path_key(F.col("path")).alias("source_key"), path_key(F.col("destination")).alias("destination_key"))
     moves = cut(moves, "moves")  # read three times
     twice = moves.groupBy("destination_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("duplicate").alias("kind"), "destination_key")
     stay = existing.select(path_key(F.col("path")).alias("destination_key")).join(moves.select(F.col("source_key").alias("destination_key")), "destination_key", "left_anti")

@@ -480,9 +480,15 @@ def move_counts(spark, sf_dir):
     return moves.move_counts(_plan(spark, sf_dir)[0])
 
 
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    from . import reviews  # noqa: F401  registers its queries here
+
+    return _found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _found.items()}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _found.items() if sql}
+    return {k: sql for k, (_, sql) in _all().items() if sql}
