@@ -220,7 +220,7 @@ def pack_sorted(keys: np.ndarray) -> bytes:
     high = (x >> np.uint64(low)).astype(np.int64) + np.arange(n)
     marks = np.zeros(int(high[-1]) + 1, np.uint8)
     marks[high] = 1
-    return head + np.packbits(bits).tobytes() + np.packbits(marks).tobytes()
+    return head + np.packbits(bits, bitorder="little").tobytes() + np.packbits(marks).tobytes()
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
@@ -229,20 +229,30 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     n, low = int.from_bytes(blob[:8], "little"), blob[8]
     mid = 17 + (n * low + 7) // 8
     x = (np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=mid)))[:n] - np.arange(n)).astype(np.uint64) << np.uint64(low)
-    if low:
-        bits = np.unpackbits(np.frombuffer(blob, np.uint8, mid - 17, 17), count=n * low).reshape(n, low)
-        full = np.zeros((n, 8), np.uint8)
-        full[:, : (low + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
-        x |= full.reshape(-1).view("<u8")
+    if low:  # the eight bytes from where a key's low bits begin; where these may be more than eight bytes' worth, bit by bit
+        start = np.arange(n, dtype=np.int64) * low
+        if low <= 57:
+            eight = np.ndarray(mid - 17 + 1, "<u8", blob[17:mid] + bytes(8), strides=(1,))
+            x |= (eight[start >> 3] >> (start & 7).astype(np.uint64)) & np.uint64((1 << low) - 1)
+        else:
+            bits = np.unpackbits(np.frombuffer(blob, np.uint8, mid - 17, 17), count=n * low, bitorder="little").reshape(n, low)
+            full = np.zeros((n, 8), np.uint8)
+            full[:, : (low + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
+            x |= full.reshape(-1).view("<u8")
     return x + np.uint64(int.from_bytes(blob[9:17], "little"))
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts, nearly all of which are small, in as few bytes as the largest needs, compressed."""
-    most = int(counts.max()) if len(counts) else 0
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w - 1 or w == 8)
-    return bytes([width]) + zlib.compress(counts.astype(f"<i{width}").tobytes(), 1)
+    """Counts, nearly all of which are small: a byte each, 255 for what is no less, then these as they are; compressed."""
+    large = np.flatnonzero(counts >= 255)
+    small = counts.astype(np.uint8)
+    small[large] = 255
+    return zlib.compress(small.tobytes() + counts[large].astype("<i8").tobytes() + len(large).to_bytes(8, "little"), 1)
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob[1:]), f"<i{blob[0]}").astype(np.int64)
+    data = zlib.decompress(blob)
+    rest = 8 * int.from_bytes(data[-8:], "little")
+    out = np.frombuffer(data, np.uint8, len(data) - 8 - rest).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", rest // 8, len(out))
+    return out

@@ -71,32 +71,35 @@ class Grams:
         self.own, self.keys = [counts], [np.concatenate([keys, [END, BEGIN]])]
         upper = tokens
         for k in range(2, order + 1):
-            at = np.flatnonzero(place >= k - 1)
-            pairs, which = distinct(upper[at - 1] * self.base + tokens[at])
+            there = place >= k - 1
+            pairs, which = distinct((upper[:-1] * self.base + tokens[1:])[there[1:]])
             here = np.full(total, -1, np.int64)
-            here[at] = which
+            here[there] = which
             suffix = np.empty(len(pairs), np.int64)
-            suffix[which] = upper[at]
+            suffix[which] = upper[there]
             parent, last = pairs // self.base, pairs % self.base
             self.parent.append(parent)
             self.last.append(last)
             self.suffix.append(suffix)
-            self.own.append(np.bincount(which[of_learn[at]], minlength=len(pairs)))
+            self.own.append(np.bincount(which[of_learn[there]], minlength=len(pairs)))
             self.keys.append(mix(self.keys[-1][parent] * np.uint64(0x9E3779B97F4A7C15) + self.keys[0][last] + np.uint64(k)))
             upper = here
 
-    def asked(self, bits: int, wanted: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
-        """The wanted n-grams as keys of both kinds with their values, and the place of each wanted one in them. The keys
-        of single tokens are whole, so that their counts are exact; the others have so many bits."""
+    def asked(self, bits: int, wanted: list[np.ndarray], values: list[np.ndarray] | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+        """The wanted n-grams as keys of both kinds, with their values if there are any, and the place of each wanted one
+        in them. The keys of single tokens are whole, so that their counts are exact; the others have so many bits."""
         if not wanted:
             return [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2, []
         single, at_single = distinct(self.keys[0][wanted[0]])
-        first = np.bincount(at_single, values[0][wanted[0]], len(single)).astype(np.int64)
         longer = [k[w] >> np.uint64(64 - bits) for k, w in zip(self.keys[1:], wanted[1:])]
         keys, at = distinct(np.concatenate(longer or [np.zeros(0, np.uint64)]))
-        more = np.concatenate([v[w] for v, w in zip(values[1:], wanted[1:])] or [np.zeros(0, np.int64)])
         ends = np.cumsum([len(x) for x in longer])[:-1] if longer else []
-        return [(single, first), (keys, np.bincount(at, more, len(keys)).astype(np.int64))], [at_single, *(np.split(at, ends) if longer else [])]
+        first = more = np.zeros(0, np.int64)
+        if values is not None:
+            first = np.bincount(at_single, values[0][wanted[0]], len(single)).astype(np.int64)
+            of = np.concatenate([v[w] for v, w in zip(values[1:], wanted[1:])] or [more])
+            more = np.bincount(at, of, len(keys)).astype(np.int64)
+        return [(single, first), (keys, more)], [at_single, *(np.split(at, ends) if longer else [])]
 
     def all(self) -> list[np.ndarray]:
         """Every n-gram but the begin mark, which is no token."""
@@ -106,7 +109,7 @@ class Grams:
         """Of each level the counts of the whole training part, the n-grams that other blocks ask for too, and those that
         this block has learned from and owns."""
         wanted = self.all()
-        _, places = self.asked(bits, wanted, self.own)
+        _, places = self.asked(bits, wanted)
         counts, asked, owned = [], [], []
         for k, (w, at) in enumerate(zip(wanted, places)):
             told = [np.zeros(len(w), x.dtype) for x in answer[min(k, 1)]]
@@ -125,8 +128,14 @@ class Grams:
 
     @staticmethod
     def shared(counts: list[np.ndarray], asked: list[np.ndarray]) -> list[np.ndarray]:
-        """Histories of the training part that other blocks ask for too, of each level but the last."""
-        return [(c > 0) & o for c, o in zip(counts[:-1], asked[:-1])]
+        """Histories of the training part that other blocks ask for too, of each level but the last. One that is there
+        once has one follower, and is no question."""
+        return [(c > 1) & o for c, o in zip(counts[:-1], asked[:-1])]
+
+    @staticmethod
+    def single(counts: list[np.ndarray], after: list[np.ndarray]) -> list[np.ndarray]:
+        """Numbers of followers, with that of histories that are there once."""
+        return [np.where(c == 1, 1, a) for c, a in zip(counts[:-1], after)]
 
 
 class Automaton:
@@ -252,9 +261,9 @@ def score(docs: DataFrame, order: int = ORDER, train: Callable[[object], bool] =
     def use(block: int, ids: list, texts: list, hashes: np.ndarray, answer: list, more: list) -> pd.DataFrame:
         own, learn = grams(ids, texts)
         count, asked, owned = own.answered(bits, answer)
-        after = own.followers(owned)
+        after = own.single(count, own.followers(owned))
         shared = own.shared(count, asked)
-        for k, (w, at) in enumerate(zip(shared, own.asked(bits, shared, after)[1])):
+        for k, (w, at) in enumerate(zip(shared, own.asked(bits, shared)[1])):
             after[k][w] += more[min(k, 1)][0][at]
         model = Automaton(own, count, after, n_tokens, n_types)
         logp = model.walk(own.tokens, own.starts, own.lengths, order)
