@@ -150,7 +150,7 @@ def forest(sets: list[np.ndarray], percent: int, only_across: np.ndarray | None
     return links
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) of edges (u, v): root is the smallest id of the component. Alternating large and small stars; each
     round is a written table, and rounds grow with the logarithm of the longest path."""
     both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -168,13 +168,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spread = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
     now = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
     mark = spread(now)
-    for _ in range(rounds):
+    while True:
         old, now = now, stored(star(star(now, True), False), "edges")
         discard(old)
         mark, last = spread(now), mark
         if mark == last:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _pieces(docs: DataFrame, words: int, percent: int) -> DataFrame:

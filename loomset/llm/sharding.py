@@ -30,19 +30,21 @@ def shard(docs: DataFrame, shards: int = SHARDS, slices: int = SLICES) -> DataFr
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row.
 
     A null id is the key "null"; a null text has size 8 and the crc32 of no bytes, 0. Repeated rows share a shard and
-    get slots of their own. An empty table gives an empty result. Other columns are not read. Slots are numbered in two
-    steps, rows inside slices of a shard and slices by their counts, so that no shard is sorted as a whole."""
+    get slots of their own. A very long text is only measured. An empty table gives an empty result. Other columns are
+    not read. Slots are numbered in two steps, rows inside slices of a shard and slices by their counts, so that no shard
+    is sorted as a whole; a slice is by id and length, so that rows without an id are not one slice."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     data = F.encode("text", "utf-8")
+    slot_slice = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(slices)).cast("int").alias("slice")
     rows = docs.select(
         "doc_id",
         F.coalesce(F.octet_length("text") + 8, F.lit(8)).cast("long").alias("size"),
         F.coalesce(F.crc32(data), F.lit(0)).cast("long").alias("text_crc32"),
         jump(key, shards).alias("shard"),
         jump(key, shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"),
+        slot_slice,
     )
-    ids = docs.select(jump(key, shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"))
+    ids = docs.select(jump(key, shards).alias("shard"), slot_slice)
     counts = ids.groupBy("shard", "slice").count()  # shards x slices rows at most
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     first = F.broadcast(counts.select("shard", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")))
