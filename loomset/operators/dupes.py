@@ -85,7 +85,7 @@ def _settle(batches):
     yield pd.DataFrame({"p": pd.Series(heads, dtype="int64")})
 
 
-def anchors_of(rows: DataFrame, near: DataFrame, adjacent: DataFrame, rounds: int = 200) -> DataFrame:
+def anchors_of(rows: DataFrame, near: DataFrame, adjacent: DataFrame) -> DataFrame:
     """(p, anchor) of rows (p, phash): anchors with their own, the others with the first anchor that they are close to.
 
     near holds pairs (a, b) of hashes and adjacent pairs of rows, both ways round; rows of equal hash are close too.
@@ -95,7 +95,7 @@ def anchors_of(rows: DataFrame, near: DataFrame, adjacent: DataFrame, rounds: in
     taken. What is between hashes is done on hashes, so that many rows of one hash are no clique of edges. Rounds go on
     while more than TAIL_EDGES rows and edges are left; those few are settled in order by one task."""
     free, heads = rows, None
-    for k in range(rounds + 1):
+    while True:  # each round has a head: the first free row
         left = near.join(free.select(F.col("phash").alias("a")).distinct(), "a", "left_semi")
         edges = adjacent.join(free.select(F.col("p").alias("a")), "a", "left_semi").join(free.select(F.col("p").alias("b")), "b", "left_semi")
         tagged = free.select(F.lit(0).alias("kind"), F.col("p").alias("a"), F.col("phash").alias("b"))
@@ -104,8 +104,6 @@ def anchors_of(rows: DataFrame, near: DataFrame, adjacent: DataFrame, rounds: in
             last = cut(tagged.coalesce(1).mapInPandas(_settle, "p long"), "heads")
             heads = last if heads is None else heads.unionByName(last)
             break
-        if k == rounds:
-            raise RuntimeError(f"groups did not settle in {rounds} rounds")
         least = free.groupBy("phash").agg(F.min("p").alias("p"))
         around = near.join(least.select(F.col("phash").alias("b"), F.col("p").alias("q")), "b").groupBy(F.col("a").alias("phash")).agg(F.min("q").alias("q"))
         first = edges.groupBy(F.col("a").alias("p")).agg(F.min("b").alias("r"))
