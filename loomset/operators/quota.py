@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import base_status, blockers, effective_status, rank_order
 from ..schema import PICKED, SCALE_WEIGHTS, SCALES, YAW_WEIGHTS, YAWS
+from ..storage import cut
 from .dupes import best_per_group
 
 
@@ -60,7 +61,9 @@ def choose(pool: DataFrame, target: int) -> DataFrame:
     by_yaw = spark.createDataFrame([(s, y, n) for (s, y), n in first.items()], "person_scale string, _yaw string, _k1 int")
     by_scale = spark.createDataFrame(list(then.items()), "person_scale string, _k2 int")
     top = Window.partitionBy("person_scale", "_yaw").orderBy(*rank_order())
-    ranked = inside.withColumn("_r1", F.row_number().over(top)).join(F.broadcast(by_yaw), ["person_scale", "_yaw"], "left")
+    most = max([n + then.get(s, 0) for (s, _), n in first.items()], default=0)
+    # A bound that the plan can see: each task passes on no more rows of a stratum than that, before they are shuffled.
+    ranked = inside.withColumn("_r1", F.row_number().over(top)).where(F.col("_r1") <= F.lit(most)).join(F.broadcast(by_yaw), ["person_scale", "_yaw"], "left")
     ranked = ranked.withColumn("_one", F.col("_r1") <= F.coalesce("_k1", F.lit(0)))
     # No row beyond rank k1 + k2 of its (scale, yaw) can be among the next k2 of its scale: windows hold short lists.
     ranked = ranked.join(F.broadcast(by_scale), "person_scale", "left").where(F.col("_r1") <= F.coalesce("_k1", F.lit(0)) + F.coalesce("_k2", F.lit(0)))
@@ -76,7 +79,8 @@ def recommend(rows: DataFrame, target: int) -> DataFrame:
     what is chosen; they are only named in front of the reasons."""
     own = rows.drop("auto_status", "recommendation_reasons").withColumn("blockers", blockers())
     own = own.withColumn("qualified", F.size("blockers") == 0)
-    eligible = own.where("qualified")
+    slim = own.where("qualified").select("ord", "person_scale", "angle_class", "duplicate_group", "face_quality", "brisque", "blur")
+    eligible = cut(slim, "eligible")  # read for the pool, its counts and the ranks; findings are judged once
     pool = best_per_group(eligible)
     chosen = choose(pool, target).select("ord", F.lit(True).alias("_chosen"))
     groups = eligible.where("duplicate_group <> 0").select("ord", F.row_number().over(Window.partitionBy("duplicate_group").orderBy(*rank_order())).alias("_rank"), F.count(F.lit(1)).over(Window.partitionBy("duplicate_group")).alias("_size"))
