@@ -1,7 +1,9 @@
 """The pipeline's stages on small tables, and the SQL of the operators that have one."""
 
+import hashlib
 import math
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -9,7 +11,7 @@ import pytest
 import corpus_pipeline
 from loomset.llm import decontamination, language_id, queries
 
-from .test_operators import join_brute, mix_brute, tokens, windows_brute
+from .test_operators import join_brute, jump_brute, mix_brute, tokens, windows_brute
 
 
 def same(a, b):
@@ -79,10 +81,44 @@ def test_edge_rows(spark, docs, sf):
     assert Counter(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, twice, sf).collect()) == Counter({11: 1, None: 1})
 
 
-def test_run(spark, sf):
+def pipeline_brute(docs, items, model):
+    """All stages over rows in lists; the classifier is the one that the stage trains."""
+    rejected = model.judge([r.text for r in docs])[2]
+    docs = [r for r, no in zip(docs, rejected) if not no]
+    docs = [r for r, (i, _, c) in zip(docs, join_brute([(r.doc_id, r.text) for r in docs])) if i == c]
+    docs = [r for r, x in zip(docs, windows_brute([(r.doc_id, r.text) for r in docs], items)) if not x[-1]]
+    sizes = {r.doc_id: len(tokens(r.text)) for r in docs}
+    total, target = mix_brute([(r.doc_id, r.source, sizes[r.doc_id]) for r in docs])
+    rows = []
+    for s, n in total.items():
+        whole = int(target[s] // n) if n else 0
+        room = math.floor(target[s] - whole * n + 0.5)
+        for r in sorted((r for r in docs if r.source == s), key=lambda r: hashlib.md5(f"mix-1:{r.doc_id}".encode()).hexdigest()):
+            more = max(0, min(sizes[r.doc_id], room))
+            room -= sizes[r.doc_id]
+            rows += [r] * (whole + (2 * more >= max(sizes[r.doc_id], 1)))
+    text = lambda r: (r.text or "").encode()
+    return Counter((r.doc_id, len(text(r)) + 8, zlib.crc32(text(r)), "key", jump_brute(r.doc_id, 24), jump_brute(r.doc_id, 25)) for r in rows)
+
+
+def test_run(spark, corpus, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
-    slots = Counter((r.shard, r.slot) for r in rows)
-    assert rows and max(slots.values()) == 1
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = pipeline_brute(corpus.collect(), items, language_id.train(language_id.sample(corpus)))
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.grown_shard) for r in rows) == want
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shard_stage(spark, docs, sf):
+    got = corpus_pipeline.shard(spark, docs, sf)
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    rows = got.collect()
+    assert len(rows) == docs.count() and {r.doc_id: r.shard for r in rows}[None] == jump_brute("null", 24)
+    assert all(r.shard == jump_brute(r.doc_id, 24) for r in rows if r.doc_id is not None)
+    assert corpus_pipeline.shard(spark, docs.limit(0), sf).count() == 0
 
 
 def test_decontamination_in_passes(spark, corpus, docs, sf, monkeypatch):
