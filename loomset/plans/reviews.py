@@ -339,7 +339,8 @@ def detections_kept(spark, sf_dir):
 
 @query()
 def pixel_metrics(spark, sf_dir):
-    """Images of 24 x 16 pixels from the bytes of texts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("octet_length(text) >= 1152")
-    pixels = F.struct(F.lit(24).alias("width"), F.lit(16).alias("height"), F.substring(F.encode("text", "utf-8"), 1, 1152).alias("data"))
+    """Images 24 pixels wide from the bytes of whole texts, the last row filled up with black."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("octet_length(text) > 0")
+    data = F.expr("concat(encode(text, 'utf-8'), unhex(repeat('00', cast(pmod(-octet_length(text), 72) as int))))")
+    pixels = F.struct(F.lit(24).alias("width"), F.ceil(F.octet_length("text") / 72).cast("int").alias("height"), data.alias("data"))
     return docs.select("doc_id", kernels.metrics(pixels).alias("m")).select("doc_id", "m.*")
