@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, join_hot, stored
+from .common import hot_keys, join_hot, stored, trim
 
 WIDTH = 13
 #: Bytes of items in the automaton of a pass, about; an item is never split.
@@ -100,6 +100,7 @@ def _scanned(benchmark: DataFrame, width: int, passes: int, k: int, schema: str,
         windows = Windows(held.value, width)
         for batch in batches:
             yield pd.DataFrame([row(*windows.scan(t or b"")[:3]) for t in batch], columns=names)
+        trim()
 
     return scan
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blockcount import Kinds, ask, counted, dealt, with_answers
-from .common import discard, distinct, hot_keys, join_hot, mix, stored, word_hashes
+from .common import discard, distinct, hot_keys, join_hot, mix, stored, trim, word_hashes
 
 WORDS = 4
 PERCENT = 85
@@ -266,7 +266,10 @@ def members(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_s
         got = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
         keys, a, b = list(frame["key"]), int(frame["a"].iloc[0]), int(frame["b"].iloc[0])
         side = None if a == b else (frame["part"].to_numpy() == b).astype(int)
-        return pd.DataFrame([(keys[i], keys[j]) for i, j in forest(got, percent, only_across=side)], columns=["u", "v"])
+        found = forest(got, percent, only_across=side)
+        if len(got) > PART_SETS:
+            trim()
+        return pd.DataFrame([(keys[i], keys[j]) for i, j in found], columns=["u", "v"])
 
     edges = dealt_sets.groupBy("near", "a", "b").applyInPandas(links, "u binary, v binary")
     roots = components(edges).select(F.col("id").alias("key"), "root")

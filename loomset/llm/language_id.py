@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 BUCKETS = 1 << 15
 DIM = 12
 GRAMS = (1, 2, 3, 4)
@@ -238,6 +240,7 @@ def predictor(docs: DataFrame, model: Model | None = None):
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(text: pd.Series) -> pd.DataFrame:
         lang, score, rejected = held.value.judge([None if t is None else t for t in text])
+        trim()
         return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
 
     return predict
