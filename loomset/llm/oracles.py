@@ -58,4 +58,52 @@ SELECT page_id, payload_bytes, d AS payload_digest, CASE WHEN page_id IS NOT DIS
 FROM hashed JOIN letters USING (h)
 """
 
-SQL = {"op2_mixing": _MIX, "op5_decontamination": _WINDOWS, "op8_warc": _WARC}
+_SEARCH = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), []) AS w
+  FROM documents),
+total AS (SELECT COUNT(*) FILTER (len(w) > 0)::BIGINT AS n_all, SUM(len(w))::BIGINT AS l_all FROM d),
+tf AS (SELECT r, term, COUNT(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, COUNT(*)::BIGINT AS df FROM tf GROUP BY term),
+weight AS (SELECT term, FLOOR(1000 * LN((2 * n_all + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM df, total),
+sized AS (SELECT r, doc_id, (10 + (90 * len(w)::BIGINT * n_all) // l_all)::BIGINT AS m FROM d, total WHERE len(w) > 0),
+q AS (
+  SELECT DISTINCT q, item_id, unnest(w) AS term FROM (
+    SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+    FROM benchmark WHERE text IS NOT NULL)),
+scored AS (
+  SELECT q, item_id, sized.r, doc_id, SUM(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN weight USING (term) JOIN tf USING (term) JOIN sized USING (r) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+#: CRC-32 of a string's UTF-8 bytes, bit by bit, by its reflected polynomial.
+_CRC32 = """xor(list_reduce(
+    list_transform(range(1, octet_length(encode(term)) + 1), lambda i: ('0x' || substr(hex(encode(term)), (2 * i - 1)::INTEGER, 2))::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, (x % 2) * 3988292384), xor(c, b)), 4294967295), 4294967295)"""
+
+_RESAMPLE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w
+  FROM documents),
+own AS (SELECT r, term, COUNT(*)::BIGINT AS n FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+aim AS (
+  SELECT term, COUNT(*)::BIGINT AS n FROM (
+    SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY term),
+dictionary AS (
+  SELECT term, SUM(s)::BIGINT AS s, SUM(t)::BIGINT AS t FROM (SELECT term, n AS s, 0 AS t FROM own UNION ALL SELECT term, 0, n FROM aim) GROUP BY term),
+hashed AS (SELECT term, s, t, {_CRC32} % 10000 AS bucket FROM dictionary),
+gains AS (
+  SELECT bucket, FLOOR(1000 * LN((SUM(t) + 1)::DOUBLE * ((SELECT SUM(s) FROM hashed) + 10000)::DOUBLE / ((SUM(s) + 1)::DOUBLE * ((SELECT SUM(t) FROM hashed) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM hashed GROUP BY bucket),
+weights AS (SELECT r, SUM(n * gain)::BIGINT AS weight FROM own JOIN hashed USING (term) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT d.r, doc_id, len(w)::BIGINT AS n_features, COALESCE(weight, 0)::BIGINT AS weight,
+         (COALESCE(weight, 0) + FLOOR(-1000 * LN(-LN((('0x' || substr(sha256('2024:' || COALESCE(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)),
+fit AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank, COUNT(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END::BIGINT AS rank FROM scored LEFT JOIN fit USING (r)
+"""
+
+SQL = {"op11_ranked_search": _SEARCH, "op13_importance_resampling": _RESAMPLE, "op2_mixing": _MIX, "op5_decontamination": _WINDOWS, "op8_warc": _WARC}

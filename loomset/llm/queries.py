@@ -1,10 +1,10 @@
-"""Queries op1 to op10: each operator over its whole table, with production parameters."""
+"""Queries op1 to op13: each operator over its whole table, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language_id, lm_scoring, mixing, pii, sharding, telephony, token_counts, warc
+from . import decontamination, jaccard_join, language_id, lm_scoring, mixing, pii, ranked_search, resampling, sharding, telephony, token_counts, toxicity, warc
 
 #: The tokenizer of op7, one of the public_tokenizers files.
 TOKENIZER = "piece_bpe_32k.model"
@@ -58,8 +58,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_pii, op4_language_id, op5_decontamination, op6_sharding, op7_token_counts, op8_warc, op9_telephony, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_pii, op4_language_id, op5_decontamination, op6_sharding, op7_token_counts, op8_warc, op9_telephony, op10_jaccard_join, op11_ranked_search, op12_toxicity, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
