@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import BACKUP, FINDING, REJECTED
+from ..schema import BACKUP, FINDING, FINDING_TEXTS, REJECTED
 
 # Review flags that keep a sample out of the automatic selection.
 BLOCKING = ("no_face_full_body_review", "secondary_faces_detected", "probable_multi_person", "low_face_pixels", "extreme_exposure", "face_detection_error", "face_quality_error", "head_pose_error", "face_sharpness_error", "brisque_error", "pose_analysis_error")
@@ -42,8 +42,8 @@ def person_scale(landmarks: Column) -> Column:
     return F.when(landmarks.isNull(), "近景/头肩").when(seen(27), "全身").when(seen(25), "大半身").when(seen(23), "半身").otherwise("近景/头肩")
 
 
-def finding(code: str, source: str, value: Column | None = None, threshold: float | None = None, detail: str | Column = "") -> Column:
-    detail = F.lit(detail) if isinstance(detail, str) else detail
+def finding(code: str, source: str, value: Column | None = None, threshold: float | None = None, detail: Column | None = None) -> Column:
+    detail = F.lit(FINDING_TEXTS[code]) if detail is None else detail
     value = F.lit(None).cast("double") if value is None else value.cast("double")
     return F.struct(F.lit(code).alias("code"), F.lit(source).alias("source"), value.alias("value"), F.lit(threshold).cast("double").alias("threshold"), detail.alias("detail"))
 
@@ -59,21 +59,21 @@ def review_flags(dark: Column | None = None, bright: Column | None = None) -> Co
     dark, bright = dark if dark is not None else zero, bright if bright is not None else zero
     exposed = (c("brightness") < 28) | (c("brightness") > 228) | (dark > 0.55) | (bright > 0.55)
     return _present(
-        ((c("faces") == 0) & (c("person_scale") == "全身"), finding("no_face_full_body_review", "yunet", detail="未检测到人脸，但检测到全身；可能是有价值的背身/背面素材，需人工确认")),
-        (c("faces") > 1, finding("secondary_faces_detected", "yunet", c("faces"), 1.0, F.format_string("去重后仍检测到 %d 张独立人脸，需确认是否多人", c("faces")))),
-        ((c("width") < 512) | (c("height") < 512), finding("low_resolution", "image", F.least("width", "height"), 512.0, "图片短边分辨率低于 512px")),
-        (face & (c("face_px") < 120), finding("low_face_pixels", "primary_face", c("face_px"), 120.0, "主脸实际像素偏小")),
-        (face & (c("face_ratio") < 0.018), finding("low_face_ratio", "primary_face", c("face_ratio"), 0.018, "主脸占画面比例偏低")),
-        (face & (c("blur") < 25), finding("severe_face_blur", "primary_face", c("blur"), 25.0, "主脸明显模糊")),
-        (face & (c("face_quality") < 0.25), finding("low_face_quality", "ediffiqa", c("face_quality"), 0.25, "eDifFIQA 人脸质量偏低")),
-        (c("brisque") > 80, finding("high_brisque", "brisque", c("brisque"), 80.0, "BRISQUE 整图质量偏低")),
-        (exposed, finding("extreme_exposure", "image", c("brightness"), None, "图像疑似严重欠曝或过曝")),
+        ((c("faces") == 0) & (c("person_scale") == "全身"), finding("no_face_full_body_review", "yunet")),
+        (c("faces") > 1, finding("secondary_faces_detected", "yunet", c("faces"), 1.0, F.format_string(FINDING_TEXTS["secondary_faces_detected"], c("faces")))),
+        ((c("width") < 512) | (c("height") < 512), finding("low_resolution", "image", F.least("width", "height"), 512.0)),
+        (face & (c("face_px") < 120), finding("low_face_pixels", "primary_face", c("face_px"), 120.0)),
+        (face & (c("face_ratio") < 0.018), finding("low_face_ratio", "primary_face", c("face_ratio"), 0.018)),
+        (face & (c("blur") < 25), finding("severe_face_blur", "primary_face", c("blur"), 25.0)),
+        (face & (c("face_quality") < 0.25), finding("low_face_quality", "ediffiqa", c("face_quality"), 0.25)),
+        (c("brisque") > 80, finding("high_brisque", "brisque", c("brisque"), 80.0)),
+        (exposed, finding("extreme_exposure", "image", c("brightness"), None)),
     )
 
 
 def hard_rejects() -> Column:
     """P10, the rules that reject."""
-    return _present(((F.col("faces") == 0) & (F.col("person_scale") != "全身"), finding("no_face_not_full_body", "yunet", detail="两个检测阈值均未找到人脸，且不是全身图")))
+    return _present(((F.col("faces") == 0) & (F.col("person_scale") != "全身"), finding("no_face_not_full_body", "yunet")))
 
 
 def with_stage_errors(flags: Column, errors: Column) -> Column:
@@ -82,6 +82,13 @@ def with_stage_errors(flags: Column, errors: Column) -> Column:
     return F.concat(flags, F.array_compact(own).cast(f"array<{FINDING}>"))
 
 
+def unless_unreadable(flags: Column, rejects: Column, error: Column) -> tuple[Column, Column]:
+    """Flags and rejects, or, of an image that can't be read, only that, as a reject: nothing else is known of it."""
+    said = finding("read_error", "image", detail=F.concat(F.lit(FINDING_TEXTS["read_error"]), error))
+    none = F.array().cast(f"array<{FINDING}>")
+    return F.when(error.isNull(), flags).otherwise(none), F.when(error.isNull(), rejects).otherwise(F.array(said).cast(f"array<{FINDING}>"))
+
+
 def eligibility(rejects: Column, flags: Column) -> Column:
     """P4."""
     return F.when(F.size(rejects) > 0, "REJECT").when(F.size(flags) > 0, "REVIEW").otherwise("PASS")

@@ -163,10 +163,26 @@ def extent(points: Column, k: int) -> Column:
 
 
 def order_points(points: Column) -> Column:
-    """the four corners from the top left on, clockwise."""
-    two = lambda from_top: F.transform(F.slice(F.array_sort(F.transform(points, lambda p: F.struct(p[1].alias("y"), p[0].alias("x"), p.alias("p")))), 1 if from_top else 3, 2), lambda s: s["p"])
-    by_x = lambda ps: F.transform(F.array_sort(F.transform(ps, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"), p.alias("p")))), lambda s: s["p"])
-    return F.concat(by_x(two(True)), F.reverse(by_x(two(False))))
+    """four corners clockwise: the upper of the two leftmost, the upper and the lower of the two rightmost, the lower of
+    the two leftmost. Of equal columns the upper is taken as further left."""
+    by = lambda ps, a, b: F.transform(F.array_sort(F.transform(ps, lambda p: F.struct(p[a].alias("a"), p[b].alias("b"), p.alias("p")))), lambda s: s["p"])
+
+    def halves(ps: Column) -> Column:
+        left, right = by(F.slice(ps, 1, 2), 1, 0), by(F.slice(ps, 3, 2), 1, 0)
+        return let(left, lambda l: let(right, lambda r: F.array(l[0], r[0], r[1], l[1])))
+
+    return let(by(points, 0, 1), halves)
+
+
+def clipped_points(points: Column, width: Column, height: Column) -> Column:
+    """corners inside the image."""
+    return F.transform(points, lambda p: F.array(F.least(F.greatest(p[0], F.lit(0)), width - 1), F.least(F.greatest(p[1], F.lit(0)), height - 1)))
+
+
+def large_enough(points: Column, least: int = 3) -> Column:
+    """the sides from the first corner to the second and to the fourth, in whole pixels, are both longer than that."""
+    side = lambda k: F.floor(F.sqrt((points[0][0] - points[k][0]).cast("double") * (points[0][0] - points[k][0]) + (points[0][1] - points[k][1]).cast("double") * (points[0][1] - points[k][1])))
+    return (side(1) > least) & (side(3) > least)
 
 
 def nms(detections: Column, threshold: float, kind: str) -> Column:

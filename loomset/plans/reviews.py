@@ -8,6 +8,7 @@ from ..functions import expressions as x
 from ..functions import geometry as g
 from ..functions import kernels
 from ..operators import decisions, dupes, refresh, regions, states, views
+from ..schema import FINDING_TEXTS
 from ..sources import images
 from ..sources.images import raw_samples, samples
 from .catalogue import _BOXES, _FILES, _REGIONS, _boxes, _long, _records, _rows, _s, _snapshots, query
@@ -241,12 +242,20 @@ def readable_sizes(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", x.human_bytes(n).alias("size"))
 
 
-@query(_s("SELECT ord, COALESCE(array_to_string(list_transform(rejects, lambda c: '未'), ''), '') = '' AS no_reject, array_to_string(list_concat(flags, CASE WHEN ord % 6 = 0 THEN ['brisque_error'] ELSE [] END), '|') AS codes FROM s"))
+_SAID = "CASE c " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in FINDING_TEXTS.items() if "%d" not in t) + " WHEN 'secondary_faces_detected' THEN '" + FINDING_TEXTS["secondary_faces_detected"].replace("%d", "' || faces || '") + "' END"
+
+
+@query(_s(f"""SELECT ord, array_to_string(CASE WHEN ord % 13 = 0 THEN [] ELSE list_concat(flags, CASE WHEN ord % 10 = 0 THEN ['head_pose_error'] ELSE [] END, CASE WHEN ord % 6 = 0 THEN ['brisque_error'] ELSE [] END) END, '|') AS codes,
+array_to_string(CASE WHEN ord % 13 = 0 THEN ['{FINDING_TEXTS["read_error"]}broken'] ELSE list_concat(list_transform(list_concat(rejects, flags), lambda c: {_SAID}), CASE WHEN ord % 10 = 0 THEN ['head_pose_error'] ELSE [] END, CASE WHEN ord % 6 = 0 THEN ['failed'] ELSE [] END) END, '|') AS texts,
+CASE WHEN ord % 13 = 0 OR len(rejects) > 0 THEN 'REJECT' WHEN len(flags) > 0 OR ord % 6 = 0 OR ord % 10 = 0 THEN 'REVIEW' ELSE 'PASS' END AS eligibility FROM s"""))
 def stage_errors(spark, sf_dir):
-    errors = F.create_map(F.lit("brisque_error"), F.when(F.col("ord") % 6 == 0, "failed"))
-    own = samples(spark, sf_dir).withColumn("all", x.with_stage_errors(F.col("review_flags"), errors))
-    said = F.transform("hard_rejects", lambda f: F.substring(x.finding_text(f), 1, 0))
-    return own.select("ord", (F.size(said) == 0).alias("no_reject"), F.array_join(x.codes(F.col("all")), "|").alias("codes"))
+    """Findings with those of failed stages, as they are said: the detail, or the code where there is none; and unreadable images."""
+    i = F.col("ord")
+    errors = F.create_map(F.lit("brisque_error"), F.when(i % 6 == 0, "failed"), F.lit("head_pose_error"), F.when(i % 10 == 0, ""))
+    own = samples(spark, sf_dir)
+    flags, rejects = x.unless_unreadable(x.with_stage_errors(F.col("review_flags"), errors), F.col("hard_rejects"), F.when(i % 13 == 0, "broken"))
+    own = own.withColumns({"flags": flags, "rejects": rejects})
+    return own.select("ord", F.array_join(x.codes(F.col("flags")), "|").alias("codes"), F.array_join(F.transform(F.concat("rejects", "flags"), x.finding_text), "|").alias("texts"), x.eligibility(F.col("rejects"), F.col("flags")).alias("eligibility"))
 
 
 # -- text regions
@@ -311,12 +320,27 @@ def clamped_boxes(spark, sf_dir):
     return _boxes(spark, sf_dir).select("l_orderkey", *_long("l_linenumber"), F.array_join(made.cast("array<string>"), ",").alias("box"))
 
 
-@query("WITH " + _BOXES + " SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, x0 || ',' || y0 || ';' || x1 || ',' || y0 || ';' || x1 || ',' || y1 || ';' || x0 || ',' || y1 AS corners FROM boxes")
+_TURNED = _BOXES + """, turned AS (SELECT row_number() OVER () AS row, l_orderkey, l_linenumber, x0 AS cx, y0 AS cy, (x1 - x0) // 2 AS a, (l_orderkey % 41 - 20)::INT AS b, (y1 - y0) // (1 + (l_orderkey % 9)::INT * 3) AS c FROM boxes),
+corners AS (SELECT row, l_orderkey, l_linenumber, unnest([cx - a + b, cx + a + b, cx + a - b, cx - a - b]) AS x, unnest([cy - c - b, cy - c + b, cy + c + b, cy + c - b]) AS y, unnest([1, 2, 3, 4]) AS n FROM turned),
+half AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY x, y, n) <= 2 AS west FROM corners),
+named AS (SELECT *, row_number() OVER (PARTITION BY row, west ORDER BY y, x, n) = 1 AS north FROM half),
+four AS (SELECT row, l_orderkey, l_linenumber, max(CASE WHEN west AND north THEN [x, y] END) AS p0, max(CASE WHEN NOT west AND north THEN [x, y] END) AS p1, max(CASE WHEN NOT west AND NOT north THEN [x, y] END) AS p2, max(CASE WHEN west AND NOT north THEN [x, y] END) AS p3 FROM named GROUP BY 1, 2, 3),
+cut AS (SELECT l_orderkey, l_linenumber, list_transform([p0, p1, p2, p3], lambda p: [greatest(0, least(399, p[1])), greatest(0, least(299, p[2]))]) AS q FROM four)"""
+
+
+@query("WITH " + _TURNED + """ SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, array_to_string(list_transform(q, lambda p: p[1] || ',' || p[2]), ';') AS corners,
+floor(sqrt((q[1][1] - q[2][1])::DOUBLE ** 2 + (q[1][2] - q[2][2])::DOUBLE ** 2)) > 3 AND floor(sqrt((q[1][1] - q[4][1])::DOUBLE ** 2 + (q[1][2] - q[4][2])::DOUBLE ** 2)) > 3 AS kept FROM cut""")
 def ordered_corners(spark, sf_dir):
-    b = F.col("box")
-    at = lambda k, j: F.array(b[k], b[j])
-    turned = F.when(F.col("l_linenumber") % 2 == 0, F.array(at(2, 3), at(0, 1), at(0, 3), at(2, 1))).otherwise(F.array(at(0, 3), at(2, 1), at(0, 1), at(2, 3)))
-    return _boxes(spark, sf_dir).select("l_orderkey", *_long("l_linenumber"), F.array_join(F.transform(g.order_points(turned), lambda p: F.array_join(p.cast("array<string>"), ",")), ";").alias("corners"))
+    """Corners of turned boxes, given in any of four orders, put in order, clipped to an image and judged by their sides."""
+    b, k = F.col("box"), F.col("l_orderkey")
+    turn = (k % 41 - 20).cast("int")
+    half, third = F.expr("(box[2] - box[0]) div 2").cast("int"), F.expr("(box[3] - box[1]) div (1 + int(l_orderkey % 9) * 3)").cast("int")
+    at = lambda dx, dy: F.array((b[0] + dx).cast("int"), (b[1] + dy).cast("int"))
+    corners = [at(turn - half, -third - turn), at(half + turn, turn - third), at(half - turn, third + turn), at(-half - turn, third - turn)]
+    mixed = [F.array(*[corners[j] for j in order]) for order in ((0, 1, 2, 3), (2, 0, 3, 1), (3, 2, 1, 0), (1, 3, 0, 2))]
+    given = F.coalesce(*[F.when(F.col("l_linenumber") % 4 == n, m) for n, m in enumerate(mixed)])
+    own = _boxes(spark, sf_dir).select("l_orderkey", *_long("l_linenumber"), g.clipped_points(g.order_points(given), F.lit(400), F.lit(300)).alias("q"))
+    return own.select("l_orderkey", "l_linenumber", F.array_join(F.transform("q", lambda p: F.array_join(p.cast("array<string>"), ",")), ";").alias("corners"), g.large_enough(F.col("q")).alias("kept"))
 
 
 @query("""SELECT doc_id, w::BIGINT AS width, h::BIGINT AS height FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 640 WHEN doc_id % 3 = 1 THEN 320 ELSE 1 END AS w, CASE WHEN doc_id % 3 = 0 THEN 480 WHEN doc_id % 3 = 1 THEN 200 ELSE 1 END AS h FROM documents)""")

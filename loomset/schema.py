@@ -20,3 +20,18 @@ DEFAULT_TARGET, TARGET_PRESETS = 60, (40, 50, 60, 70, 80)
 FINDING = "struct<code:string,source:string,value:double,threshold:double,detail:string>"
 #: Fields by which views filter.
 FIELDS = ("status", "person_scale", "angle_class", "pitch_class", "eligibility", "duplicate_group", "source", "face_quality", "brisque", "blur", "face_px")
+
+# What findings say, by code; %d is the number of faces.
+FINDING_TEXTS = {
+    "no_face_full_body_review": "未检测到人脸，但检测到全身；可能是有价值的背身/背面素材，需人工确认",
+    "secondary_faces_detected": "去重后仍检测到 %d 张独立人脸，需确认是否多人",
+    "low_resolution": "图片短边分辨率低于 512px",
+    "low_face_pixels": "主脸实际像素偏小",
+    "low_face_ratio": "主脸占画面比例偏低",
+    "severe_face_blur": "主脸明显模糊",
+    "low_face_quality": "eDifFIQA 人脸质量偏低",
+    "high_brisque": "BRISQUE 整图质量偏低",
+    "extreme_exposure": "图像疑似严重欠曝或过曝",
+    "no_face_not_full_body": "两个检测阈值均未找到人脸，且不是全身图",
+    "read_error": "无法读取图片：",
+}

@@ -7,7 +7,7 @@ import pytest
 
 from loomset.plans import catalogue
 
-TABLES = "documents labels pages embeddings events lineitem".split()
+TABLES = "documents labels pages embeddings events lineitem conversations".split()
 
 
 def same(a, b):
