@@ -30,3 +30,48 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Folder:
+    """A folder of any file system that Spark reads, for the driver: small files, listings and atomic renames."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm, self.path = spark._jvm, path.rstrip("/")
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path("").getFileSystem(self._conf)
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, sub: str = "") -> list[str]:
+        """Names in the folder, sorted; none where it isn't there."""
+        where = self._path(sub)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> None:
+        """A new file, which is there whole or not at all. FileExistsError where the name is taken."""
+        part = self._path(f"{name}.{uuid.uuid4().hex}.part")
+        stream = self._fs.create(part, False)
+        stream.write(text.encode())
+        stream.close()
+        options = self._jvm.org.apache.hadoop.fs.Options
+        kinds = self._jvm.java.lang.reflect.Array.newInstance(getattr(options, "Rename").NONE.getClass(), 1)
+        kinds[0] = getattr(options, "Rename").NONE
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self._conf).rename(part, self._path(name), kinds)
+        except Exception as e:
+            self._fs.delete(part, False)
+            if "FileAlreadyExists" in str(e):
+                raise FileExistsError(f"{self.path}/{name}") from e
+            raise
+
+    def delete(self, name: str) -> None:
+        """A file or a folder with all in it; nothing where it isn't there."""
+        self._fs.delete(self._path(name), True)
