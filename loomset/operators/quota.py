@@ -51,11 +51,12 @@ def plan(counts: dict[tuple[str, str], int], target: int) -> tuple[dict[tuple[st
     return first, {s: got[s] - sum(n for (scale, _), n in first.items() if scale == s) for s in scales}
 
 
-def choose(pool: DataFrame, target: int) -> DataFrame:
-    """The chosen rows of the pool."""
+def choose(pool: DataFrame, target: int, counts: dict[tuple[str, str], int] | None = None) -> DataFrame:
+    """The chosen rows of the pool. counts: rows of each (scale, yaw), where pool has only the best ones."""
     known = F.when(F.col("angle_class").isin(*YAWS), F.col("angle_class")).otherwise("")
     inside = pool.where(F.col("person_scale").isin(*SCALES)).withColumn("_yaw", known)
-    counts = {(r["person_scale"], r["_yaw"]): r["count"] for r in inside.groupBy("person_scale", "_yaw").count().collect()}  # 24 rows at most
+    if counts is None:
+        counts = {(r["person_scale"], r["_yaw"]): r["count"] for r in inside.groupBy("person_scale", "_yaw").count().collect()}  # 24 rows at most
     first, then = plan(counts, target)
     spark = pool.sparkSession
     by_yaw = spark.createDataFrame([(s, y, n) for (s, y), n in first.items()], "person_scale string, _yaw string, _k1 int")
