@@ -481,7 +481,7 @@ def move_counts(spark, sf_dir):
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from . import pixels, reviews  # noqa: F401  register their queries here
+    from . import kept, pixels, reviews  # noqa: F401  register their queries here
 
     return _found
 

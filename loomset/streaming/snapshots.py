@@ -115,12 +115,12 @@ class Snapshots:
 
 
 def newest_by_key(key: str, order: str) -> Merge:
-    """T-5: rows of the batch take the place of those with the same key, the last by `order` of several."""
+    """T-5: of rows with the same key the last by `order`, whichever batch it came in; of equal ones that of the batch."""
 
     def combine(old: DataFrame, batch: DataFrame) -> DataFrame:
         row = F.struct(*[F.col(f"`{c}`") for c in old.columns]).alias("row")
         both = old.select(F.lit(0).alias("late"), row).unionByName(batch.select(F.lit(1).alias("late"), row))
-        return both.groupBy(F.col(f"row.{key}").alias("k")).agg(F.max_by("row", F.struct("late", f"row.{order}")).alias("row")).select("row.*")
+        return both.groupBy(F.col(f"row.{key}").alias("k")).agg(F.max_by("row", F.struct(F.col(f"row.{order}").alias("order"), "late")).alias("row")).select("row.*")
 
     return combine
 
