@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import regions_of_maps, repair
+from ..functions import quality, regions_of_maps, repair
 from .catalogue import _REGIONS, _records, query
 
 #: A text as a probability map: 40 characters a line, four pixels a character, letters and digits inked on four rows of six.
@@ -69,3 +69,52 @@ def repaired_images(spark, sf_dir):
     own = images_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     fixed = own.select("conv_id", "turn", repair.repair(F.col("pixels"), F.col("polygons"), 1, 3, repair.TELEA).alias("t"), repair.repair(F.col("pixels"), F.col("polygons"), 1, 3, repair.ISOPHOTES).alias("n"))
     return fixed.select("conv_id", "turn", F.sha2("t.data", 256).alias("telea"), F.sha2("n.data", 256).alias("isophotes"))
+
+
+@query("""WITH p AS (SELECT vec_id, sqrt(x[1]**2 + x[2]**2 + x[3]**2) AS n, sqrt(x[5]**2 + x[6]**2 + x[7]**2) AS m, x FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)),
+u AS (SELECT vec_id, x[1] / n AS a, x[2] / n AS b, x[3] / n AS c, x[5] / m AS d, x[6] / m AS e, x[7] / m AS f FROM p),
+z AS (SELECT vec_id, a, d, b * f - c * e AS p, c * d - a * f AS q, a * e - b * d AS r FROM u),
+y AS (SELECT *, degrees(asin(greatest(-1, least(1, p)))) AS yaw FROM z), k AS (SELECT *, greatest(1e-6, cos(radians(yaw))) AS c FROM y)
+SELECT vec_id, round(yaw, 6) AS yaw, round(degrees(atan2(q / c, r / c)), 6) AS pitch, round(degrees(atan2(d / c, a / c)), 6) AS roll FROM k""")
+def head_angles(spark, sf_dir):
+    """Angles of a head from the first parameters of a face model; here those of the vectors."""
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", quality.head_angles(F.col("embedding")).alias("a"))
+    return own.select("vec_id", *[F.round(f"a.{c}", 6).alias(c) for c in ("yaw", "pitch", "roll")])
+
+
+@query("""WITH m AS (SELECT event_id, (event_id * 7 % 50)::INT AS x0, (event_id * 13 % 30)::INT AS y0, (event_id % 11 + 3)::INT AS w, (event_id % 9 + 1)::INT AS h FROM events),
+b AS (SELECT event_id, x0, y0, least(64, x0 + w) AS x1, least(40, y0 + h) AS y1 FROM m),
+c AS (SELECT *, greatest(0, x0 - 20) AS l, greatest(0, y0 - 20) AS t, least(64, x1 + 20) AS r, least(40, y1 + 20) AS u FROM b)
+SELECT event_id, x0 || ',' || y0 || ',' || x1 || ',' || y1 AS subject, CASE WHEN good THEN l || ',' || t || ',' || r || ',' || u END AS box, CASE WHEN good THEN round(removed, 9) END AS removed, CASE WHEN good AND edge THEN 'subject_mask_touches_source_edge' WHEN good THEN '' END AS warnings
+FROM (SELECT *, 1.0 - ((r - l) * (u - t))::DOUBLE / 2560 AS removed, removed >= 0.05 AS good, x0 <= 0 OR y0 <= 0 OR x1 >= 64 OR y1 >= 40 AS edge FROM c)""")
+def mask_boxes(spark, sf_dir):
+    """Crops proposed from square masks of images of 64 by 40: what lies outside the image in the square, above and below, doesn't count."""
+    i = F.col("event_id")
+    own = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (i * 7 % 50).cast("int").alias("x0"), (i * 13 % 30).cast("int").alias("y0"), (i % 11 + 3).cast("int").alias("w"), (i % 9 + 1).cast("int").alias("h"))
+    own = own.withColumns({"x1": F.least(F.lit(64), F.col("x0") + F.col("w")), "y1": F.least(F.lit(40), F.col("y0") + F.col("h"))})
+    dark, light = F.lit("\x10"), F.lit("æ")  # 16 of 255 is below the least, 230 above
+    row = F.concat(F.repeat(dark, F.col("x0")), F.repeat(light, F.col("x1") - F.col("x0")), F.repeat(dark, 64 - F.col("x1")))
+    empty, full = F.repeat(dark, F.lit(64)), F.repeat(light, F.lit(64))
+    square = F.concat(F.repeat(full, F.lit(12)), F.repeat(empty, F.col("y0")), F.repeat(row, F.col("y1") - F.col("y0")), F.repeat(empty, 40 - F.col("y1")), F.repeat(full, F.lit(12)))
+    found = own.select("event_id", quality.mask_box(F.lit(64), F.encode(square, "ISO-8859-1"), F.lit(64), F.lit(40)).alias("b"))
+    found = found.withColumn("p", quality.proposed_crop(F.col("b"), F.lit(64), F.lit(40), padding=20))
+    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return found.select("event_id", joined(F.col("b")).alias("subject"), joined(F.col("p.box")).alias("box"), F.round("p.removed_area_ratio", 9).alias("removed"), F.array_join("p.warnings", ",").alias("warnings"))
+
+
+@query()
+def scene_features(spark, sf_dir):
+    """The 36 features of the image of each text."""
+    own = images_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    f = own.select("conv_id", "turn", quality.natural_scene_features(F.col("pixels")).alias("f"))
+    return f.select("conv_id", "turn", F.array_join(F.transform("f", lambda v: F.round(v, 6).cast("string")), ",").alias("features"))
+
+
+@query()
+def upright_faces(spark, sf_dir):
+    """Images turned upright by five points, which turn with the row; digests of the pixels."""
+    own = images_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    angle, size = F.col("conv_id") % 360, (F.col("turn") % 5 + 3) / 10.0
+    at = lambda x, y: F.array(12 + size * (F.cos(F.radians(angle)) * (x - 56) - F.sin(F.radians(angle)) * (y - 72)), 12 + size * (F.sin(F.radians(angle)) * (x - 56) + F.cos(F.radians(angle)) * (y - 72)))
+    points = F.array(*[at(F.lit(x), F.lit(y)) for x, y in quality.UPRIGHT])
+    return own.select("conv_id", "turn", quality.upright(F.col("pixels"), points).alias("u")).select("conv_id", "turn", "u.width", "u.height", F.sha2("u.data", 256).alias("digest"))
