@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp
+from ..functions.quality import LEAST_ALPHA, PADDING
 from ..schema import COMPOSITE_VERSION, CROP_READABLE, CROP_VERSION, PICKED, REJECTED
 
 DONE_WITHOUT = ("no_candidate", "keep_original", "scanned")
@@ -95,16 +96,79 @@ def materialised(rows: DataFrame) -> DataFrame:
     return out.select("path", F.concat("stem", "kind", F.lpad((F.col("k") + 1).cast("string"), 2, "0")).alias("name"), F.col("x.boxes").alias("box"), F.when(F.col("x.keep"), PICKED).otherwise(REJECTED).alias("status"))
 
 
-def reset_baseline(p: Column) -> Column:
-    """M9."""
-    return p.withField("output_boxes", p["baseline_boxes"]).withField("decision", F.lit("pending"))
+# -- M9: edits of a composite proposal p, with the array `keep` of what becomes of each box
 
 
-def delete_box(p: Column, k: int) -> Column:
-    drop = lambda name: F.filter(p[name], lambda b, i: i != k)
-    return p.withField("output_boxes", drop("output_boxes")).withField("baseline_boxes", drop("baseline_boxes"))
+def baselines(p: Column) -> Column:
+    """Baselines that don't match the boxes in number are the boxes."""
+    return F.when(F.size(p["baseline_boxes"]) == F.size(p["output_boxes"]), p["baseline_boxes"]).otherwise(p["output_boxes"])
 
 
-def create_box(p: Column, box: Column) -> Column:
-    add = lambda name: F.array_append(p[name], box)
-    return p.withField("output_boxes", add("output_boxes")).withField("baseline_boxes", add("baseline_boxes")).withField("decision", F.lit("pending"))
+def _without(values: Column, k: int) -> Column:
+    return F.filter(values, lambda v, i: i != k)
+
+
+def create_box(p: Column, keep: Column, box: Column) -> tuple[Column, Column]:
+    """A box that is drawn is its own baseline, and kept; the decision stays."""
+    made = p.withField("output_boxes", F.array_append(p["output_boxes"], box)).withField("baseline_boxes", F.array_append(baselines(p), box))
+    return made, F.array_append(keep, F.lit(True))
+
+
+def reset_box(p: Column, k: int) -> Column:
+    """Box k, if there is one, back to its baseline."""
+    base = baselines(p)
+    return p.withField("output_boxes", F.transform(p["output_boxes"], lambda b, i: F.when(i == k, base[k]).otherwise(b))).withField("baseline_boxes", base)
+
+
+def delete_box(p: Column, keep: Column, k: int) -> tuple[Column, Column]:
+    """Box k, if there is one, goes, with its baseline and what was to become of it."""
+    return p.withField("output_boxes", _without(p["output_boxes"], k)).withField("baseline_boxes", _without(baselines(p), k)), _without(keep, k)
+
+
+def redetected(p: Column, found: Column, version: int = COMPOSITE_VERSION) -> tuple[Column, Column, Column]:
+    """(proposal, keep, scan version) after another detection: what it found, or an empty split, pending and marked as asked for by hand; all is kept."""
+    none = F.array().cast("array<array<int>>")
+    boxes = F.coalesce(found["output_boxes"], none)
+    made = F.coalesce(found, p.withField("mode", F.lit("split_people")).withField("detail", F.lit("")))
+    made = made.withField("output_boxes", boxes).withField("baseline_boxes", boxes).withField("manual_triggered", F.lit(True)).withField("decision", F.lit("pending"))
+    return made, F.transform(boxes, lambda b: F.lit(True)), F.lit(version)
+
+
+def decide_composite(p: Column, decision: str) -> Column:
+    """rejected or pending are set; a proposal without boxes can't be accepted (M10 does what accepting does)."""
+    return p.withField("decision", F.when(F.lit(decision == "accepted") & (F.size(p["output_boxes"]) == 0), p["decision"]).otherwise(F.lit(decision)))
+
+
+def parse_box(values: Column) -> Column:
+    """F16: four whole numbers from an array of texts or numbers, rounded half to even, of a box with an area; else null."""
+    numbers = F.transform(values, lambda v: F.bround(v.try_cast("double"), 0).cast("int"))
+    sound = (F.size(values) == 4) & F.forall(numbers, lambda v: v.isNotNull()) & (numbers[2] > numbers[0]) & (numbers[3] > numbers[1])
+    return F.when(sound, numbers)
+
+
+#: The fields of a stored crop proposal, and what those that are missing are.
+CROP_FIELDS = "version int, auto_box array<string>, box array<string>, decision string, auto_removed_area_ratio double, removed_area_ratio double, alpha_min double, padding_px int, mask_touches_edge boolean, warnings array<string>, manually_adjusted boolean, image_size array<int>"
+
+
+def decode_crop_text(text: Column) -> Column:
+    """A crop proposal from its JSON, with all that is stored of it. The first version has one box, which is the automatic
+    one too, and no size; the second its own. Null where the version or the decision is unknown or the box is none."""
+    p = F.from_json(text, CROP_FIELDS)
+    first = p["version"] == 1
+    box = parse_box(p["box"])
+    auto = F.when(first, box).otherwise(F.coalesce(parse_box(p["auto_box"]), box))
+    decision = F.coalesce(p["decision"], F.lit("pending"))
+    removed = F.coalesce(p["removed_area_ratio"], F.lit(0.0))
+    own = F.when(first | (F.coalesce(p["auto_removed_area_ratio"], F.lit(0.0)) == 0), removed).otherwise(p["auto_removed_area_ratio"])
+    size = F.when(~first & (F.size(p["image_size"]) == 2), p["image_size"]).otherwise(F.array().cast("array<int>"))
+    made = F.struct(
+        F.lit(CROP_VERSION).alias("version"), auto.alias("auto_box"), box.alias("box"), decision.alias("decision"), own.alias("auto_removed_area_ratio"), removed.alias("removed_area_ratio"), F.coalesce(p["alpha_min"], F.lit(LEAST_ALPHA)).alias("alpha_min"),
+        F.coalesce(p["padding_px"], F.lit(PADDING)).alias("padding_px"), F.coalesce(p["mask_touches_edge"], F.lit(False)).alias("mask_touches_edge"), F.coalesce(p["warnings"], F.array().cast("array<string>")).alias("warnings"), (~first & (auto != box)).alias("manually_adjusted"), size.alias("image_size"),
+    )
+    return F.when(p["version"].isin(*CROP_READABLE) & decision.isin("pending", "accepted", "keep_original") & box.isNotNull() & auto.isNotNull(), made)
+
+
+def exported_bundles(ids: Column, new: Column, most: int = 100) -> Column:
+    """The ids of bundles with a new one, the last of them."""
+    every = F.array_append(ids, new)
+    return F.slice(every, F.greatest(F.lit(1), F.size(every) - most + 1), F.lit(most))

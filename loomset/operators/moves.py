@@ -1,10 +1,8 @@
-"""Move and export plans in Spark; the moves themselves, with a journal, on the driver."""
+"""Move plans and their conflicts; operators.outputs carries them out."""
 
 from __future__ import annotations
 
-import json
 import os
-import shutil
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -80,79 +78,3 @@ def write_atomically(path: Path, text: str) -> None:
     part = path.with_name(path.name + ".tmp")
     part.write_text(text, encoding="utf-8")
     os.replace(part, path)
-
-
-class Mover:
-    """Moves all files of a plan or none. A journal is written before each step; recover() undoes what a crash
-    has left half done."""
-
-    def __init__(self, root: str | Path):
-        self.root = Path(root)
-        self.stage, self.journal = self.root / ".moving", self.root / ".moving.json"
-
-    def _note(self, moves: list[dict]) -> None:
-        write_atomically(self.journal, json.dumps(moves, ensure_ascii=False))
-
-    def execute(self, moves: list[tuple[str, str]]) -> int:
-        steps = [{"source": s, "staged": str(self.stage / str(k)), "destination": d, "state": "source"} for k, (s, d) in enumerate(moves)]
-        self.stage.mkdir(exist_ok=True)
-        self._note(steps)
-        try:
-            for come, go, state in (("source", "staged", "staged"), ("staged", "destination", "completed")):
-                for m in steps:
-                    Path(m[go]).parent.mkdir(parents=True, exist_ok=True)
-                    if Path(m[go]).exists():
-                        raise FileExistsError(m[go])
-                    os.rename(m[come], m[go])
-                    m["state"] = state
-                    self._note(steps)
-        except OSError:
-            self.recover()
-            raise
-        self._clear()
-        return len(steps)
-
-    def recover(self) -> int:
-        """Files of an unfinished plan go back, by way of the staging folder so that swaps meet no one; their number."""
-        if not self.journal.exists():
-            return 0
-        steps = json.loads(self.journal.read_text(encoding="utf-8"))
-        back = 0
-        for m in steps:  # a step may have been taken after its last note
-            if not Path(m["staged"]).exists() and m["state"] != "source" and Path(m["destination"]).exists():
-                Path(m["staged"]).parent.mkdir(exist_ok=True)
-                os.rename(m["destination"], m["staged"])
-        for m in steps:
-            if Path(m["staged"]).exists() and not Path(m["source"]).exists():
-                Path(m["source"]).parent.mkdir(parents=True, exist_ok=True)
-                os.rename(m["staged"], m["source"])
-                back += 1
-        self._clear()
-        return back
-
-    def _clear(self) -> None:
-        self.journal.unlink(missing_ok=True)
-        shutil.rmtree(self.stage, ignore_errors=True)
-
-
-def export(rows: Iterable[tuple[str, list[int] | None]], folder: str | Path, crop=None) -> int:
-    """Copies (or crops, by crop(source, box, target)) into a staging folder, then renames all; the number written."""
-    folder = Path(folder)
-    stage = folder.with_name(folder.name + ".staging")
-    shutil.rmtree(stage, ignore_errors=True)
-    stage.mkdir(parents=True)
-    rows = list(rows)
-    try:
-        taken = [p.name for p in folder.iterdir()] if folder.exists() else []
-        names = unique_names([Path(p).name for p, _ in rows], taken)
-        for (path, box), name in zip(rows, names):
-            if box is not None and crop is not None:
-                crop(path, box, stage / name)
-            else:
-                shutil.copy2(path, stage / name)
-        folder.mkdir(parents=True, exist_ok=True)
-        for name in names:
-            os.replace(stage / name, folder / name)
-        return len(names)
-    finally:
-        shutil.rmtree(stage, ignore_errors=True)

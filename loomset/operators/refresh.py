@@ -139,10 +139,3 @@ def decide_suggestion(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     suggestion = F.when(F.coalesce(F.col("_do") == "clear", F.lit(False)), F.lit(None)).otherwise(F.coalesce(mark, said))
     manual = F.when(accept, F.coalesce(status, F.col("manual_status"))).otherwise(F.col("manual_status"))
     return joined.withColumns({"manual_status": manual, "ai_suggestion": suggestion}).select(*rows.columns)
-
-
-def accept(rows: DataFrame, accepted: DataFrame) -> DataFrame:
-    """M7: a suggested status becomes the manual one, else REJECT rejects and REVIEW keeps back; PASS alone changes nothing."""
-    status = F.coalesce(blank_to_null(F.col("suggested_status")), F.when(F.col("suggested_eligibility") == "REJECT", REJECTED).when(F.col("suggested_eligibility") == "REVIEW", BACKUP))
-    own = accepted.select("sample_id", status.alias("_status"))
-    return rows.join(own, "sample_id", "left").withColumn("manual_status", F.coalesce("_status", "manual_status")).drop("_status")

@@ -13,7 +13,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import path_key
 from ..schema import ANALYSIS_VERSION, CACHE_VERSION, COMPOSITE_VERSION, DEFAULT_TARGET, FINDING, PICKED, TARGET_PRESETS
+from ..storage import Folder
 from .moves import unique_names
 
 DETECTION = "struct<bbox:array<int>,confidence:double,kind:string>"
@@ -41,17 +43,31 @@ def decode_finding(text: Column) -> Column:
     return F.when(text.startswith("{"), F.from_json(text, FINDING)).otherwise(legacy)
 
 
+def _whole(value: Column) -> Column:
+    """A whole number from the text of a JSON value: numbers are cut, texts must be whole numbers; true is 1."""
+    return F.when(value == "true", 1).when(value == "false", 0).otherwise(value.try_cast("double").cast("int"))
+
+
+def _sound_texts(text: Column, path: str) -> Column:
+    """Whether all texts in a part of a JSON value are whole numbers, as numbers have to be that are written as texts."""
+    said = F.regexp_extract_all(F.coalesce(F.get_json_object(text, path), F.lit("")), F.lit('"([^"]*)"'), 1)
+    return F.forall(said, lambda v: v.rlike(r"^\s*[+-]?\d+\s*$"))
+
+
 def decode_proposal(text: Column) -> Column:
-    """A stored composite proposal; null where it is no object or a box isn't whole numbers. Baselines that don't
-    match the boxes in number are the boxes."""
-    p = F.from_json(text, PROPOSAL.replace("array<int>", "array<double>"))  # numbers of any kind become whole ones
-    said = F.get_json_object(text, "$.output_boxes")
-    boxes = F.coalesce(p["output_boxes"].cast("array<array<int>>"), F.array().cast("array<array<int>>"))
-    sound = (said.isNull() | p["output_boxes"].isNotNull()) & F.forall(boxes, lambda b: b.isNotNull() & F.forall(b, lambda v: v.isNotNull()))
-    base = F.when(F.size(p["baseline_boxes"]) == F.size(boxes), p["baseline_boxes"].cast("array<array<int>>")).otherwise(boxes)
-    seen = lambda name, kind: F.coalesce(F.transform(p[name], lambda d: F.struct(F.coalesce(d["bbox"].cast("array<int>"), F.array().cast("array<int>")).alias("bbox"), F.coalesce(d["confidence"], F.lit(0.0)).alias("confidence"), F.coalesce(d["kind"], F.lit(kind)).alias("kind"))), F.array().cast(f"array<{DETECTION}>"))
+    """A stored composite proposal; null where it is no object or a box isn't whole numbers, which may be written as
+    texts. Baselines that don't match the boxes in number are the boxes."""
+    text = F.ltrim(F.regexp_replace(text, r"^\s+", ""))
+    p = F.from_json(text, PROPOSAL.replace("array<int>", "array<string>").replace("version:int", "version:string").replace("confidence:double", "confidence:string"))
+    whole = lambda boxes: F.transform(boxes, lambda b: F.transform(b, _whole))
+    none = F.array().cast("array<array<int>>")
+    boxes, base = F.coalesce(whole(p["output_boxes"]), none), F.coalesce(whole(p["baseline_boxes"]), none)
+    there = lambda name: F.get_json_object(text, f"$.{name}").isNull() | p[name].isNotNull()
+    numbers = lambda bs: F.forall(bs, lambda b: b.isNotNull() & F.forall(b, lambda v: v.isNotNull()))
+    sound = numbers(boxes) & numbers(base) & there("output_boxes") & there("baseline_boxes") & _sound_texts(text, "$.output_boxes") & _sound_texts(text, "$.baseline_boxes")
+    seen = lambda name, kind: F.coalesce(F.transform(p[name], lambda d: F.struct(F.coalesce(F.transform(d["bbox"], _whole), F.array().cast("array<int>")).alias("bbox"), F.coalesce(d["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce(d["kind"], F.lit(kind)).alias("kind"))), F.array().cast(f"array<{DETECTION}>"))
     made = F.struct(
-        F.coalesce(p["version"], F.lit(COMPOSITE_VERSION)).alias("version"), F.coalesce(p["mode"], F.lit("")).alias("mode"), boxes.alias("output_boxes"), base.alias("baseline_boxes"), F.coalesce(p["manual_triggered"], F.lit(False)).alias("manual_triggered"),
+        F.coalesce(_whole(p["version"]), F.lit(COMPOSITE_VERSION)).alias("version"), F.coalesce(p["mode"], F.lit("")).alias("mode"), boxes.alias("output_boxes"), F.when(F.size(base) == F.size(boxes), base).otherwise(boxes).alias("baseline_boxes"), F.coalesce(p["manual_triggered"], F.lit(False)).alias("manual_triggered"),
         seen("person_detections", "person").alias("person_detections"), seen("head_detections", "head").alias("head_detections"), F.coalesce(p["decision"], F.lit("pending")).alias("decision"), F.coalesce(p["detail"], F.lit("")).alias("detail"),
     )
     return F.when(text.startswith("{") & p.isNotNull() & sound, made)
@@ -85,16 +101,25 @@ def by_hash(snapshot: DataFrame) -> DataFrame:
 # -- text states
 
 
-def text_states(states: DataFrame, folder: str) -> DataFrame:
-    """Records (path_key, ...) of a stored text state (folder, records), if it is of this folder; else none."""
-    own = states.where(F.lower("folder") == folder.casefold())
-    return own.select(F.explode("records").alias("r")).select(F.lower("r.path").alias("path_key"), "r.*").drop("path")
+def text_states(spark: SparkSession, path: str, folder: str, schema: str) -> DataFrame:
+    """The records (path, ...) of a stored text state, with path_key, if it is of this folder; else none."""
+    try:
+        head = spark.read.schema("folder string").json(f"{path}/head").first()
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        head = None
+    rows = spark.read.schema(schema).parquet(f"{path}/records") if head and head["folder"] == folder.casefold() else spark.createDataFrame([], schema)
+    return rows.withColumn("path_key", path_key(F.col("path")))
 
 
 def save_text_state(records: DataFrame, folder: str, path: str, **parameters) -> None:
-    """One row with the folder, the parameters and all records, over what was there."""
-    own = records.agg(F.collect_list(F.struct(*records.columns)).alias("records"))
-    own.select(F.lit(2).alias("version"), F.lit(folder.casefold()).alias("folder"), *[F.lit(v).alias(k) for k, v in parameters.items()], "records").coalesce(1).write.mode("overwrite").json(path)
+    """The records, a row each, and the folder and parameters that they are of, over what was there. The head goes first,
+    and comes when the records are there: until then there is no state."""
+    spark = records.sparkSession
+    Folder(spark, path).delete("head")
+    records.write.mode("overwrite").parquet(f"{path}/records")
+    spark.createDataFrame([(2, folder.casefold())], "version int, folder string").select("*", *[F.lit(v).alias(k) for k, v in parameters.items()]).coalesce(1).write.json(f"{path}/head")
 
 
 def filled_size(width: Column, height: Column, decoded: Column) -> Column:

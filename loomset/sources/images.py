@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import base_status, eligibility, hard_rejects, path_key, pitch_class, review_flags, suffix, yaw_class
 from ..operators.moves import under_excluded
-from ..schema import ANALYSIS_VERSION, CACHE_VERSION, FINDING, IMAGE_SUFFIXES, READABLE_VERSIONS
+from ..schema import ANALYSIS_VERSION, CACHE_VERSION, IMAGE_SUFFIXES, READABLE_VERSIONS
+from ..streaming.snapshots import Snapshots
 
 
 def exclusion_set(features: Iterable[Iterable[str]]) -> list[str]:
@@ -22,13 +23,14 @@ def exclusion_set(features: Iterable[Iterable[str]]) -> list[str]:
 
 
 def scan(spark: SparkSession, root: str, excluded: Iterable[str] = ()) -> DataFrame:
-    """S1, S4 (nothing excluded): images below a folder. File contents are not read."""
+    """S1, S4 (nothing excluded), O9: images below a folder, with their place in the order of paths, which case doesn't change.
+    File contents are not read; rows are ordered by ranges of paths, not in one task."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     files = files.withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
     base = root.removeprefix("file://").rstrip("/")
     relative = F.substring(F.col("path"), len(base) + 2, 1 << 30)
     own = files.where(suffix(F.col("path")).isin(*IMAGE_SUFFIXES) & ~under_excluded(relative, excluded))
-    return own.select("path", path_key(F.col("path")).alias("path_key"), F.col("length").alias("file_size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
+    return own.select("path", path_key(F.col("path")).alias("path_key"), F.col("length").alias("file_size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")).orderBy("path_key", "path")
 
 
 def hashed(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
@@ -37,37 +39,22 @@ def hashed(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     return files.join(data, "path").withColumn("content_sha256", F.sha2("content", 256)).drop("content")
 
 
-def load_snapshot(spark: SparkSession, path: str, schema: str, current_only: bool = True) -> DataFrame:
-    """A stored snapshot; none, or one of an unreadable version, is empty."""
+def load_snapshot(table: Snapshots, current_only: bool = True) -> DataFrame:
+    """The rows of the current version that are of a readable format. What isn't there or can't be read is empty."""
+    rows = table.read()
     try:
-        rows = spark.read.schema(schema).parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+        rows.count()  # reads the ends of the files alone
+    except Exception:  # noqa: BLE001  whatever is wrong with them
+        return table.spark.createDataFrame([], table.schema)
     rows = rows.where(F.col("version").isin(*READABLE_VERSIONS))
     return rows.where((F.col("version") == CACHE_VERSION) & (F.col("analysis_version") == ANALYSIS_VERSION)) if current_only else rows
 
 
-def save_snapshot(rows: DataFrame, folder: str, name: str) -> str:
-    """K1: a snapshot in a folder of its own; it counts once the pointer beside it names it."""
-    path = f"{folder}/{name}"
-    rows.write.mode("errorifexists").parquet(path)
-    rows.sparkSession.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").json(f"{folder}/_current")
-    return path
-
-
 def legacy_manual(snapshot: DataFrame) -> DataFrame:
     """S10."""
     return snapshot.where("version in (1, 2) and coalesce(manual_status, '') <> ''").select("path_key", "manual_status")
 
 
-def decode_findings(texts: DataFrame, column: str) -> DataFrame:
-    """JSON findings, or plain strings of the first format."""
-    one = lambda x: F.when(x.startswith("{"), F.from_json(x, FINDING)).otherwise(F.struct(x.alias("code"), F.lit("legacy").alias("source"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("threshold"), x.alias("detail")))
-    return texts.withColumn(column, F.transform(column, one))
-
-
 SAMPLES = """
 d.doc_id AS ord, {sha}(d.text{bits}) AS content_sha256, d.source AS source, d.lang AS lang,
 CAST(256 + d.n_chars % 1500 AS INT) AS width, CAST(256 + (d.n_chars*7) % 1500 AS INT) AS height,

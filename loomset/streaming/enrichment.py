@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.expressions import path_key
 from ..schema import IMAGE_SUFFIXES, PICKED
 
 
@@ -51,9 +52,19 @@ def staged(plan: DataFrame, composite: Callable[[DataFrame], DataFrame], crop: C
 
 
 def current_results(results: DataFrame, rows: DataFrame, epoch: int) -> DataFrame:
-    """T-4, J11: results of this epoch whose row is still there and still recommended."""
-    live = rows.where(F.col("status") == PICKED).select("sample_id")
-    return results.where(F.col("epoch") == epoch).join(live, "sample_id", "left_semi")
+    """T-4, J11: results of this epoch whose row is still there and still recommended, with the id of that row.
+
+    A row is found by its id; where no row has it, by the key of the path, if the results have a path. Of several rows
+    at a path it is the first by id."""
+    own = results.where(F.col("epoch") == epoch)
+    live = rows.select("sample_id", (F.col("status") == PICKED).alias("_live"))
+    found = own.join(live, "sample_id", "left")
+    if "path" not in results.columns:
+        return found.where("_live").drop("_live")
+    by_path = rows.groupBy(path_key(F.col("path")).alias("_key")).agg(F.min_by(F.struct("sample_id", (F.col("status") == PICKED).alias("live")), "sample_id").alias("_row"))
+    lost = found.where("_live is null").withColumn("_key", path_key(F.col("path"))).join(by_path, "_key").where("_row.live")
+    lost = lost.withColumn("sample_id", F.col("_row.sample_id")).select(*results.columns)
+    return found.where("_live").select(*results.columns).unionByName(lost)
 
 
 def scan_batch(todo: DataFrame, found: DataFrame, manual: bool = False) -> DataFrame:
