@@ -62,12 +62,49 @@ def dedupe_faces(faces: Column) -> Column:
 
 
 def faces_in_roi(faces: Column, roi: Column) -> Column:
-    """the centre inside, or 0.35 of the face; without a region all."""
-    region = to_corners(roi)
-    inside = lambda f: contains_centre(region, to_corners(f)) | (intersection(region, to_corners(f)) / F.greatest(F.lit(1e-9), f[2] * f[3]) >= 0.35)
+    """the centre inside the region [x0, y0, x1, y1], or 0.35 of the face, which counts as 1 at least; without a region all."""
+    inside = lambda f: contains_centre(roi, to_corners(f)) | (intersection(roi, to_corners(f)).cast("double") / F.greatest(F.lit(1.0), f[2] * f[3]) >= 0.35)
     return F.when(roi.isNull(), faces).otherwise(F.filter(faces, inside))
 
 
+def consolidated(faces: Column, roi: Column) -> Column:
+    """faces [x, y, w, h, ..., confidence] in the region, each once; with a region only the one whose area times confidence is the
+    largest, the first of equals."""
+    worth = lambda f: F.greatest(F.lit(1.0), f[2] * f[3]) * F.greatest(F.lit(0.01), F.when(F.size(f) > 14, F.element_at(f, -1)).otherwise(1.0))
+    best = lambda fs: F.array_max(F.transform(fs, lambda f, k: F.struct(worth(f).alias("s"), (-k).alias("k"))))["k"]
+    return let(dedupe_faces(faces_in_roi(faces, roi)), lambda fs: F.when(roi.isNotNull() & (F.size(fs) > 1), F.array(F.get(fs, -best(fs)))).otherwise(fs))
+
+
+# Landmarks of the head and of the shoulders, and how well they must be seen; the least sides of a head's region,
+# and its sides by the spread of the head's landmarks and by the shoulders; what lies before its middle.
+HEAD_MARKS, SHOULDERS, HEAD_SEEN, SHOULDER_SEEN = 11, (11, 12), 0.25, 0.2
+HEAD_LEAST, HEAD_SPREAD, HEAD_SHOULDERS, HEAD_BEFORE = (70.0, 90.0), (2.4, 3.2), (0.9, 1.05), (0.5, 0.55)
+
+
+def head_roi(marks: Column, width: Column, height: Column) -> Column:
+    """the region [x0, y0, x1, y1] of a head from landmarks (x, y, visibility), which are shares of the image; null with less
+    than two of the head in sight. Marks whose visibility isn't known are seen."""
+    seen = lambda p, least: p["x"].between(0, 1) & p["y"].between(0, 1) & (F.coalesce(p["visibility"], F.lit(1.0)) >= least)
+    sides = (width.cast("double"), height.cast("double"))
+    left, right = (F.get(marks, k) for k in SHOULDERS)
+    both = F.coalesce(seen(left, SHOULDER_SEEN) & seen(right, SHOULDER_SEEN), F.lit(False))
+    across = F.when(both, F.hypot((left["x"] - right["x"]) * sides[0], (left["y"] - right["y"]) * sides[1])).otherwise(0.0)
+
+    def region(head: Column) -> Column:
+        def along(name: str, k: int) -> Column:
+            return F.transform(head, lambda p: p[name] * sides[k])
+
+        ends = []
+        for k, name in enumerate(("x", "y")):
+            at = along(name, k)
+            mean = F.aggregate(at, F.lit(0.0), lambda s, v: s + v) / F.size(head)
+            side = F.greatest(F.lit(HEAD_LEAST[k]), (F.array_max(at) - F.array_min(at)) * HEAD_SPREAD[k], across * HEAD_SHOULDERS[k])
+            ends.append((F.greatest(F.lit(0.0), mean - side * HEAD_BEFORE[k]), F.least(sides[k], mean + side * (1 - HEAD_BEFORE[k]))))
+        return F.when(F.size(head) >= 2, F.array(ends[0][0], ends[1][0], ends[0][1], ends[1][1]))
+
+    return let(F.filter(F.slice(marks, 1, HEAD_MARKS), lambda p: seen(p, HEAD_SEEN)), region)
+
+
 def primary_face(faces: Column) -> Column:
     """index of the face (area, confidence) with the largest area times confidence, the first of equals."""
     scored = F.transform(faces, lambda f, k: F.struct((f["area"] * F.greatest(F.lit(0.01), f["confidence"])).alias("s"), (-k).alias("k")))

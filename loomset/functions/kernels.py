@@ -71,22 +71,6 @@ def sharpness(plane: np.ndarray) -> float:
     return float((wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * wide[1:-1, 1:-1]).var())
 
 
-def head_roi(points: list[tuple[float, float, float]], width: int, height: int) -> tuple[float, float, float, float] | None:
-    """the region (x0, y0, x1, y1) of a head from pose landmarks (x, y, visibility), which are shares of the image."""
-    seen = lambda p, least: 0 <= p[0] <= 1 and 0 <= p[1] <= 1 and p[2] >= least
-    head = [(p[0] * width, p[1] * height) for p in points[:11] if seen(p, 0.25)]
-    if len(head) < 2:
-        return None
-    xs, ys = zip(*head)
-    shoulders = 0.0
-    if len(points) > 12 and seen(points[11], 0.2) and seen(points[12], 0.2):
-        shoulders = math.hypot((points[11][0] - points[12][0]) * width, (points[11][1] - points[12][1]) * height)
-    across = max(70.0, 2.4 * (max(xs) - min(xs)), 0.9 * shoulders)
-    down = max(90.0, 3.2 * (max(ys) - min(ys)), 1.05 * shoulders)
-    x, y = sum(xs) / len(xs), sum(ys) / len(ys)
-    return max(0.0, x - across * 0.5), max(0.0, y - down * 0.55), min(float(width), x + across * 0.5), min(float(height), y + down * 0.45)
-
-
 def rescaled(x: float, y: float, old: tuple[int, int], new: tuple[int, int]) -> tuple[int, int]:
     """a point of the image at size `new` in the image of size `old`, inside it, rounded half to even."""
     return tuple(int(np.round(np.clip(v / n * o, 0, o))) for v, o, n in zip((x, y), old, new))
@@ -142,13 +126,3 @@ def metrics(pixels: Column) -> Column:
         return pd.DataFrame(out, columns=columns).astype({"phash": object}) if any(r[0] is None for r in out) else pd.DataFrame(out, columns=columns)
 
     return run(pixels)
-
-
-def roi_column(points: Column, width: Column, height: Column) -> Column:
-    """F4 over an array of (x, y, visibility): the region, null without one."""
-
-    @F.pandas_udf("array<double>")
-    def run(marks: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else head_roi([(q["x"], q["y"], q["visibility"]) for q in p], a, b) for p, a, b in zip(marks, w, h)], dtype=object)
-
-    return run(points, width, height)

@@ -192,15 +192,15 @@ class Cancel:
         self.spark, self.tag, self.done = spark, tag, threading.Event()
 
     def __enter__(self) -> Cancel:
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.removeTag(self.tag)
+        self.spark.sparkContext.removeJobTag(self.tag)
 
     def cancel(self) -> None:
         self.done.set()
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def check(self) -> None:
         if self.done.is_set():

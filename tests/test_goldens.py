@@ -189,10 +189,21 @@ def test_pixel_kernels():
     assert (kernels.resized(flat, 5, 7) == 10).all() and kernels.resized(flat, 5, 7).shape == (7, 5)
 
 
-def test_head_region():
+def test_head_region(spark):
     points = [(0.5, 0.2, 1.0), (0.6, 0.2, 1.0)] + [(2.0, 0.0, 1.0)] * 9 + [(0.4, 0.5, 0.3), (0.7, 0.5, 0.3)]
-    assert kernels.head_roi(points, 1000, 1000) == pytest.approx((550 - 135, 200 - 0.55 * 315, 550 + 135, 200 + 0.45 * 315))
-    assert kernels.head_roi(points[:1], 1000, 1000) is None
+    rows = spark.createDataFrame([(1, points), (2, points[:1]), (3, None), (4, [(x, y, None) for x, y, _ in points])], "k int, p array<struct<x:double,y:double,visibility:double>>")
+    got = {r["k"]: r["r"] for r in rows.select("k", g.head_roi(F.col("p"), F.lit(1000), F.lit(1000)).alias("r")).collect()}
+    assert got[1] == pytest.approx([550 - 135, 200 - 0.55 * 315, 550 + 135, 200 + 0.45 * 315]) and got[4] == got[1]
+    assert got[2] is None and got[3] is None
+
+
+def test_consolidated_faces(spark):
+    """Faces with a confidence at their end: in the region, once, and then the most probable large one."""
+    face = lambda x, y, w, h, c: [float(v) for v in (x, y, w, h, *[0] * 10, c)]
+    faces = [face(150, 100, 40, 40, 0.9), face(152, 102, 38, 38, 0.8), face(400, 400, 90, 90, 0.99), face(210, 150, 60, 60, 0.2)]
+    rows = spark.createDataFrame([(1, faces, [100.0, 50.0, 300.0, 250.0]), (2, faces, None), (3, faces[:1], [0.0, 0.0, 10.0, 10.0]), (4, [[f[0], f[1], f[2], f[3]] for f in faces], [100.0, 50.0, 300.0, 250.0])], "k int, f array<array<double>>, r array<double>")
+    got = {r["k"]: [f[:2] for f in r["c"]] for r in rows.select("k", g.consolidated(F.col("f"), F.col("r")).alias("c")).collect()}
+    assert got == {1: [[150, 100]], 2: [[400, 400], [210, 150], [150, 100]], 3: [], 4: [[210, 150]]}
 
 
 def test_detections():
