@@ -23,8 +23,9 @@ def exclusion_set(features: Iterable[Iterable[str]]) -> list[str]:
 
 
 def scan(spark: SparkSession, root: str, excluded: Iterable[str] = ()) -> DataFrame:
-    """S1, S4 (nothing excluded), O9: images below a folder, with their place in the order of paths, which case doesn't change.
-    File contents are not read; files of no bytes are not listed, as no reader of Spark lists them. Rows are ordered by ranges of paths, not in one task."""
+    """S1, S4 (nothing excluded), O9: images below a folder in the order of paths, which case doesn't change; ordered by ranges
+    of paths, not in one task. File contents are not read. Spark's readers list no files of no bytes, and nothing whose name, or whose
+    folder's, begins with _ or a dot."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     files = files.withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
     base = root.removeprefix("file://").rstrip("/")
