@@ -15,11 +15,23 @@ from loomset.llm import decontamination, jaccard_join, language_id, mixing, shar
 from loomset.llm.common import stored
 
 
+#: Rows and bytes that go to a Python worker at once, at most.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers few at a time: a batch lies beside the heap of an executor, whose buffers keep the size
+    of the largest. The session keeps the setting, since a stage's table is written after its function returns."""
+    for name, most in BATCHES.items():
+        spark.conf.set(name, str(most))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier rejects go: null texts, texts without a letter, texts that are like no label.
 
     Very long texts are judged whole and repeated rows alike; without rows none come out. Other columns, whatever their
     names, are passed on as they are."""
+    _small_batches(spark)
     predict = language_id.predictor(docs)
     return docs.where(~predict("text")["rejected"])
 
@@ -37,6 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are matched by id and hash of the text. The list of rows to drop is broadcast up to BROADCAST_ROWS rows and
     else joined by a shuffle."""
+    _small_batches(spark)
     drop, repeated = jaccard_join.keepers(docs)
     drop = stored(drop, "drop")
     rows = docs.select(_row(docs), F.col("doc_id").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
@@ -57,6 +70,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Very long texts are scanned whole and repeated rows judged alike; without rows none come out. Other columns, whatever
     their names, are passed on as they are."""
+    _small_batches(spark)
     rows = docs.select(_row(docs), F.encode("text", "utf-8").alias("data"))
     judged = decontamination.judged(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return judged.where("not judged.contaminated").select("row.*")

@@ -39,25 +39,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Has Spark delete the shuffle files of a job when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows that go to a Python worker at once, at most: whole texts, both in the worker and beside the heap of its executor.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 @contextmanager
 def cleaned(spark: SparkSession) -> Iterator[None]:
-    """Jobs in here leave no shuffle files: what they write is a table, which ends their lineage. Batches of rows for Python
-    workers are small."""
-    before = {k: spark.conf.get(k, None) for k in (CLEANUP, BATCH)}
+    """Jobs in here leave no shuffle files: what they write is a table, which ends their lineage."""
+    before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
-    spark.conf.set(BATCH, str(BATCH_ROWS))
     try:
         yield
     finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
