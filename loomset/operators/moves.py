@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import path_key, source_label
 from ..schema import STATUSES
-from ..storage import cut
 
 
 def under_excluded(relative: Column, excluded: Iterable[str]) -> Column:
@@ -51,12 +50,12 @@ def move_counts(plan: DataFrame) -> DataFrame:
 
 def conflicts(plan: DataFrame, existing: DataFrame) -> DataFrame:
     """(kind, destination_key): two moves to one place, or a place taken by a file that doesn't move away."""
-    moves = plan.select("outcome", "path", "destination").where("outcome = 'move'").select(path_key(F.col("path")).alias("source_key"), path_key(F.col("destination")).alias("destination_key"))
-    moves = cut(moves, "moves")  # read three times
-    twice = moves.groupBy("destination_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("duplicate").alias("kind"), "destination_key")
-    stay = existing.select(path_key(F.col("path")).alias("destination_key")).join(moves.select(F.col("source_key").alias("destination_key")), "destination_key", "left_anti")
-    taken = moves.join(stay, "destination_key", "left_semi").select(F.lit("exists").alias("kind"), "destination_key").distinct()
-    return twice.unionByName(taken)
+    ends = F.array(F.struct(path_key(F.col("path")).alias("key"), F.lit("source").alias("is")), F.struct(path_key(F.col("destination")).alias("key"), F.lit("destination").alias("is")))
+    tagged = plan.where("outcome = 'move'").select(F.inline(ends)).unionByName(existing.select(path_key(F.col("path")).alias("key"), F.lit("there").alias("is")))
+    n = lambda what: F.count_if(F.col("is") == what)
+    places = tagged.groupBy(F.col("key").alias("destination_key")).agg(n("destination").alias("come"), n("source").alias("go"), n("there").alias("there"))
+    kinds = F.array_compact(F.array(F.when(F.col("come") > 1, "duplicate"), F.when((F.col("come") > 0) & (F.col("there") > 0) & (F.col("go") == 0), "exists")))
+    return places.select(F.explode(kinds).alias("kind"), "destination_key")  # one pass over all three
 
 
 def unique_names(names: Iterable[str], taken: Iterable[str] = ()) -> list[str]:

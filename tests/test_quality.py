@@ -163,3 +163,98 @@ def test_proposals_of_boxes(spark):
     assert got[1]["box"] == got[1]["auto_box"] == [68, 68, 232, 232] and got[1]["removed_area_ratio"] == pytest.approx(1 - 164 * 164 / 120000)
     assert got[1]["warnings"] == [] and not got[1]["mask_touches_edge"] and got[1]["image_size"] == [400, 300] and got[1]["decision"] == "pending"
     assert got[2] is None and got[3] is None and got[4]["warnings"] == [quality.EDGE_WARNING]
+
+
+# -- the registered queries, their images taken apart pixel by pixel
+
+TEXTS = [(7, 1, "u", "The quick brown fox jumps over the lazy dog, again and again. " * 9), (200, 3, "a", "ab"), (5, 0, "u", ""), (41, 2, "u", "Ünïcode 漢字 " * 30)]
+
+
+@pytest.fixture(scope="module")
+def talks(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("talks")
+    spark.createDataFrame(TEXTS, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    images = {}
+    for c, t, _, text in TEXTS:
+        raw = text.encode()
+        if raw:
+            images[c, t] = np.frombuffer(raw + bytes(-len(raw) % 72), np.uint8).reshape(-1, 24, 3)
+    return str(folder), images
+
+
+def slow_features(image):
+    """The features as they are written down: sums over pixels, and shapes tried one by one."""
+    luma = [[int((19595 * int(r) + 38470 * int(g) + 7471 * int(b) + 32768) >> 16) for r, g, b in row] for row in image]
+    plane, out = np.array(luma, float) / 255, []
+    shapes = [0.2 + 0.001 * k for k in range(9801)]
+    ratio = [math.gamma(2 / g) ** 2 / (math.gamma(1 / g) * math.gamma(3 / g)) for g in shapes]
+    nearest = lambda r: shapes[min(range(len(shapes)), key=lambda k: abs(ratio[k] - r))]
+    weight = [math.exp(-((j - 3) ** 2) / (2 * (7 / 6) ** 2)) for j in range(7)]
+    for scale in (0, 1):
+        if scale:
+            h, w = plane.shape[0] // 2, plane.shape[1] // 2
+            k = (-0.09375, 0.59375, 0.59375, -0.09375)
+            get = lambda y, x, p=plane: p[min(max(y, 0), p.shape[0] - 1), min(max(x, 0), p.shape[1] - 1)]
+            plane = np.array([[sum(k[a] * k[b] * get(2 * y + a - 1, 2 * x + b - 1) for a in range(4) for b in range(4)) for x in range(w)] for y in range(h)]).reshape(h, w)
+        h, w = plane.shape
+        if min(h, w) < 2:
+            out += [0.0] * 18
+            continue
+        c = np.zeros((h, w))
+        for y in range(h):
+            for x in range(w):
+                near = [(weight[a] * weight[b] / sum(weight) ** 2, plane[min(max(y + a - 3, 0), h - 1), min(max(x + b - 3, 0), w - 1)]) for a in range(7) for b in range(7)]
+                mean = sum(p * v for p, v in near)
+                c[y, x] = (plane[y, x] - mean) / (math.sqrt(abs(sum(p * v * v for p, v in near) - mean * mean)) + 1 / 255)
+        square = sum(v * v for v in c.flat) / c.size
+        out += [nearest((sum(abs(v) for v in c.flat) / c.size) ** 2 / square), square]
+        for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
+            pairs = [c[y, x] * c[y + dy, x + dx] for y in range(h - dy) for x in range(max(0, -dx), w - max(0, dx))]
+            low, high = [v for v in pairs if v < 0], [v for v in pairs if v > 0]
+            a, b = (math.sqrt(sum(v * v for v in s) / len(s)) if s else 0.0 for s in (low, high))
+            g = a / b
+            square = sum(v * v for v in pairs) / len(pairs)
+            shape = nearest((sum(map(abs, pairs)) / len(pairs)) ** 2 / square * (g**3 + 1) * (g + 1) / (g * g + 1) ** 2)
+            out += [shape, (b - a) * math.sqrt(math.gamma(1 / shape) / math.gamma(3 / shape)) * math.gamma(2 / shape) / math.gamma(1 / shape), a * a, b * b]
+    return out
+
+
+def test_scene_features_by_brute_force(spark, talks):
+    from loomset.plans import pixels
+
+    folder, images = talks
+    rows = {(r["conv_id"], r["turn"]): r["features"] for r in pixels.scene_features(spark, folder).collect()}
+    assert set(rows) == set(images)
+    for key, image in images.items():
+        got = [float(v) for v in rows[key].split(",")]
+        want = slow_features(image)
+        shapes = {k for base in (0, 18) for k in (base, base + 2, base + 6, base + 10, base + 14)}
+        for k, (a, b) in enumerate(zip(got, want)):
+            assert a == pytest.approx(b, abs=0.0011 if k in shapes else 2e-3 * max(1, abs(b))), (key, k)
+
+
+def test_upright_faces_by_brute_force(spark, talks):
+    """Every pixel from where it was, by the inverse of the turn that the points were made with."""
+    import hashlib
+
+    from loomset.plans import pixels
+
+    folder, images = talks
+    rows = {(r["conv_id"], r["turn"]): r for r in pixels.upright_faces(spark, folder).collect()}
+    assert set(rows) == set(images)
+    for (conv, turn), image in images.items():
+        a, size = math.radians(conv % 360), (turn % 5 + 3) / 10
+        out = np.zeros((112, 112, 3), np.uint8)
+        h, w = image.shape[:2]
+        for y in range(112):
+            for x in range(112):
+                u, v = 12 + size * (math.cos(a) * (x - 56) - math.sin(a) * (y - 72)), 12 + size * (math.sin(a) * (x - 56) + math.cos(a) * (y - 72))
+                total = np.zeros(3)
+                for q in (math.floor(v), math.floor(v) + 1):
+                    for p in (math.floor(u), math.floor(u) + 1):
+                        if 0 <= p < w and 0 <= q < h:
+                            total += (1 - abs(u - p)) * (1 - abs(v - q)) * image[q, p]
+                out[y, x] = np.clip(np.floor(total + 0.5), 0, 255)
+        found = quality.warped(image, quality.robust_similarity(np.array([[12 + size * (math.cos(a) * (x - 56) - math.sin(a) * (y - 72)), 12 + size * (math.sin(a) * (x - 56) + math.cos(a) * (y - 72))] for x, y in quality.UPRIGHT]), np.array(quality.UPRIGHT)), 112, 112)
+        assert np.abs(found.astype(int) - out).max() <= 1 and (found != out).mean() < 0.01
+        assert rows[conv, turn]["digest"] == hashlib.sha256(found.tobytes()).hexdigest() and rows[conv, turn]["width"] == 112
