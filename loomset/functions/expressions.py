@@ -125,6 +125,12 @@ def rank_order(order: str = "ord") -> list[Column]:
     return [F.col("face_quality").desc(), F.col("brisque").asc(), F.col("blur").desc(), F.col(order).asc()]
 
 
+def rank_key() -> Column:
+    """W1 as a value that is smallest for the best, in the order of rank_order."""
+    quality, noise, sharp = F.col("face_quality"), F.col("brisque"), F.col("blur")
+    return F.struct(quality.isNull().alias("a"), (-quality).alias("b"), noise.isNotNull().alias("c"), noise.alias("d"), sharp.isNull().alias("e"), (-sharp).alias("f"), F.col("ord").alias("g"))
+
+
 def position(c: Column, domain: Iterable[str]) -> Column:
     """O2: place in a domain; anything else comes last."""
     return reduce(lambda w, kv: w.when(c == kv[1], kv[0]), enumerate(domain), F.when(F.lit(False), -1)).otherwise(99)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import hamming, rank_order
+from ..functions.expressions import hamming, rank_key, rank_order
 from ..schema import BACKUP, IGNORED_GROUP, PICKED, REJECTED
 from ..storage import cut
 
@@ -158,25 +158,22 @@ def _apart() -> Column:
 
 
 def with_group_rank(rows: DataFrame, qualified: bool = False) -> DataFrame:
-    """group_rank and group_size. qualified: over members without blockers, or all where none is; 0 for the others."""
-    grouped = rows.where("duplicate_group <> 0")
-    w = Window.partitionBy("duplicate_group")
+    """group_rank and group_size. qualified: over members without blockers, or all where none is; 0 for the others.
+
+    Members are numbered in ranges of (group, rank), and a group's first number is taken off, so that no group is one task."""
+    grouped = rows.where("duplicate_group <> 0").withColumn("_key", rank_key())
     if qualified:
-        grouped = grouped.withColumn("_in", F.col("qualified") | ~F.max("qualified").over(w))
-        w = Window.partitionBy("duplicate_group", "_in")
+        some = grouped.groupBy("duplicate_group").agg(F.max("qualified").alias("_some"))
+        grouped = grouped.join(some, "duplicate_group").withColumn("_in", F.col("qualified") | ~F.col("_some")).drop("_some")
     else:
         grouped = grouped.withColumn("_in", F.lit(True))
-    size = F.count(F.lit(1)).over(w)
-    if qualified:
-        size = F.max(F.when(F.col("_in"), size)).over(Window.partitionBy("duplicate_group"))
-    ranked = grouped.withColumn("group_rank", F.when(F.col("_in"), F.row_number().over(w.orderBy(*rank_order()))).otherwise(0))
+    placed = numbered(grouped.where("_in"), "duplicate_group", "_key")
+    first = placed.groupBy("duplicate_group").agg(F.min("number").alias("_first"), F.count(F.lit(1)).alias("group_size"))
+    ranked = placed.join(first, "duplicate_group").withColumn("group_rank", (F.col("number") - F.col("_first") + 1).cast("int")).drop("number", "_first")
     if qualified:
-        counts = grouped.where("_in").groupBy("duplicate_group").agg(F.count(F.lit(1)).alias("group_size"))
-        ranked = ranked.join(counts, "duplicate_group")
-    else:
-        ranked = ranked.withColumn("group_size", size)
+        ranked = ranked.unionByName(grouped.where("not _in").join(first.drop("_first"), "duplicate_group").withColumn("group_rank", F.lit(0)))
     alone = rows.where("duplicate_group = 0").withColumn("group_rank", F.lit(1)).withColumn("group_size", F.lit(1).cast("long"))
-    return ranked.drop("_in").unionByName(alone)
+    return ranked.drop("_in", "_key").unionByName(alone)
 
 
 def best_per_group(rows: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import base_status, effective_status
+from ..functions.expressions import base_status, effective_status, rank_key
 from ..schema import PICKED, SCALES, YAWS
 from ..storage import Folder
 from ..streaming.snapshots import Snapshots
@@ -35,12 +35,6 @@ _POOL = [c.split()[0] for c in POOL.split(", ")]
 MOST, LEAST = 4, 2
 
 
-def rank_key() -> Column:
-    """W1 as a value that is smallest for the best: the order of expressions.rank_order."""
-    q, b, l = F.col("face_quality"), F.col("brisque"), F.col("blur")
-    return F.struct(q.isNull().alias("a"), (-q).alias("b"), b.isNotNull().alias("c"), b.alias("d"), l.isNull().alias("e"), (-l).alias("f"), F.col("ord").alias("g"))
-
-
 def latest_edits(old: DataFrame, edits: DataFrame) -> DataFrame:
     """Rows of ROWS with edits of EDITS laid over them."""
     analysis, human = F.struct(*_OF), F.struct("manual_status")

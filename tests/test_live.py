@@ -101,6 +101,6 @@ def test_ranks_with_nulls_are_those_of_the_columns(spark):
     rng = random.Random(4)
     pick = lambda: rng.choice([None, 0.0, 1.0, 2.0])
     rows = spark.createDataFrame([(o, pick(), pick(), pick()) for o in range(80)], "ord long, face_quality double, brisque double, blur double")
-    from loomset.functions.expressions import rank_order
+    from loomset.functions.expressions import rank_key, rank_order
 
-    assert [r["ord"] for r in rows.orderBy(live.rank_key()).collect()] == [r["ord"] for r in rows.orderBy(*rank_order()).collect()]
+    assert [r["ord"] for r in rows.orderBy(rank_key()).collect()] == [r["ord"] for r in rows.orderBy(*rank_order()).collect()]
