@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import BACKUP, FINDING, FINDING_TEXTS, REJECTED
+from ..schema import BACKUP, FINDING, FINDING_TEXTS, REASON_TEXTS, REJECTED
 
 # Review flags that keep a sample out of the automatic selection.
 BLOCKING = ("no_face_full_body_review", "secondary_faces_detected", "probable_multi_person", "low_face_pixels", "extreme_exposure", "face_detection_error", "face_quality_error", "head_pose_error", "face_sharpness_error", "brisque_error", "pose_analysis_error")
@@ -108,10 +108,10 @@ def blockers() -> Column:
     flags, side = F.col("review_flags"), F.col("angle_class").isin("左侧脸", "右侧脸")
     said = lambda prefix, fs: F.transform(fs, lambda f: F.concat(F.lit(prefix), finding_text(f)))
     return F.concat(
-        said("硬淘汰：", F.col("hard_rejects")),
-        said("需先复核：", F.filter(flags, lambda f: f["code"].isin(*BLOCKING))),
-        F.when(~side, said("需先复核：", F.filter(flags, lambda f: f["code"] == "low_face_quality"))).otherwise(F.array().cast("array<string>")),
-        F.array_compact(F.array(F.when(F.col("brisque") > 70, F.format_string("BRISQUE %.1f > 70", "brisque")), F.when(F.col("blur") < 40, F.format_string("主脸清晰度 %.1f < 40", "blur")))),
+        said(REASON_TEXTS["rejected"], F.col("hard_rejects")),
+        said(REASON_TEXTS["review"], F.filter(flags, lambda f: f["code"].isin(*BLOCKING))),
+        F.when(~side, said(REASON_TEXTS["review"], F.filter(flags, lambda f: f["code"] == "low_face_quality"))).otherwise(F.array().cast("array<string>")),
+        F.array_compact(F.array(F.when(F.col("brisque") > 70, F.format_string(REASON_TEXTS["noise"], "brisque")), F.when(F.col("blur") < 40, F.format_string(REASON_TEXTS["blur"], "blur")))),
     )
 
 

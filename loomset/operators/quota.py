@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import base_status, blockers, effective_status, rank_order
-from ..schema import PICKED, SCALE_WEIGHTS, SCALES, YAW_WEIGHTS, YAWS
+from ..schema import PICKED, REASON_TEXTS, SCALE_WEIGHTS, SCALES, YAW_WEIGHTS, YAWS
 from ..storage import cut
 from .dupes import best_per_group
 
@@ -86,17 +86,17 @@ def recommend(rows: DataFrame, target: int) -> DataFrame:
     chosen = choose(pool, target).select("ord", F.lit(True).alias("_chosen"))
     groups = eligible.where("duplicate_group <> 0").select("ord", F.row_number().over(Window.partitionBy("duplicate_group").orderBy(*rank_order())).alias("_rank"), F.count(F.lit(1)).over(Window.partitionBy("duplicate_group")).alias("_size"))
     own = own.join(chosen, "ord", "left").join(groups, "ord", "left")
-    stratum = F.concat(F.lit(""), F.col("person_scale"), F.lit(" / "), F.col("angle_class"))
+    said = lambda name, *values: F.array(F.format_string(REASON_TEXTS[name], *values))
     reasons = (
         F.when(~F.col("qualified"), F.col("blockers"))
-        .when(F.col("_chosen"), F.array(F.concat(F.lit("自动推荐：通过基础门槛，并用于补足 "), stratum, F.lit(" 覆盖"))))
-        .when(F.col("_rank") > 1, F.array(F.format_string("Duplicate Group %d 已保留更优代表（组内 %d/%d）", "duplicate_group", "_rank", "_size")))
-        .otherwise(F.array(F.concat(F.lit(f"已通过基础门槛，但当前自动目标 {target} 张的景别×角度覆盖分配未选中（"), stratum, F.lit("）"))))
+        .when(F.col("_chosen"), said("chosen", "person_scale", "angle_class"))
+        .when(F.col("_rank") > 1, said("copy", "duplicate_group", "_rank", "_size"))
+        .otherwise(said("not_chosen", F.lit(target), "person_scale", "angle_class"))
     )
     auto = F.when(F.col("_chosen"), PICKED).otherwise(base_status(F.col("eligibility")))
     own = own.withColumn("auto_status", auto)
-    said = F.when(F.coalesce("manual_status", F.lit("")) != "", F.concat(F.array(F.concat(F.lit("人工状态优先："), F.col("manual_status"), F.lit("（自动基线："), F.col("auto_status"), F.lit("）"))), reasons)).otherwise(reasons)
-    own = own.withColumn("recommendation_reasons", said).withColumn("status", effective_status(F.col("manual_status"), F.col("auto_status")))
+    named = F.when(F.coalesce("manual_status", F.lit("")) != "", F.concat(said("manual", "manual_status", "auto_status"), reasons)).otherwise(reasons)
+    own = own.withColumn("recommendation_reasons", named).withColumn("status", effective_status(F.col("manual_status"), F.col("auto_status")))
     return own.drop("_chosen", "_rank", "_size", "blockers")
 
 

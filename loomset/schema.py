@@ -35,3 +35,15 @@ FINDING_TEXTS = {
     "no_face_not_full_body": "两个检测阈值均未找到人脸，且不是全身图",
     "read_error": "无法读取图片：",
 }
+
+# What is said about a recommendation; %s and numbers are filled in.
+REASON_TEXTS = {
+    "chosen": "自动推荐：通过基础门槛，并用于补足 %s / %s 覆盖",
+    "copy": "Duplicate Group %d 已保留更优代表（组内 %d/%d）",
+    "not_chosen": "已通过基础门槛，但当前自动目标 %d 张的景别×角度覆盖分配未选中（%s / %s）",
+    "manual": "人工状态优先：%s（自动基线：%s）",
+    "rejected": "硬淘汰：",
+    "review": "需先复核：",
+    "noise": "BRISQUE %.1f > 70",
+    "blur": "主脸清晰度 %.1f < 40",
+}
