@@ -12,6 +12,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ def dilated(mask: np.ndarray, reach: int) -> np.ndarray:
     height, width = mask.shape
     out = np.zeros_like(mask)
     for down, across in ellipse(reach):
+        if abs(down) >= height:
+            continue
         # How many true pixels are at most `across` columns away, from sums along the row.
         total = np.cumsum(np.pad(mask, ((0, 0), (across + 1, across))).astype(np.int32), 1)
         near = total[:, 2 * across + 1 :] - total[:, : width] > 0
@@ -188,12 +192,91 @@ def repair(pixels: Column, polygons: Column, expand: int = 2, radius: int = 3, m
     return run(pixels, polygons)
 
 
-def masked_pixels(polygons: Column, width: Column, height: Column, expand: int = 0) -> Column:
-    """How many pixels of each row of the image a mask covers, as an array."""
+def _united(group: np.ndarray, first: np.ndarray, last: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (group, first, last) in order, those that overlap or touch made one; columns are below wide."""
+    start, end = group * (wide + 1) + first, group * (wide + 1) + last
+    order = np.argsort(start)
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.append(True, start[1:] > end[:-1] + 1)) if len(start) else order
+    group, end = group[order][new], end[np.append(new[1:], len(start)) - 1] if len(new) else end
+    return group, start[new] - group * (wide + 1), end - group * (wide + 1)
+
+
+def masked_rows(image: np.ndarray, of: np.ndarray, x: np.ndarray, y: np.ndarray, widths: np.ndarray, heights: np.ndarray, expand: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, row, pixels) of each row that the masks of many images cover, as mask_of has them. Points x, y are of polygons
+    `of`, which lie together and are numbered in order; image names each polygon's. Masks are runs of pixels, not planes."""
+    wide, high = int(widths.max(initial=1)), int(heights.max(initial=1))
+    ends = np.flatnonzero(np.append(of[1:] != of[:-1], True)) if len(of) else np.zeros(0, np.int64)
+    follow = np.arange(1, len(of) + 1)
+    follow[ends] = np.append(0, ends[:-1] + 1)[: len(ends)]
+    bx, by, own = x[follow], y[follow], image[of]
+    counted = lambda n: (np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+    # Sides: a level one is a run, of another each step is a pixel.
+    level = by == y
+    steps = np.maximum(np.abs(bx - x), np.abs(by - y))
+    side, t = counted(np.where(level, 1, steps + 1))
+    on, n = level[side], np.maximum(steps, 1)[side]
+    step = lambda a, b: a[side] + np.floor_divide(2 * t * (b - a)[side] + n, 2 * n)
+    along = step(x, bx)
+    runs = [(own[side], step(y, by), np.where(on, np.minimum(x, bx)[side], along), np.where(on, np.maximum(x, bx)[side], along))]
+    # Inside by the even-odd rule: crossings of a polygon and row in order, two by two.
+    top, below = np.maximum(0, np.minimum(y, by)), np.minimum(heights[own], np.maximum(y, by))
+    side, t = counted(np.maximum(0, below - top))
+    row = top[side] + t
+    at = x[side] + (row - y[side]) * (bx - x)[side] / (by - y)[side]
+    order = np.lexsort((at, row, of[side]))
+    side, row, at = side[order], row[order], at[order]
+    runs.append((own[side[::2]], row[::2], np.ceil(at[::2] - 1e-9).astype(np.int64), np.floor(at[1::2] + 1e-9).astype(np.int64)))
+
+    def clipped(who, row, first, last):
+        first, last = np.maximum(first, 0), np.minimum(last, widths[who] - 1)
+        use = (first <= last) & (row >= 0) & (row < heights[who])
+        return who[use], row[use], first[use], last[use]
+
+    who, row, first, last = clipped(*(np.concatenate(c) for c in zip(*runs)))
+    group, first, last = _united(who * high + row, first, last, wide)
+    if expand > 0:
+        who, row = np.divmod(group, high)
+        away, across = (np.array(c) for c in zip(*ellipse(expand)))
+        spread = lambda v, d: (v[:, None] + d).ravel()
+        who, row, first, last = clipped(np.repeat(who, len(away)), spread(row, away), spread(first, -across), spread(last, across))
+        group, first, last = _united(who * high + row, first, last, wide)
+    rows = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
+    return *np.divmod(group[rows], high), np.add.reduceat(last - first + 1, rows) if len(rows) else rows
+
+
+#: Pixels of sides and rows around them that are in hand at once.
+MASK_WORK = 1_000_000
 
-    @F.pandas_udf("array<int>")
-    def run(covers: pd.Series, ws: pd.Series, hs: pd.Series) -> pd.Series:
-        out = [mask_of([np.array([list(p) for p in poly], np.int64) for poly in cover], int(w), int(h), expand).sum(1).tolist() if cover is not None else None for cover, w, h in zip(covers, ws, hs)]
-        return pd.Series(out, dtype=object)
+
+def masked_pixels(polygons: Column, width: Column, height: Column, expand: int = 0) -> Column:
+    """The rows of the image that a mask covers, in order, with how many pixels of each; null for null."""
+    reach = max(0, int(expand))
+
+    @F.arrow_udf("array<struct<row:int,n:int>>")
+    def run(covers: pa.Array, ws: pa.Array, hs: pa.Array) -> pa.Array:
+        good = pc.and_(pc.and_(covers.is_valid(), ws.is_valid()), hs.is_valid()).to_numpy(zero_copy_only=False)
+        widths, heights = (np.maximum(0, c.fill_null(0).to_numpy().astype(np.int64)) for c in (ws, hs))
+        image = np.repeat(np.arange(len(covers)), pc.list_value_length(covers).fill_null(0).to_numpy())
+        own = covers.flatten()
+        many = pc.list_value_length(own).fill_null(0).to_numpy()
+        points = own.flatten()
+        x, y = (pc.list_element(points, k).to_numpy().astype(np.int64) for k in (0, 1))
+        of = np.repeat(np.arange(len(image)), many)
+        work = np.ones(len(covers))
+        if len(of):
+            near = np.append(of[1:] == of[:-1], False)
+            work += np.bincount(image[of], np.maximum(np.abs(np.roll(x, -1) - x), np.abs(np.roll(y, -1) - y)) * near * 2 + 2 * reach, len(covers))
+        part = (np.cumsum(work * (2 * reach + 1)) // MASK_WORK).astype(np.int64)
+        out, places = [], np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+        for a, b in zip(places, [*places[1:], len(part)]):
+            p, q = np.searchsorted(image, [a, b])
+            u, v = np.searchsorted(of, [p, q])
+            found = masked_rows(image[p:q] - a, of[u:v] - p, x[u:v], y[u:v], widths[a:b], heights[a:b], reach)
+            out.append((found[0] + a, *found[1:]))
+        who, row, n = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        offsets = pa.array(np.searchsorted(who, np.arange(len(covers) + 1)), pa.int32(), mask=np.append(~good, False))
+        values = pa.StructArray.from_arrays([pa.array(row, pa.int32()), pa.array(n, pa.int32())], ["row", "n"])
+        return pa.ListArray.from_arrays(offsets, values)
 
     return run(polygons, width, height)

@@ -47,8 +47,8 @@ def repair_masks(spark, sf_dir):
     x1, y1 = (F.expr("(p[0] + 40) div 2") + i % 30).cast("int"), (F.expr("p[1] div 2") + i % 12).cast("int")
     poly = F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1))
     rows = own.select("event_id", repair.masked_pixels(F.array(poly), F.lit(320), F.lit(240), 5).alias("rows"))
-    weigh = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, n: s + n)
-    return rows.select("event_id", F.size(F.filter("rows", lambda n: n > 0)).cast("long").alias("n_rows"), weigh(F.col("rows")).alias("n_pixels"), weigh(F.transform("rows", lambda n, k: n * k)).alias("moment"))
+    total = lambda f: F.aggregate("rows", F.lit(0).cast("long"), lambda s, r: s + f(r))
+    return rows.select("event_id", F.size("rows").cast("long").alias("n_rows"), total(lambda r: r["n"]).alias("n_pixels"), total(lambda r: r["n"] * r["row"]).alias("moment"))
 
 
 def images_of(texts):
