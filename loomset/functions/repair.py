@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .kernels import PIXELS
+from .kernels import PIXELS, pieces
 from .regions_of_maps import filled
 
 #: Names of the methods.
@@ -127,16 +129,24 @@ def _slope(values: np.ndarray, known: np.ndarray, ys: np.ndarray, xs: np.ndarray
     return one((ys - 1, xs), (ys + 1, xs)), one((ys, xs - 1), (ys, xs + 1))
 
 
-def repaired(image: np.ndarray, mask: np.ndarray, radius: int, method: str = TELEA) -> np.ndarray:
-    """(height, width, channels) bytes with the pixels of the mask filled in. An empty mask gives a copy; where all pixels are
-    in the mask there is nothing to go by, and a copy comes back too."""
-    if not mask.any() or mask.all():
-        return image.copy()
-    radius = max(1, int(radius))
-    edge = radius + 2
-    wide = np.pad(image.astype(float), ((edge, edge), (edge, edge), (0, 0)))
-    todo = np.pad(mask, edge)
-    inside = np.pad(np.ones(mask.shape, bool), edge)
+def _window(mask: np.ndarray, radius: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(first row, first column, mask, pixels of the image) of the surroundings that a repair can look at; none of the image's
+    pixels lies on the window's border."""
+    reach = 2 * radius + 5
+    ys, xs = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    y0, y1, x0, x1 = int(ys[0]), int(ys[-1]) + 1, int(xs[0]), int(xs[-1]) + 1
+    room = [min(reach - 1, d) for d in (y0, mask.shape[0] - y1, x0, mask.shape[1] - x1)]
+    todo = np.pad(mask[y0:y1, x0:x1], reach)
+    inside = np.zeros_like(todo)
+    inside[reach - room[0] : reach + y1 - y0 + room[1], reach - room[2] : reach + x1 - x0 + room[3]] = True
+    return y0 - reach, x0 - reach, todo, inside
+
+
+def _steps(todo: np.ndarray, inside: np.ndarray, radius: int, method: str):
+    """What is done to a window, pixel by pixel, of which nothing depends on the image: (pixel, known ones around it, of each way
+    of the gradient the pixels whose difference counts and how much, rows and columns away, their square, weights). Pixels are places
+    in the window row by row."""
+    edge, wide = radius + 2, todo.shape[1]
     outer = _outer_times(todo, inside, radius)
     down, across = (d.ravel() for d in np.mgrid[-radius : radius + 1, -radius : radius + 1])
     ring = (down**2 + across**2 <= radius**2) & ((down != 0) | (across != 0))
@@ -149,25 +159,80 @@ def repaired(image: np.ndarray, mask: np.ndarray, radius: int, method: str = TEL
         if not len(ys):
             continue
         ry, rx = (y - ys).astype(float), (x - xs).astype(float)
-        window = slice(y - edge, y + edge + 1), slice(x - edge, x + edge + 1)
-        valid, wide_ = known[window] & inside[window], wide[window]
-        ys, xs = ys - y + edge, xs - x + edge
+        at, w = ys * wide + xs, None
+        valid = (known & inside).ravel()
+        slopes = []
+        for step in (wide, 1):
+            low, high = valid[at - step], valid[at + step]
+            slopes += [np.where(high, at + step, at), np.where(low, at - step, at), np.where(low & high, 0.5, 1.0)[:, None]]
         if method == TELEA:
+            window = slice(y - edge, y + edge + 1), slice(x - edge, x + edge + 1)
             t = np.where(todo[window], times[window], outer[window])
             gy, gx = _slope(t, known[window] | (t < _FAR), np.array([edge]), np.array([edge]))
             turn = np.abs(ry * gy[0] + rx * gx[0]) / np.sqrt(d2)
             turn[turn < 0.01] = 1e-6
-            w = turn / (d2 * (1 + np.abs(t[ys, xs] - times[y, x])))
-            iy, ix = _slope(wide_, valid, ys, xs)
-            value = (w[:, None] * (wide_[ys, xs] + iy * ry[:, None] + ix * rx[:, None])).sum(0) / w.sum()
+            w = turn / (d2 * (1 + np.abs(t[ys - y + edge, xs - x + edge] - times[y, x])))
+        yield y * wide + x, at, *slopes, ry[:, None], rx[:, None], d2, w
+
+
+#: Steps of masks of so few pixels are kept for the next image with the same mask.
+KEPT_PIXELS = 500
+
+
+@lru_cache(maxsize=64)
+def _kept_steps(todo: bytes, inside: bytes, wide: int, radius: int, method: str) -> list:
+    plane = lambda b: np.frombuffer(b, bool).reshape(-1, wide)
+    return list(_steps(plane(todo), plane(inside), radius, method))
+
+
+def _paint(values: np.ndarray, steps: Iterable, method: str) -> None:
+    """values (pixels of a window, channels of its images) with the steps' pixels filled in, in all images at once."""
+    for pixel, at, top, low, half_y, right, left, half_x, ry, rx, d2, w in steps:
+        iy, ix = (values[top] - values[low]) * half_y, (values[right] - values[left]) * half_x
+        if method == TELEA:
+            value = (w[:, None] * (values[at] + iy * ry + ix * rx)).sum(0) / w.sum()
         else:
-            iy, ix = _slope(wide_, valid, ys, xs)
             steep = np.sqrt(iy**2 + ix**2) * np.sqrt(d2)[:, None]
-            along = np.where(steep > 0, np.abs(ry[:, None] * -ix + rx[:, None] * iy) / np.where(steep > 0, steep, 1), 0.0)
+            along = np.where(steep > 0, np.abs(ry * -ix + rx * iy) / np.where(steep > 0, steep, 1), 0.0)
             w = np.maximum(along, 1e-6) / (d2[:, None] + 1)
-            value = (w * wide_[ys, xs]).sum(0) / w.sum(0)
-        wide[y, x] = np.clip(np.floor(value + 0.5), 0, 255)
-    return wide[edge:-edge, edge:-edge].astype(np.uint8)
+            value = (w * values[at]).sum(0) / w.sum(0)
+        values[pixel] = np.clip(np.floor(value + 0.5), 0, 255)
+
+
+def repaired_alike(images: list[np.ndarray], masks: list[np.ndarray], radius: int, method: str = TELEA) -> list[np.ndarray]:
+    """Images (height, width, channels) of bytes with the pixels of their masks filled in; those whose masks have the same
+    surroundings go together. An empty mask gives a copy; where all pixels are in the mask there is nothing to go by, and a copy comes back too."""
+    radius, out = max(1, int(radius)), [image.copy() for image in images]
+    alike: dict[tuple, list] = {}
+    for k, mask in enumerate(masks):
+        if mask.any() and not mask.all():
+            y, x, todo, inside = _window(mask, radius)
+            alike.setdefault((todo.tobytes(), inside.tobytes(), todo.shape, out[k].shape[2]), []).append((k, y, x))
+    for (todo, inside, shape, channels), own in alike.items():
+        own_todo, own_inside = (np.frombuffer(b, bool).reshape(shape) for b in (todo, inside))
+        ys, xs = np.nonzero(own_inside)
+        py, px = np.nonzero(own_todo)
+        few = len(py) <= KEPT_PIXELS
+        steps = _kept_steps(todo, inside, shape[1], radius, method) if few else None
+        most = max(1, 1_000_000 // (own_todo.size * channels))
+        for part in (own[j : j + most] for j in range(0, len(own), most)):
+            values = np.zeros((own_todo.size, len(part), channels))
+            for j, (k, y, x) in enumerate(part):
+                values[ys * shape[1] + xs, j] = out[k][ys + y, xs + x]
+            _paint(values.reshape(own_todo.size, -1), steps if few else _steps(own_todo, own_inside, radius, method), method)
+            for j, (k, y, x) in enumerate(part):
+                out[k][py + y, px + x] = values[py * shape[1] + px, j]
+    return out
+
+
+def repaired(image: np.ndarray, mask: np.ndarray, radius: int, method: str = TELEA) -> np.ndarray:
+    """repaired_alike of one image."""
+    return repaired_alike([image], [mask], radius, method)[0]
+
+
+@lru_cache(maxsize=256)
+def _small_mask(polygons: tuple, width: int, height: int, expand: int) -> np.ndarray:
+    return mask_of([np.array(p, np.int64) for p in polygons], width, height, expand)
 
 
 def repair(pixels: Column, polygons: Column, expand: int = 2, radius: int = 3, method: str = TELEA) -> Column:
@@ -175,20 +240,33 @@ def repair(pixels: Column, polygons: Column, expand: int = 2, radius: int = 3, m
 
     Null for null pixels and for data of another length; no polygons, or none that covers a pixel, give the pixels back."""
 
-    @F.pandas_udf(PIXELS)
-    def run(batch: pd.DataFrame, covers: pd.Series) -> pd.DataFrame:
-        out = []
+    def masked(w: int, h: int, cover) -> np.ndarray:
+        own = tuple(tuple(map(tuple, poly)) for poly in (cover if cover is not None else []) if poly is not None and len(poly))
+        return _small_mask(own, w, h, expand) if w * h <= 16384 else mask_of([np.array(p, np.int64) for p in own], w, h, expand)
+
+    def fixed(batch: pd.DataFrame, covers: pd.Series) -> pd.DataFrame:
+        out, places, images, masks = [], [], [], []
         for w, h, data, cover in zip(batch["width"], batch["height"], batch["data"], covers):
             if data is None or pd.isna(w) or pd.isna(h) or w * h < 1 or len(data) != 3 * int(w) * int(h):
                 out.append((None, None, None))
                 continue
             w, h = int(w), int(h)
-            own = [np.array([list(p) for p in poly], np.int64) for poly in (cover if cover is not None else []) if poly is not None and len(poly)]
-            mask = mask_of(own, w, h, expand)
-            image = np.frombuffer(data, np.uint8).reshape(h, w, 3)
-            out.append((w, h, repaired(image, mask, radius, method).tobytes() if mask.any() else data))
+            mask = masked(w, h, cover)
+            if mask.any():
+                places.append(len(out))
+                images.append(np.frombuffer(data, np.uint8).reshape(h, w, 3))
+                masks.append(mask)
+            out.append((w, h, data))
+        for k, image in zip(places, repaired_alike(images, masks, radius, method)):
+            out[k] = (*out[k][:2], image.tobytes())
         return pd.DataFrame(out, columns=["width", "height", "data"]).astype({"width": "Int32", "height": "Int32"})
 
+    @F.pandas_udf(PIXELS)
+    def run(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch, covers in batches:
+            for part in pieces(batch):
+                yield fixed(batch[part], covers[part])
+
     return run(pixels, polygons)
 
 
