@@ -25,8 +25,8 @@ def text_map_regions(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     inked = F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9]", " "), "[A-Za-z0-9]", "æ")
     lines = F.ceil(F.length("text") / 40).cast("int")
-    line = lambda k: F.regexp_replace(F.rpad(F.substr(inked, 40 * k + 1, F.lit(40)), 40, " "), "(.)", "$1$1$1$1")
-    drawn = F.when(lines > 0, F.array_join(F.transform(F.sequence(F.lit(0), lines - 1), lambda k: F.concat(F.repeat(line(k), 4), F.lit(" " * 320))), "")).otherwise("")
+    wide = F.regexp_replace(F.rpad(inked, 40 * lines, " "), "(.)", "$1$1$1$1")
+    drawn = F.regexp_replace(wide, "(.{160})", "$1$1$1$1" + " " * 320)
     probability = F.struct(F.lit(160).alias("width"), (6 * lines).alias("height"), F.encode(drawn, "ISO-8859-1").alias("data"))
     found = rows.select("conv_id", "turn", regions_of_maps.text_regions(probability, F.lit(320), 12 * lines, most=None).alias("found"))
     total = lambda f: F.coalesce(F.aggregate("found", F.lit(0).cast("long"), lambda s, r: s + f(r["poly"])), F.lit(0).cast("long"))
