@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import let
 from ..functions.geometry import clamp
 from ..functions.quality import LEAST_ALPHA, PADDING
 from ..schema import COMPOSITE_VERSION, CROP_READABLE, CROP_VERSION, PICKED, REJECTED
@@ -153,10 +154,16 @@ CROP_FIELDS = "version int, auto_box array<string>, box array<string>, decision
 def decode_crop_text(text: Column) -> Column:
     """A crop proposal from its JSON, with all that is stored of it. The first version has one box, which is the automatic
     one too, and no size; the second its own. Null where the version or the decision is unknown or the box is none."""
-    p = F.from_json(text, CROP_FIELDS)
+    read = F.from_json(text, CROP_FIELDS)
+    # Each is found once, however often it is named below.
+    parsed = lambda p: F.struct(p.alias("p"), parse_box(p["box"]).alias("box"), parse_box(p["auto_box"]).alias("second"))
+    return let(let(read, parsed), lambda v: _crop_of(v["p"], v["box"], v["second"]))
+
+
+def _crop_of(p: Column, box: Column, second: Column) -> Column:
+    """The proposal of its fields and of its boxes as they are read."""
     first = p["version"] == 1
-    box = parse_box(p["box"])
-    auto = F.when(first, box).otherwise(F.coalesce(parse_box(p["auto_box"]), box))
+    auto = F.when(first, box).otherwise(F.coalesce(second, box))
     decision = F.coalesce(p["decision"], F.lit("pending"))
     removed = F.coalesce(p["removed_area_ratio"], F.lit(0.0))
     own = F.when(first | (F.coalesce(p["auto_removed_area_ratio"], F.lit(0.0)) == 0), removed).otherwise(p["auto_removed_area_ratio"])
