@@ -135,9 +135,11 @@ class LiveRecommendation:
             whole = self._whole(heads, was)
             mixed = heads.select("*", F.lit(True).alias("was")).unionByName(new.select("*", F.lit(False).alias("was"))).select("*", *_stratum()[1:])
             mixed = mixed.join(F.broadcast(old.select("ord", F.lit(True).alias("out"))), "ord", "left").join(F.broadcast(whole), ["person_scale", "yaw"], "left")
-            # Not worse than the old head's last row, or the old head had all rows: then it is known to be among the best.
-            behind = Window.partitionBy("person_scale", "yaw").orderBy(rank_key(), F.col("was").desc()).rowsBetween(0, Window.unboundedFollowing)
-            mixed = mixed.withColumn("known", F.coalesce("whole", F.lit(True)) | F.coalesce(F.max("was").over(behind), F.lit(False)))
+            # Not worse than the old head's last row, or the old head had all rows: then it is known to be among the best. Heads
+            # are short, so their last rows are found beforehand and no stratum is one task.
+            last = heads.select("*", *_stratum()[1:]).groupBy("person_scale", "yaw").agg(F.max(rank_key()).alias("last"))
+            mixed = mixed.withColumn("key", rank_key()).join(F.broadcast(last), ["person_scale", "yaw"], "left")
+            mixed = mixed.withColumn("known", F.coalesce("whole", F.lit(True)) | F.coalesce(F.col("key") <= F.col("last"), F.lit(False)))
             left = mixed.where("known and not (was and coalesce(out, false))")
             left = self._top(left.select(*_POOL)).persist()
             have = self._sizes(left)
