@@ -63,7 +63,7 @@ def dealt(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, i
             yield block()
         trim()
 
-    blocks = stored(own.mapInArrow(pack, "block long, load long, data binary"), "blocks")
+    blocks = stored(own.mapInArrow(pack, "block long, load long, data binary"), "blocks", packed=True)
     return blocks, blocks.agg(F.sum("load")).first()[0] or 0
 
 
@@ -96,30 +96,44 @@ def _add(frame: pd.DataFrame) -> pd.DataFrame:
     where another block asks for the key, plus 1 where this block is the first of all that have any. The row of block -1
     holds how many keys have a count, and their sum."""
     asked = [unpack_sorted(x) for x in frame["keys"]]
-    own = np.concatenate([unpack_counts(x) for x in frame["own"]])
-    every = np.concatenate(asked)
+    sizes, every = [len(x) for x in asked], np.concatenate(asked)
+    del asked  # each of these arrays has all keys of the range: none stays longer than it is read
     order = ranked(every)
-    found, counts = every[order], own[order]
+    found = every[order]
+    del every
     first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-    lengths = np.diff(np.append(first, len(every)))
-    sums = np.add.reduceat(counts, first)
+    del found
+    counts = np.concatenate([unpack_counts(x) for x in frame["own"]])[order]
+    lengths = np.diff(np.append(first, len(counts)))
     some = np.cumsum(counts > 0)
-    before = np.repeat(some[first] - (counts[first] > 0), lengths)
-    answer = np.empty(len(every), np.int64)
-    answer[order] = 4 * (np.repeat(sums, lengths) - counts) + 2 * np.repeat(lengths > 1, lengths) + ((counts > 0) & (some - before == 1))
+    some -= np.repeat(some[first] - (counts[first] > 0), lengths)
+    leads = (counts > 0) & (some == 1)
+    del some
+    sums = np.add.reduceat(counts, first)
+    del first
+    told = np.repeat(sums, lengths)
+    told -= counts
+    del counts
+    told *= 4
+    told += np.repeat(2 * (lengths > 1).astype(np.int8), lengths)
+    told += leads
+    del lengths, leads
+    answer = np.empty(len(told), np.int64)
+    answer[order] = told
+    del order, told
     back, at, part = [], 0, int(frame["part"].iloc[0])
-    for block, keys in zip(frame["block"], asked):
-        back.append((int(block), part, pack_counts(answer[at : at + len(keys)])))
-        at += len(keys)
+    for block, n in zip(frame["block"], sizes):
+        back.append((int(block), part, pack_counts(answer[at : at + n])))
+        at += n
     back.append((-1, part, np.array([(sums > 0).sum(), sums.sum()], "<i8").tobytes()))
-    del asked, own, every, order, found, counts, answer, some, before
+    del answer, sums
     trim()
     return pd.DataFrame(back, columns=["block", "part", "counts"])
 
 
 def counted(asks: DataFrame, name: str) -> DataFrame:
     """(block, part, counts), written, from rows of _asks: see _add."""
-    return stored(asks.groupBy("part").applyInPandas(_add, "block long, part int, counts binary"), name)
+    return stored(asks.groupBy("part").applyInPandas(_add, "block long, part int, counts binary"), name, packed=True)
 
 
 ASKS = "block long, part int, keys binary, own binary"

@@ -31,6 +31,8 @@ WORDS = 4
 PERCENT = 85
 #: A block of more sets than PART_SETS is dealt into up to PARTS parts, and one of more shingles into as many as it takes.
 BLOCK_SHINGLES, PART_SETS, PARTS = 4_000_000, 128, 12
+#: Bytes of text in a block of texts: a worker holds some 20 bytes of arrays for each.
+BLOCK_BYTES = 3 << 20
 #: Blocks of several parts whose numbers are broadcast.
 BROADCAST_BLOCKS = 200_000
 #: Bits by which counted hashes are longer than the length in bits of the number of bytes of all texts.
@@ -179,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _pieces(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """PIECES, written: kind 0 a row of docs, with its set where that may have a partner; kind 1 a shingle of a prefix
     that other texts hold too."""
-    blocks, size = dealt(docs)
+    blocks, size = dealt(docs, BLOCK_BYTES)
     bits = min(64, max(32, size.bit_length() + SPARE_BITS))
     kinds: Kinds = [(64, 1), (bits, size // 6 + 1)]
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)

@@ -36,7 +36,8 @@ ADD, PIECE = 0.01, (20, 60, 200)
 #: Labels that are learned; where there are more, the most frequent ones.
 MAX_LABELS = 200
 NONE = "und"
-_CHUNK = 1 << 18
+#: Characters of a piece of a long text, at most, and of the pieces whose features are taken together, about.
+_CHUNK, _GROUP = 1 << 18, 1 << 16
 
 _letters: list[np.ndarray] = []
 
@@ -131,7 +132,7 @@ def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
             parts.append(t[at:end])
             size += len(parts[-1])
             at = max(end, at + 1)
-            if size >= _CHUNK:
+            if size >= _GROUP:
                 yield which, parts
                 which, parts, size = [], [], 0
     if parts:

@@ -14,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_table, stored
 
 WEIGHTS = (5, 2, 1)
 BUDGET = Fraction(3, 2)
@@ -55,7 +55,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...], budget: Fraction, max_ep
     for r, t in zip(rows, share):
         whole = int(t // r["s"]) if r["s"] else 0
         out.append((r["source"], r["s"], float(t), whole, int((t - whole * r["s"] + Fraction(1, 2)) // 1)))
-    return spark.createDataFrame(out, "source string, source_size long, target double, whole long, rest long")
+    return small_table(spark, out, "source string, source_size long, target double, whole long, rest long")
 
 
 def _bucket(k: int) -> Column:
@@ -94,7 +94,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: Fraction =
     edges = {r["source"]: (r["edge"], r["room"]) for r in border.select("source", F.concat("b0", "b1").alias("edge"), "room").collect()}
     facts = {r["source"]: r for r in aim.collect()}
     plan = [(k, r["source_size"], r["target"], r["whole"], *edges.get(k, (None, None))) for k, r in facts.items()]
-    plan = sized.sparkSession.createDataFrame(plan, "s string, source_size long, target double, whole long, edge string, room long")
+    plan = small_table(sized.sparkSession, plan, "s string, source_size long, target double, whole long, edge string, room long")
     rows = own.join(F.broadcast(plan), own["source"].eqNullSafe(F.col("s")))
     key = F.substring("h", 1, 6)
     part = rows.where(key == F.col("edge"))  # some 2^-24 of a source
