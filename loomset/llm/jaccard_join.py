@@ -31,7 +31,7 @@ WORDS = 4
 PERCENT = 85
 #: A block of more sets than PART_SETS is dealt into up to PARTS parts, and one of more shingles into as many as it takes.
 BLOCK_SHINGLES, PART_SETS, PARTS = 4_000_000, 128, 12
-#: Bytes of text in a block of texts: a worker holds some 20 bytes of arrays for each.
+#: Bytes of text in a block of texts: a worker holds several arrays of a number for each word of a block.
 BLOCK_BYTES = 3 << 20
 #: Blocks of several parts whose numbers are broadcast.
 BROADCAST_BLOCKS = 200_000
